@@ -18,6 +18,7 @@ empty text as unit, so any tree over the same text gives the same ids.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Sequence
 from itertools import chain
 
@@ -33,6 +34,8 @@ from .common import map_text
 LEAF, PIECE = 8192, 512
 #: Characters to either side of a border in the first window; each further one has four times as many.
 WINDOW = 32
+#: A safe cut: one that holds under any definition of white space.
+SAFE_CUT = re.compile(r"\S(?=[ \t\n\r])")
 #: Pairs of tokens whose stability a task remembers at most.
 REMEMBERED = 400_000
 
@@ -49,7 +52,7 @@ class ByteBPE:
         self._core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._bytes = {i: b for b, i in ranks.items()}
         self._split = regex.compile(pattern).findall
-        self._cut = regex.compile(r"\S(?=\s)").finditer
+        self._cut = SAFE_CUT.finditer
         self._stable: dict[tuple[int, int], bool] = {}
 
     # One pre-token

@@ -16,20 +16,19 @@ from .wordhash import binary, packs
 PACK = 4 << 20
 _TEXT = "__text"
 
-#: Gets texts as UTF-8 bytes (None for null); returns one list or array for each output column.
-Kernel = Callable[[list[bytes | None]], Sequence]
+#: Gets texts as UTF-8 bytes (None for null) and the further columns; returns one list or array for each output column.
+Kernel = Callable[..., Sequence]
 
 
-def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Adds the columns of the DDL string `outputs`, computed from whole texts, to the kept columns.
+def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: str = "text", keep: Sequence[str] = ("doc_id",), also: Sequence[str] = ()) -> DataFrame:
+    """Adds the columns of the DDL string `outputs`, computed from whole texts and the columns of `also`, to the kept columns.
 
-    No shuffle; a lost task is done again from its input split alone. Only `keep` and `text` are
-    read. A kept column of an output's name gives way to the output. `factory` runs once in each task.
+    No shuffle; a lost task is done again from its input split alone. Only these columns are read. A kept column of an output's name gives way to the output. `factory` runs once in each task.
     """
     made = StructType.fromDDL(outputs)
     names = set(made.names)
     keep = [c for c in keep if c not in names]
-    source = df.select(*[df[c] for c in keep], df[text].cast("string").alias(_TEXT))
+    source = df.select(*[df[c] for c in keep], df[text].cast("string").alias(_TEXT), *[df[c].alias(f"__also{i}") for i, c in enumerate(also)])
     schema = StructType([source.schema[c] for c in keep] + list(made.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +39,8 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
             texts = binary(batch.column(len(keep)))
             for lo, hi in packs(texts, PACK):
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                new = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(kernel(texts[lo:hi]), into, strict=True)]
+                more = [batch.column(len(keep) + 1 + i).slice(lo, hi - lo) for i in range(len(also))]
+                new = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(kernel(texts[lo:hi], *more), into, strict=True)]
                 yield pa.RecordBatch.from_arrays(kept + new, names=[*keep, *made.names])
 
     return source.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, htmltext, language, mtree, privacy, tokencount, toxicity
 from .common import table
 
 
@@ -17,6 +17,19 @@ def byte_vocabulary(path: str | None = None) -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    whole = vectors.select("vec_id", mtree.whole_vectors(vectors, "embedding").alias("v"))
+    return mtree.top_k(whole, F.pmod("vec_id", F.lit(20)) == 0)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~language.held_out())
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -34,7 +47,49 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every text: a tenth is cut out, its first words are put in the middle, its end is replaced."""
+    n = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(start, end, text):
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"))
+
+    edits = F.array(
+        edit(F.floor(n / 4), F.floor(n / 4) + F.floor(n / 10), F.lit("")),
+        edit(F.floor(n / 2), F.floor(n / 2), F.coalesce(F.substring("text", 1, 40), F.lit(""))),
+        edit(n - F.floor(n / 10) + 20, F.lit(2**31 - 1), F.concat(F.lit(" "), F.coalesce("source", F.lit("")))),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return tokencount.count_edited(docs, *byte_vocabulary())
+
+
+def _count_kind(kind: str):
+    return F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.extract(table(spark, sf_dir, "documents"))
+    counts = [_count_kind(k) for k in privacy.KINDS]
+    return found.select("doc_id", *counts, F.sha2(privacy.rendered("base"), 256).alias("base_sha256"), privacy.rendered("spans").alias("spans"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxicity.fit(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    return toxicity.score(docs, chain)
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
+    "op2_language_id": op2_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_token_counts": op7_token_counts,
+    "op8_pii": op8_pii,
+    "op9_toxicity": op9_toxicity,
+    "op10_html_text": op10_html_text,
 }
