@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmltext, language, mtree, privacy, tokencount, toxicity
+from . import bpe, decontaminate, htmltext, language, mtree, neardup, privacy, tokencount, toxicity
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find_components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after three edits of every text: a tenth is cut out, its first words are put in the middle, its end is replaced."""
     n = F.length(F.coalesce("text", F.lit("")))
@@ -88,6 +92,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
