@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, stored
+from .common import map_text, small, stored
 from .wordhash import binary, many, packs, windows, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -244,6 +244,39 @@ def extract(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
     return both.select(*[c for c in keep if c not in ("base", "spans")], F.col("__base").alias("base"), spans.alias("spans"))
 
 
+#: Documents with added spans that are sent to every task at most; more are joined by a shuffle.
+BROADCAST_DOCS = 500_000
+
+
+def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with every span masked in `text`, and `n_chars` set to its code points.
+
+    Rows of one id are taken to be of one text. A null text stays null, its n_chars too; a row of null
+    id is masked by the detectors alone. Other columns stay as they are.
+    """
+    found = stored(mentions(docs, text, [id]), "mentions")
+    patterns = trusted_patterns(docs, found, text)
+    rest = found.where(F.col(id).isNotNull()).select(id, F.explode("others").alias("m")).select(id, "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
+    added = rest.join(patterns, "pattern").groupBy(id).agg(F.collect_set(F.struct("kind", "start", "end")).alias("__added"))
+    added = stored(added, "added")
+    joined = docs.join(F.broadcast(added) if small(added, BROADCAST_DOCS) else added, id, "left")
+
+    def kernel(texts, more):
+        out, sizes = [], []
+        for t, extra in zip(texts, more.to_pylist(), strict=True):
+            if t is None:
+                out.append(None)
+                sizes.append(None)
+                continue
+            s = t.decode("utf-8", "replace")
+            s = mask(s, detect(s) + [(x["kind"], x["start"], x["end"]) for x in extra or ()])
+            out.append(s)
+            sizes.append(len(s))
+        return out, sizes
+
+    return map_text(joined, f"{text} string, {n_chars} long", lambda: kernel, text, docs.columns, ["__added"]).select(docs.columns)
+
+
 def ordered(spans: Column) -> Column:
     """Spans by kind, in the order of KINDS, then start."""
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
