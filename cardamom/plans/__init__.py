@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with the SQL that each must equal."""
 
 from . import audit
+from .registry import ORACLES, QUERIES
 
-QUERIES = {**audit.QUERIES}
-ORACLES = {**audit.ORACLES}
+__all__ = ["ORACLES", "QUERIES", "audit"]
