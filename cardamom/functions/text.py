@@ -90,9 +90,17 @@ def tokens(c: Column) -> Column:
 
 
 def shingles(words: Column, k: int = 5) -> Column:
-    """Distinct runs of k words, joined by spaces; none if there are fewer words. The guard is inside the expression."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-    return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of k words, joined by spaces; none if there are fewer words.
+
+    The words are bound to a lambda's variable, so that they are computed once and not for each run;
+    the guard against short arrays is inside the expression, where no rule can move it.
+    """
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+        return F.when(F.size(w) >= k, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def topic_key(hint: Column, kind: Column, title: Column) -> Column:

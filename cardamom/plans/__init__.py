@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with the SQL that each must equal."""
 
-from . import audit
+from . import audit, joins, merge
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audit"]
+__all__ = ["ORACLES", "QUERIES", "audit", "joins", "merge"]
