@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with the SQL that each must equal."""
 
-from . import audit, joins, merge, metrics, sampling
+from . import audit, joins, merge, metrics, sampling, validation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audit", "joins", "merge", "metrics", "sampling"]
+__all__ = ["ORACLES", "QUERIES", "audit", "joins", "merge", "metrics", "sampling", "validation"]
