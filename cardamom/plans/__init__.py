@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with the SQL that each must equal."""
 
-from . import audit, joins, merge, metrics, provider, sampling, scalars, validation
+from . import audit, extensions, joins, merge, metrics, provider, sampling, scalars, sources, validation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audit", "joins", "merge", "metrics", "provider", "sampling", "scalars", "validation"]
+__all__ = ["ORACLES", "QUERIES", "audit", "extensions", "joins", "merge", "metrics", "provider", "sampling", "scalars", "sources", "validation"]
