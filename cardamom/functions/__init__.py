@@ -1 +1 @@
-
+"""Functions: Column -> Column."""

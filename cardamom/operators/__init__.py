@@ -1 +1 @@
-
+"""Operators: DataFrame -> DataFrame."""

@@ -1 +1 @@
-
+"""Readers, writers, and tables around a crawl."""

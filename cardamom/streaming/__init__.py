@@ -1 +1 @@
-
+"""Structured Streaming over call logs."""
