@@ -6,10 +6,11 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..session import ship
 from .text import normalise
 
 
@@ -27,8 +28,7 @@ def path_parts(url: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    """href resolved against base; null if it is null or empty, or the result is no URL."""
+def _absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
 
     def one(b, h):
         if not h:
@@ -42,6 +42,12 @@ def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)])
 
 
+def absolute_url(base: Column | str, href: Column | str) -> Column:
+    """href resolved against base; null if it is null or empty, or the result is no URL."""
+    ship(SparkSession.active())
+    return _absolute_url(base, href)
+
+
 def meta_content(page: Column, name: str) -> Column:
     """Normalised content of the meta element of that name, else of that property; '' if neither is there."""
     found = [F.regexp_extract(page, rf'<meta[^>]*\b{key}="{name}"[^>]*\bcontent="([^"]*)"', 1) for key in ("name", "property")]
@@ -155,6 +161,7 @@ class _Lists(HTMLParser):
 
 def heading_list(page: Column, wanted: str, reach: int = 5) -> Column:
     """Items of the first list among the `reach` elements after a heading that holds `wanted`."""
+    ship(SparkSession.active())
 
     @F.pandas_udf(ArrayType(StringType()))
     def run(pages: pd.Series) -> pd.Series:

@@ -3,9 +3,30 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's executors, once, so that functions which run in their Python workers find it.
+
+    Nothing is sent if the package was itself shipped as an archive.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp()) / f"{root.name}-package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and the bench. On a cluster, the session is the caller's."""
