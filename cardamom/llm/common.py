@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ship
 from .wordhash import binary, packs
 
 #: Bytes of text handed to an operator's kernel at once (one longer text goes alone).
@@ -25,6 +26,7 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
 
     No shuffle; a lost task is done again from its input split alone. Only these columns are read. A kept column of an output's name gives way to the output. `factory` runs once in each task.
     """
+    ship(df.sparkSession)
     made = StructType.fromDDL(outputs)
     names = set(made.names)
     keep = [c for c in keep if c not in names]

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import map_text
 from .wordhash import binary, packs
 
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, train: Column, per_lang: int = TRAIN_DOCS, text: str =
     such rows the model knows no language and labels every text `und`. Trigrams are counted in the
     tasks and summed by language and bucket; what reaches the driver is languages x buckets at most.
     """
+    ship(docs.sparkSession)
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
     langs = sorted(sizes)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import stored
 
 #: Vectors of a leaf page, entries of an inner page.
@@ -155,6 +156,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 20, id: str = "vec_id", ve
     group of queries) is one task of bounded size; queries are dealt in groups to all shards. A shard's
     candidates are `k` for each query, and the shards' are ranked together.
     """
+    ship(vectors.sparkSession)
     clean = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), query.alias("q")).where("id is not null and v is not null")
     clean = stored(clean.distinct(), "vectors")
     n, m = clean.agg(F.count("*"), F.count_if(F.coalesce("q", F.lit(False)))).first()

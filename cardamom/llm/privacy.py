@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import map_text, small, stored
 from .wordhash import binary, many, packs, windows, words
 
@@ -155,6 +156,7 @@ def mentions(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
 
 def occurrences(docs: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
     """(pattern, total): how often each pattern's words stand in the texts."""
+    ship(docs.sparkSession)
     coded = {}
     for p in patterns:
         h = words(p.encode())[0]

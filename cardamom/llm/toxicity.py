@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import map_text
 from .wordhash import ALNUM, binary, many, packs
 
@@ -169,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
     Fitted on `rows` labelled documents at most, the first in the order of a hash of `by`. Null labels
     leave a row out of that category alone; labels without a document, and null texts, out of all.
     """
+    ship(docs.sparkSession)
     picked = labels.select(F.col(by).alias("__id"), *[c.cast("double").alias(k) for k, c in categories.items()]).where("__id is not null")
     picked = picked.orderBy(F.xxhash64("__id"), "__id", *categories).limit(rows)
     joined = docs.select(F.col(by).alias("__id"), F.col(text).cast("string").alias("__text")).where("__text is not null").join(F.broadcast(picked), "__id")
