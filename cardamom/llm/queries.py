@@ -85,7 +85,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     chain = toxicity.fit(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
-    return toxicity.score(docs, chain)
+    found = toxicity.score(docs, chain)
+    return found.select("doc_id", "p_low_quality", F.col("is_low_quality").alias("low_quality"), "p_toxic", F.col("is_toxic").alias("toxic"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
