@@ -8,8 +8,11 @@ merged, that is, all their coordinates are compared, and pairs with T matches or
 confirmed on their full sets of shingles.
 
 Only components are asked for, so a posting list isn't expanded into all its pairs. Its
-members first meet its smallest member. Pairs of a list whose members are then in different
-components, and not yet compared, meet in a second round.
+members first meet its smallest member, then a fixed number of leaders, one for each value of
+a hash, unless they are in their component by then. In a list of few members these are all
+pairs. Of longer lists that still span components, the documents meet once more, by the shingles
+themselves: rare ones first, a set of n shingles is posted under n - ceil(0.75 n) + 1 of them,
+and pairs of one component, or of sizes too far apart, are never made.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SHINGLE, SIMILAR = 5, 75
 #: Coordinates of a signature, and how many must match. A pair of similarity 0.75 fails the match count
 #: once in 500,000 times, one of 0.8 once in 10**8.
 COORDINATES, MATCHES = 48, 22
+#: Leaders of a posting list at most.
+LEADERS = 4
 #: Ids that are sent to every task to filter documents, at most (some 30 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -117,6 +122,35 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, n: int, si
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _last_round(left: DataFrame, docs: DataFrame, id: str, text: str, n: int, similar: int) -> DataFrame:
+    """Pairs (a, b) of documents of `left` (rep, c), of different components, that the prefixes of their sets don't rule out."""
+    few = small(left, BROADCAST_IDS)
+    named = docs.select(F.col(id).alias("rep"), F.col(text).cast("string").alias("text")).join(F.broadcast(left) if few else left, "rep")
+
+    def kernel(texts):
+        return [[s.astype(np.int64) for s in shingle_sets(texts, n)]]
+
+    # a repeated row only lengthens prefixes
+    sets = map_text(named, "g array<long>", lambda: kernel, "text", ["rep", "c"])
+    each = stored(sets.select("rep", "c", F.size("g").alias("n"), F.explode("g").alias("g")), "shingles")
+    common = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    held = each.join(common, "g").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("held"))
+    # shingles that no other of these documents has are rarer than all of these
+    reach = F.col("n") - F.ceil(F.col("n") * F.lit(similar) / 100) + 1 - (F.col("n") - F.size("held"))
+    prefix = held.where(reach > 0).select("rep", "c", "n", (F.col("n") - F.size("held")).alias("rarer"), F.posexplode(F.slice("held", F.lit(1), F.greatest(reach, F.lit(1)).cast("int"))).alias("i", "x"))
+    posted = stored(prefix.select("rep", "c", "n", (F.col("rarer") + F.col("i")).alias("i"), F.col("x.g").alias("g")), "prefixes")
+    sizes = posted.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("components"))
+    lists = posted.join(sizes.where("components > 1").select("g", "most"), "g")
+    # members of a list's largest component meet the others, and those each other
+    a = lists.where("c != most").select("g", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    b = lists.select("g", F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), "most")
+    # so many shingles two similar sets of these sizes share; before the first of them stand no more than the rest
+    shared = F.ceil(similar * (F.col("nx") + F.col("ny")) / (100 + similar))
+    first = (F.col("ix") <= F.col("nx") - shared) & (F.col("iy") <= F.col("ny") - shared)
+    near = (100 * F.least("nx", "ny") >= similar * F.greatest("nx", "ny")) & first & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y")))
+    return a.join(b, "g").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def find_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, similar: int = SIMILAR, matches: int = MATCHES) -> DataFrame:
     """One row for each row of docs: its id, n_shingles, component_id and kept (the id is the component's smallest).
 
@@ -128,22 +162,29 @@ def find_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     classes = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null")
     classes = stored(classes, "classes")
     posted = stored(postings(classes, matches), "postings")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return stored(_confirmed(stored(_merged(pairs, classes, matches), "pairs"), docs, id, text, n, similar), "links")
+
+    def placed(links: DataFrame) -> DataFrame:
+        """(p, rep, c): the posting lists with each member's component so far."""
+        known = connected(links).withColumnRenamed("id", "rep")
+        return stored(posted.join(known, "rep", "left").select("p", "rep", F.coalesce("component", "rep").alias("c")), "placed")
+
     lists = posted.groupBy("p").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    firsts = posted.join(lists, "p").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    pairs = stored(_merged(firsts, classes, matches), "pairs")
-    links = stored(_confirmed(pairs, docs, id, text, n, similar), "links")
-    known = stored(connected(links), "components")
-    # lists that still hold more than one component
-    placed = posted.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("p", "rep", F.coalesce("component", "rep").alias("c"))
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("p").agg(F.min("rep").alias("first"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("p", "first")
-    rest = placed.join(mixed, "p").where("rep != first")
-    other = rest.select("p", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    seconds = rest.select("p", F.col("rep").alias("a"), "c").join(other, "p").where("c != cb and a < b").select("a", "b").distinct()
-    pairs = stored(_merged(seconds, classes, matches), "pairs")
-    more = stored(_confirmed(pairs, docs, id, text, n, similar), "links")
-    if not more.isEmpty():
-        known = stored(connected(links.unionByName(more)), "components")
+    links = compared(posted.join(lists, "p").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
+    # the lists' leaders, for members of other components
+    now = placed(links)
+    leaders = now.groupBy("p", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("rep", "c"), "rep").alias("x")).select("p", F.col("x.rep").alias("leader"), F.col("x.c").alias("cl"))
+    more = now.join(leaders, "p").where("c != cl").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    links = links.unionByName(compared(more))
+    # longer lists that still hold more than one component
+    now = placed(links)
+    led = leaders.groupBy("p").agg(F.count("*").alias("k"))
+    mixed = now.groupBy("p").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).join(led, "p").where("low < high and n > k + 1").select("p")
+    left = stored(now.join(mixed, "p").select("rep", "c").distinct(), "left")
+    links = links.unionByName(compared(_last_round(left, docs, id, text, n, similar)))
+    known = connected(links)
     found = classes.select("class", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     result = rows.select("id", "n_shingles", "class").join(found, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component"))
