@@ -88,12 +88,16 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, above: flo
     held = held.withColumn("own", F.count("*").over(Window.partitionBy("side", "id")))
     # the n - own shingles that no other text has come first in the order
     reach = F.col("n") - F.ceil(F.col("n") * F.lit(above)) + 1 - (F.col("n") - F.col("own"))
-    posted = held.where(F.col("at") <= reach).select("g", "id", "side", "n")
-    a = posted.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("side").alias("sa"))
-    b = posted.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("side").alias("sb"))
+    before = F.col("n") - F.col("own") + F.col("at") - 1
+    posted = held.where(F.col("at") <= reach).select("g", "id", "side", "n", before.alias("i"))
+    a = posted.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("side").alias("sa"), F.col("i").alias("ia"))
+    b = posted.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("side").alias("sb"), F.col("i").alias("ib"))
     one = (F.col("sa") == 0) & (F.col("sb") == 1) if other is not None else F.col("a") < F.col("b")
     sized = F.least("na", "nb") > F.lit(above) * F.greatest("na", "nb")
-    pairs = a.join(b, "g").where(one & sized).select("a", "b", "na", "nb", "sa", "sb").distinct()
+    # so many shingles such sets of these sizes share; before the first of them stand no more than the rest
+    least = F.ceil(F.lit(above / (1 + above)) * (F.col("na") + F.col("nb")) - 1e-9)
+    first = (F.col("ia") <= F.col("na") - least) & (F.col("ib") <= F.col("nb") - least)
+    pairs = a.join(b, "g").where(one & sized & first).select("a", "b", "na", "nb", "sa", "sb").distinct()
     left = held.select(F.col("id").alias("a"), F.col("side").alias("sa"), "g")
     right = held.select(F.col("id").alias("b"), F.col("side").alias("sb"), "g")
     inter = pairs.join(left, ["a", "sa"]).join(right, ["b", "sb", "g"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
