@@ -15,6 +15,8 @@ from .wordhash import binary, packs
 
 #: Bytes of text handed to an operator's kernel at once (one longer text goes alone).
 PACK = 4 << 20
+#: Rows of an Arrow batch at most: several batches of whole texts are in a worker's and its executor's memory at once.
+BATCH_ROWS = 2000
 _TEXT = "__text"
 
 #: Gets texts as UTF-8 bytes (None for null) and the further columns; returns one list or array for each output column.
@@ -27,10 +29,16 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
     No shuffle; a lost task is done again from its input split alone. Only these columns are read. A kept column of an output's name gives way to the output. `factory` runs once in each task.
     """
     ship(df.sparkSession)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(rows, BATCH_ROWS)
     made = StructType.fromDDL(outputs)
     names = set(made.names)
     keep = [c for c in keep if c not in names]
-    source = df.select(*[df[c] for c in keep], df[text].cast("string").alias(_TEXT), *[df[c].alias(f"__also{i}") for i, c in enumerate(also)])
+    # a kept text isn't sent twice
+    own = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else len(keep)
+    more_at = len(keep) + (own == len(keep))
+    source = df.select(*[df[c] for c in keep], *([df[text].cast("string").alias(_TEXT)] if own == len(keep) else []), *[df[c].alias(f"__also{i}") for i, c in enumerate(also)])
     schema = StructType([source.schema[c] for c in keep] + list(made.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,10 +46,10 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
 
         kernel, into = factory(), to_arrow_schema(made)
         for batch in batches:
-            texts = binary(batch.column(len(keep)))
+            texts = binary(batch.column(own))
             for lo, hi in packs(texts, PACK):
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                more = [batch.column(len(keep) + 1 + i).slice(lo, hi - lo) for i in range(len(also))]
+                more = [batch.column(more_at + i).slice(lo, hi - lo) for i in range(len(also))]
                 new = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(kernel(texts[lo:hi], *more), into, strict=True)]
                 yield pa.RecordBatch.from_arrays(kept + new, names=[*keep, *made.names])
 
