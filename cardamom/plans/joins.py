@@ -116,8 +116,7 @@ def j12_near_dup(spark, d):
 SELECT a.id AS a, -1 - b.id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS similarity FROM g a JOIN g b ON a.g = b.g AND a.id >= 0 AND b.id < 0 GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) > 0.1""")
 def v10_benchmark_overlap(spark, d):
     docs, items = load(spark, d, "documents", "benchmark")
-    short = docs.where(F.length("text") < 1000).select("doc_id", "text")
-    return joins.near_duplicates(short, "doc_id", "text", above=0.1, other=items.select(F.col("item_id").alias("doc_id"), "text")).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    return joins.near_duplicates(docs.select("doc_id", "text"), "doc_id", "text", above=0.1, other=items.select(F.col("item_id").alias("doc_id"), "text")).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 PATTERNS = {"shout": "!!", "license": r"[Ll]icensed\s+under", "token": r"token\s*=", "percent": r"[0-9]+\s*%"}
