@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import audit, joins, validation
+from ..operators import audit, joins, sampling, validation
 from .registry import load, query
 
 
@@ -94,12 +94,15 @@ FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'real_' ELSE 'synth_' END ||
 def v6_pending_levels(spark, d):
     docs, labels = load(spark, d, "documents", "labels")
     n = F.col("doc_id")
-    case_id = F.concat(F.when(n % 13 == 0, F.lit("real_")).otherwise(F.lit("synth_")), "source", F.lit("_"), F.lpad(n.cast("string"), 3, "0"))
+    # a running number within the source: ids of the whole table don't fit the three digits
+    docs = sampling.numbered(docs.select("doc_id", "source"), "source", F.lit(0), ["doc_id"])
+    number = F.col("number").cast("string")
+    case_id = F.concat(F.when(n % 13 == 0, F.lit("real_")).otherwise(F.lit("synth_")), "source", F.lit("_"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")))
     level = (
         F.when(~F.rlike(case_id, F.lit(r"^synth_src\d+_\d{3}$")), F.lit("error")).when(F.col("quality").isNull(), F.lit("skip"))
         .when((F.col("quality") == 1) & (F.col("toxic") == 1), F.lit("error")).when(n % 11 == 0, F.lit("warn")).otherwise(F.lit("ok"))
     )
-    return docs.where("doc_id < 1000").join(labels, "doc_id", "left").select(case_id.alias("case_id"), level.alias("level"))
+    return docs.join(labels, "doc_id", "left").select(case_id.alias("case_id"), level.alias("level"))
 
 
 @query("""WITH l AS (SELECT doc_id, lang, CAST(length(text) AS INT) AS len FROM documents), b AS (SELECT lang, list_sort(list(len))[least(count(*) - 1, floor(count(*) * 0.05))::INT + 1] AS lo, list_sort(list(len))[least(count(*) - 1, floor(count(*) * 0.95))::INT + 1] AS hi FROM l WHERE len > 0 GROUP BY lang)

@@ -31,3 +31,15 @@ def test_long_documents_meet_the_benchmark(spark, tmp_path):
     want = [(a, b, round(s, 9)) for a, b, s in pairs if s > 0.1]
     assert len(texts[0]) > 1000 and [a for a, _, _ in want] == [0]
     assert rows(spark, tmp_path, "v10_benchmark_overlap") == want
+
+
+def test_levels_of_all_documents(spark, tmp_path):
+    ids = [0, 11, 13, 999, 1000, 5001, 12345]
+    table(spark, tmp_path, "documents", [(i, f"src{i % 2}") for i in ids] + [(20_000 + 2 * i, "src4") for i in range(1001)], "doc_id long, source string")
+    table(spark, tmp_path, "labels", [(i, 1, int(i == 5001)) for i in ids[1:]] + [(20_000 + 2 * i, 0, 0) for i in range(1001)], "doc_id long, quality int, toxic int")
+    got = dict(rows(spark, tmp_path, "v6_pending_levels"))
+    assert len(got) == len(ids) + 1001
+    few = {k: v for k, v in got.items() if "_src4_" not in k}
+    assert few == {"real_src0_001": "error", "synth_src1_001": "warn", "real_src1_002": "error", "synth_src1_003": "ok", "synth_src0_002": "ok", "synth_src1_004": "error", "synth_src1_005": "ok"}
+    assert got["synth_src4_998"] == "ok"
+    assert {v for k, v in got.items() if k.endswith(("_1000", "_1001"))} == {"error"}
