@@ -43,3 +43,19 @@ def test_levels_of_all_documents(spark, tmp_path):
     assert few == {"real_src0_001": "error", "synth_src1_001": "warn", "real_src1_002": "error", "synth_src1_003": "ok", "synth_src0_002": "ok", "synth_src1_004": "error", "synth_src1_005": "ok"}
     assert got["synth_src4_998"] == "ok"
     assert {v for k, v in got.items() if k.endswith(("_1000", "_1001"))} == {"error"}
+
+
+def test_cards_of_all_orders(spark, tmp_path):
+    keys = range(1, 24)
+    table(spark, tmp_path, "orders", [(k, "1-URGENT", "F") for k in keys], "o_orderkey long, o_orderpriority string, o_orderstatus string")
+    table(spark, tmp_path, "part", [(1, "green tile")], "p_partkey long, p_name string")
+    table(spark, tmp_path, "lineitem", [(k, n, 1, "R") for k in keys if k % 2 for n in (1, 2)], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string")
+    want = []
+    for k in keys:
+        want += [(k, "title", "1-URGENT"), (k, "location.address", "F")]
+        want += [(k, f"program_items[{i}].{f}", t) for i in range(2 if k % 2 else 0) for f, t in (("title", "green tile"), ("description", "R"))]
+    assert rows(spark, tmp_path, "p26_leaf_flatten") == sorted(want)
+    held = {(k, p): t for k, p, t in want}
+    claims = [(k, ["title", "program_items[1].title", "program_items[9].title", "location"][k // 10 % 4], "i" if k % 30 == 0 else "e") for k in keys]
+    assert rows(spark, tmp_path, "p25_quote_check") == sorted((k, p, q, q in held.get((k, p), "")) for k, p, q in claims)
+    assert any(found for *_, found in rows(spark, tmp_path, "p25_quote_check"))
