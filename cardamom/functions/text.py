@@ -110,8 +110,9 @@ def topic_key(hint: Column, kind: Column, title: Column) -> Column:
 
 
 def known_id(rule: Column, number: Column) -> Column:
-    """The id of a rule's n-th generated case: synth_<rule>_<NNN>."""
-    return F.concat(F.lit("synth_"), F.replace(F.lower(rule), F.lit("-"), F.lit("")), F.lit("_"), F.lpad(number.cast("string"), 3, "0"))
+    """The id of a rule's n-th generated case: synth_<rule>_<NNN>, of three digits at least."""
+    n = number.cast("string")
+    return F.concat(F.lit("synth_"), F.replace(F.lower(rule), F.lit("-"), F.lit("")), F.lit("_"), F.lpad(n, F.greatest(F.length(n), F.lit(3)), F.lit("0")))
 
 
 def truncated(c: Column, most: int = 500) -> Column:

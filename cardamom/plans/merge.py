@@ -34,7 +34,7 @@ BATCH = "batch AS (SELECT doc_id % 400 AS id, doc_id AS seq FROM documents WHERE
 
 @query(f"WITH {BATCH}, {STORES} SELECT id, batch.seq, CASE WHEN o.doc_id IS NOT NULL OR row_number() OVER (PARTITION BY id ORDER BY batch.seq) > 1 THEN 'error' ELSE 'ok' END AS status FROM batch LEFT JOIN old o ON o.doc_id = id")
 def m3_append_status(spark, d):
-    batch = load(spark, d, "documents").where("doc_id % 5 = 0").select((F.col("doc_id") % 400).alias("id"), F.col("doc_id").alias("seq"))
+    batch = load(spark, d, "documents").select((F.col("doc_id") % 400).alias("id"), F.col("doc_id").alias("seq"))
     return merge.append_status(batch, _old(spark, d).select(F.col("doc_id").alias("id")), "id", "seq")
 
 
@@ -92,8 +92,9 @@ def m10_case_build(spark, d):
 
 @query("WITH a AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 37 = 0), b AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 41 = 0) SELECT source, lang, CASE WHEN y IS NULL THEN 'cons' WHEN x IS NULL THEN 'aggr' ELSE 'both' END AS found_by FROM (SELECT *, 1 AS x FROM a) FULL JOIN (SELECT *, 1 AS y FROM b) USING (source, lang)")
 def m11_two_passes(spark, d):
-    docs = load(spark, d, "documents")
-    return merge.two_passes(docs.where("doc_id % 37 = 0"), docs.where("doc_id % 41 = 0"), ["source", "lang"])
+    # of three documents the first pass has two and the second two, so that every document is in one
+    docs = load(spark, d, "documents").withColumn("turn", F.col("doc_id") % 3)
+    return merge.two_passes(docs.where("turn <> 1"), docs.where("turn <> 2"), ["source", "lang"])
 
 
 @query(f"WITH {STORES} SELECT doc_id, toxic FROM new ANTI JOIN old USING (doc_id)")
@@ -112,7 +113,7 @@ def k4_change_flags(spark, d):
 def k6_url_list(spark, d):
     docs, pages = load(spark, d, "documents", "pages")
     head = docs.groupBy("source").agg(F.count("*").alias("n")).select(F.concat(F.lit("# "), F.col("source"), F.lit(": "), F.col("n").cast("string")).alias("line"))
-    return head.unionAll(pages.where("page_id % 10 = 0").select("url"))
+    return head.unionAll(pages.select("url"))
 
 
 @query("SELECT lpad(source, 8, ' ') || ' | ' || lpad(CAST(count(*) AS VARCHAR), 6, ' ') || ' | ' || rpad(CAST(sum(n_chars) AS VARCHAR), 10, ' ') AS line FROM documents GROUP BY source")

@@ -22,7 +22,7 @@ def w1_alloc(spark, d):
 
 @query(f"SELECT doc_id, CAST((row_number() OVER (ORDER BY {MIX}, doc_id) - 1) % 12 AS INT) AS slot FROM documents WHERE doc_id % 9 = 0")
 def w2_round_robin(spark, d):
-    plan = load(spark, d, "documents").where("doc_id % 9 = 0").select("doc_id")
+    plan = load(spark, d, "documents").select("doc_id")
     return sampling.round_robin(plan, [str(i) for i in range(12)], [_mix(), "doc_id"]).select("doc_id", F.col("topic").cast("int").alias("slot"))
 
 
@@ -30,7 +30,7 @@ def w2_round_robin(spark, d):
 def w3_ids(spark, d):
     from ..functions.text import known_id
 
-    rows = load(spark, d, "documents").where("doc_id % 10 = 1").select("doc_id", "source")
+    rows = load(spark, d, "documents").select("doc_id", "source")
     return sampling.numbered(rows, "source", F.lit(3), ["doc_id"]).select("doc_id", known_id(F.col("source"), F.col("number")).alias("case_id"))
 
 

@@ -59,3 +59,38 @@ def test_cards_of_all_orders(spark, tmp_path):
     claims = [(k, ["title", "program_items[1].title", "program_items[9].title", "location"][k // 10 % 4], "i" if k % 30 == 0 else "e") for k in keys]
     assert rows(spark, tmp_path, "p25_quote_check") == sorted((k, p, q, q in held.get((k, p), "")) for k, p, q in claims)
     assert any(found for *_, found in rows(spark, tmp_path, "p25_quote_check"))
+
+
+def test_plans_take_all_rows(spark, tmp_path):
+    docs = [(i, f"src{i % 2}", "en" if i % 6 < 3 else "fr") for i in range(2500)] + [(2501, "src9", "de"), (2503, "src8", "de"), (2505, "src7", "de"), (2502, "src7", "de")]
+    table(spark, tmp_path, "documents", docs, "doc_id long, source string, lang string")
+    table(spark, tmp_path, "labels", [(i, 1, 0) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    table(spark, tmp_path, "pages", [(i, f"https://h/{i}") for i in range(12)], "page_id long, url string")
+    mixed = sorted(((i * 7919 + 42) % 10007, i) for i, *_ in docs)
+    assert rows(spark, tmp_path, "w2_round_robin") == sorted((i, at % 12) for at, (_, i) in enumerate(mixed))
+    seen, ids = {}, []
+    for i, source, _ in sorted(docs):
+        seen[source] = seen.get(source, 3) + 1
+        ids.append((i, f"synth_{source}_{seen[source]:03}"))
+    assert rows(spark, tmp_path, "w3_ids") == ids and len({x for _, x in ids}) == len(docs)
+    first = {}
+    for i, *_ in sorted(docs):
+        first.setdefault(i % 400, i)
+    assert rows(spark, tmp_path, "m3_append_status") == sorted((i % 400, i, "error" if first[i % 400] != i or i % 400 in (1, 2) else "ok") for i, *_ in docs)
+    passes = {name: {d[1:] for d in docs if d[0] % 3 != gone} for name, gone in (("cons", 1), ("aggr", 2))}
+    both = passes["cons"] & passes["aggr"]
+    want = [(*k, "both" if k in both else "cons" if k in passes["cons"] else "aggr") for k in {d[1:] for d in docs}]
+    assert {x for *_, x in want} == {"cons", "aggr", "both"} and rows(spark, tmp_path, "m11_two_passes") == sorted(want)
+    assert {r[0] for r in rows(spark, tmp_path, "k6_url_list")} >= {f"https://h/{i}" for i in range(12)}
+
+
+def test_places_are_dealt_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from cardamom.operators import sampling
+
+    got = sampling.placed(spark.range(5000).select("id", (F.col("id") % 7).alias("k")), ["k", "id"])
+    assert [r["place"] for r in got.orderBy("k", "id").collect()] == list(range(5000))
+    assert "__range" in got._jdf.queryExecution().optimizedPlan().toString()
+    for n in (0, 1):
+        assert [r["place"] for r in sampling.placed(spark.range(n), ["id"]).collect()] == list(range(n))
