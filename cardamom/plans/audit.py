@@ -112,7 +112,7 @@ SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(a.s) AS INT) AS n_a, CAST(len(b.s)
        round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard
 FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
 def a13_jaccard_sizes(spark, d):
-    t = load(spark, d, "documents").where(F.length("text") < 2000).select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("s"))
+    t = load(spark, d, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("s"))
     a, b = t.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), t.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     pairs = a.join(b, F.col("b") == F.col("a") + 1).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return pairs.select("a", "b", F.size("sa").alias("n_a"), F.size("sb").alias("n_b"), "shared", F.round(F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared")), 6).alias("jaccard"))

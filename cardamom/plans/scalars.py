@@ -144,7 +144,7 @@ def p18_nav_items(spark, d):
 @query("SELECT conv_id, count(*) FILTER (role = 'user') AS days, CAST(sum(length(text)) FILTER (role = 'assistant' AND seen > 0) AS BIGINT) AS chars FROM (SELECT *, sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations WHERE length(text) < 1000) GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0")
 def p19_day_groups(spark, d):
     line = F.when(F.col("role") == "user", F.concat(F.lit("Day "), F.col("turn").cast("string"))).when(F.col("role") == "assistant", F.regexp_replace("text", "^Day", "day")).otherwise(F.lit(""))
-    turns = load(spark, d, "conversations").where(F.length("text") < 1000).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    turns = load(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]).alias("lines"))
     groups = turns.select("conv_id", web.day_groups(F.col("lines"), r"^Day \d+$").alias("days")).where(F.size("days") > 0)
     chars = F.aggregate("days", F.lit(0).cast("long"), lambda n, x: n + F.length(F.regexp_replace(x["text"], r" \| ", "")))
     return groups.select("conv_id", F.size("days").cast("long").alias("days"), F.nullif(chars, F.lit(0).cast("long")).alias("chars"))

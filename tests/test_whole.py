@@ -94,3 +94,17 @@ def test_places_are_dealt_over_ranges(spark):
     assert "__range" in got._jdf.queryExecution().optimizedPlan().toString()
     for n in (0, 1):
         assert [r["place"] for r in sampling.placed(spark.range(n), ["id"]).collect()] == list(range(n))
+
+
+def test_long_texts_have_set_sizes(spark, tmp_path):
+    texts = [words("a", 600), words("a", 500), words("b", 10), words("B", 700)]
+    table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(t.lower().split(" ")) for t in texts]
+    want = [(i, i + 1, len(a), len(b), len(a & b), round(len(a & b) / len(a | b), 6)) for i, (a, b) in enumerate(zip(sets, sets[1:]))]
+    assert len(want) == 3 and rows(spark, tmp_path, "a13_jaccard_sizes") == want
+
+
+def test_days_of_long_turns(spark, tmp_path):
+    turns = [(1, 0, "user", words("u", 300)), (1, 1, "assistant", "x" * 1500), (1, 2, "user", "y"), (1, 3, "assistant", "z" * 10), (2, 0, "assistant", "early"), (2, 1, "user", "u" * 2000)]
+    table(spark, tmp_path, "conversations", turns, "conv_id long, turn int, role string, text string")
+    assert rows(spark, tmp_path, "p19_day_groups") == [(1, 2, 1510), (2, 1, None)]
