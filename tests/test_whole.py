@@ -108,3 +108,12 @@ def test_days_of_long_turns(spark, tmp_path):
     turns = [(1, 0, "user", words("u", 300)), (1, 1, "assistant", "x" * 1500), (1, 2, "user", "y"), (1, 3, "assistant", "z" * 10), (2, 0, "assistant", "early"), (2, 1, "user", "u" * 2000)]
     table(spark, tmp_path, "conversations", turns, "conv_id long, turn int, role string, text string")
     assert rows(spark, tmp_path, "p19_day_groups") == [(1, 2, 1510), (2, 1, None)]
+
+
+def test_words_to_the_end(spark, tmp_path):
+    texts = [words("w", 45) + " " + words("w", 50), "a  b a", "one"]
+    table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    table(spark, tmp_path, "conversations", [(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string")
+    assert rows(spark, tmp_path, "m7_ordered_distinct") == [(i, " ".join(dict.fromkeys(t.split(" ")))) for i, t in enumerate(texts)]
+    assert rows(spark, tmp_path, "w5_positions") == [(i, at, w) for i, t in enumerate(texts) for at, w in enumerate(t.split(" "))]
+    assert rows(spark, tmp_path, "l4_ocr_text") == [(1, "\n".join(texts))]
