@@ -225,6 +225,26 @@ def test_pages_of_near_urls(spark):
     assert htmltext.extract(pages, broadcast_rows=0).where("page_id = 2").first()["text"] == "text 2"
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    def page(body, advert=""):
+        return f"<html><body><div>Site name</div><nav>{advert}</nav><p>{body}</p><div>All rights reserved</div></body></html>"
+
+    rows = [(i, f"https://h.example/a/{i}", page(f"text {i}")) for i in range(6)]
+    rows += [rows[0], (20, "https://h.example/a/3", page("text 3", "other advert"))]
+    # mirrored copies at near URLs, more than a partition has; copies alone on a host
+    rows += [(100 + i, f"https://h.example/m/{i:03}", page("mirrored", f"advert {i}")) for i in range(80)]
+    rows += [(200 + i, f"https://same.example/{i}", page("same")) for i in range(3)]
+    rows += [(300, "https://mark.example/a/1", page("marked")), (301, "https://mark.example/a/1?", "<div>Site name</div><article><p>marked</p></article><div>All rights reserved</div>"), (302, "https://mark.example/b", page("else"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = htmltext.extract(with_clashes(pages)).collect()
+    assert sorted(r["text"] for r in got if r["page_id"] in (0, 3, 20)) == ["text 0", "text 0", "text 3", "text 3"]
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert [texts[i] for i in range(6)] == [f"text {i}" for i in range(6)]
+    assert {texts[100 + i] for i in range(80)} == {"mirrored"}
+    assert {texts[200 + i] for i in range(3)} == {"Site name\nsame\nAll rights reserved"}
+    assert texts[300] == "marked" and texts[301] == "marked"
+
+
 def test_language_rows(spark):
     en, fr = "the thing with that other quick story ", "les choses que nous avons toujours vues "
     rows = [(i, (en if i % 2 else fr) * 5, "en" if i % 2 else "fr") for i in range(40)] + [(100, None, "en"), (101, "", None), (102, "123 !", "fr"), (None, en, "en")]
