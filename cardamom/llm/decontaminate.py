@@ -150,6 +150,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return df.select(*[c for c in keep if c not in ("n_words", "n_hit", "hits", "items")], "n_words", _covered(hits).alias("n_hit"), hits.alias("hits"), met.alias("items"))
 
 
+def without_hits(text: Column | str, hits: Column | str) -> Column:
+    """The text without the words of its hits, each with the characters between it and the word before it. A text without hits is unchanged.
+
+    All hits are complete windows, or whole items shorter than one.
+    """
+    text, hits = F.col(text) if isinstance(text, str) else text, F.col(hits) if isinstance(hits, str) else hits
+    word = r"A-Za-z0-9\x{80}-\x{10FFFF}"  # as ALNUM has it
+    parts = F.regexp_extract_all(text, F.lit(f"[^{word}]*[{word}]+"), F.lit(0))
+    kept = F.filter(parts, lambda _, i: ~F.exists(hits, lambda h: (h["start"] <= i) & (i < h["end"])))
+    return F.when(F.size(hits) > 0, F.concat(F.array_join(kept, ""), F.regexp_extract(text, f"[^{word}]*$", 0))).otherwise(text)
+
+
 def contaminated() -> Column:
     """The verdict on a row of find_contamination(): a twentieth of the words or more are hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

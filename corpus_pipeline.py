@@ -32,9 +32,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more are passages of the benchmark go."""
+    """Documents of which a twentieth or more are passages of the benchmark go; others lose those passages, and n_chars follows the text."""
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where(~decontaminate.contaminated()).select(docs.columns)
+    kept = found.where(~decontaminate.contaminated())
+    hit = F.size("hits") > 0
+    cut = kept.withColumn("text", decontaminate.without_hits("text", "hits"))
+    return cut.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

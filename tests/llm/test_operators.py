@@ -152,6 +152,22 @@ def test_contamination(spark, chars):
     assert collected(got, "doc_id", "n_words", "n_hit", "items") == brute_contamination(rows, items)
 
 
+def test_passages_leave_kept_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    item, own = words(51, 13), ["Été", "—", "naïve", *words(52, 300)]
+    passage = ", ".join(item).upper()
+    rows = [(1, f"{' '.join(own[:150])}. {passage}; {' '.join(own[150:])}!", "en", "s", 0), (2, "É. " + " ".join(own) + " end.", "en", "s", 7), (3, " ".join(item) + " end", "en", "s", 0), (4, None, None, None, None), (5, f"{' '.join(own)} {passage}.", "en", "s", 0)]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 4, 5}
+    assert got[1]["text"] == f"{' '.join(own[:150])}; {' '.join(own[150:])}!" and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[5]["text"] == " ".join(own) + "." and got[2]["text"] == rows[1][1] and got[2]["n_chars"] == 7 and got[4]["text"] is None
+    again = decontaminate.find_contamination(spark.createDataFrame(list(got.values()), docs.schema), spark.read.parquet(str(tmp_path / "benchmark.parquet")))
+    assert again.where("n_hit > 0").count() == 0
+
+
 def test_bpe_rows(spark, docs):
     data, pattern = queries.byte_vocabulary()
     coder = bpe.ByteBPE(bpe.read_ranks(data), pattern)
