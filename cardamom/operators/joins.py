@@ -69,19 +69,30 @@ def source_of(ids: DataFrame, id: str, sources: DataFrame, source: str) -> DataF
     return ids.join(best, id, "left")
 
 
+#: Shingles of the other side that are sent to every task at most; more meet by the inverted index.
+BROADCAST_GRAMS = 1_000_000
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, above: float = 0.7, other: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) of pairs of texts whose shingles' Jaccard similarity is above a bound, strictly.
 
     An inverted index with a prefix filter: texts of similarity above t share one of the first
     n - ceil(t * n) + 1 of their n shingles, in an order of all shingles by frequency, rare ones first.
     Shingles that one text alone has can't be shared and are dropped. Texts without shingles never pair.
-    With `other`, pairs of a text of docs and one of other; else pairs a < b of docs.
+    With `other`, pairs of a text of docs and one of other; else pairs a < b of docs. Shingles of an
+    `other` of up to BROADCAST_GRAMS go to the tasks, which count what each text shares with it.
     """
     both = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(0).alias("side"))
     if other is not None:
         both = both.unionByName(other.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(1).alias("side")))
     sets = both.select("id", "side", shingles(tokens(F.col("text")), k).alias("s"))
     grams = sets.select("id", "side", F.size("s").alias("n"), F.explode_outer("s").alias("g")).where("g is not null").withColumn("g", F.xxhash64("g"))
+    if other is not None:
+        theirs = grams.where("side = 1").select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
+        if theirs.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+            own = grams.where("side = 0").select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
+            inter = own.join(F.broadcast(theirs), "g").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+            return _similar(inter, above)
     shared = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     order = Window.partitionBy("side", "id").orderBy("df", "g")
     held = grams.join(shared, "g").withColumn("at", F.row_number().over(order))
@@ -101,6 +112,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, above: flo
     left = held.select(F.col("id").alias("a"), F.col("side").alias("sa"), "g")
     right = held.select(F.col("id").alias("b"), F.col("side").alias("sb"), "g")
     inter = pairs.join(left, ["a", "sa"]).join(right, ["b", "sb", "g"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    return _similar(inter, above)
+
+
+def _similar(inter: DataFrame, above: float) -> DataFrame:
     similarity = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return inter.where(similarity > above).select("a", "b", similarity.alias("similarity"))
 

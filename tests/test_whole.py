@@ -3,6 +3,7 @@
 import re
 
 import __spark_entry__ as contract
+from cardamom.operators import joins
 
 
 def table(spark, path, name, rows, schema):
@@ -17,7 +18,7 @@ def words(tag, n):
     return " ".join(f"{tag}{i}" for i in range(n))
 
 
-def test_long_documents_meet_the_benchmark(spark, tmp_path):
+def test_long_documents_meet_the_benchmark(spark, tmp_path, monkeypatch):
     item = words("item", 250)
     texts = [item + " " + words("tail", 100), words("item", 20), words("other", 400)]
     table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
@@ -31,6 +32,8 @@ def test_long_documents_meet_the_benchmark(spark, tmp_path):
     want = [(a, b, round(s, 9)) for a, b, s in pairs if s > 0.1]
     assert len(texts[0]) > 1000 and [a for a, _, _ in want] == [0]
     assert rows(spark, tmp_path, "v10_benchmark_overlap") == want
+    monkeypatch.setattr(joins, "BROADCAST_GRAMS", 10)
+    assert rows(spark, tmp_path, "v10_benchmark_overlap") == want
 
 
 def test_levels_of_all_documents(spark, tmp_path):
