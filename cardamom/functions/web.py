@@ -179,18 +179,15 @@ def heading_list(page: Column, wanted: str, reach: int = 5) -> Column:
 def day_groups(lines: Column, is_title: str) -> Column:
     """Program days: a line that matches begins a day, the lines after it are joined by ' | ', cut at 4000 characters.
 
-    Lines before the first title belong to no day.
+    Lines before the first title belong to no day; null lines don't count, nor do empty ones before a day's first text.
+    Each line is read once, however many days there are.
     """
-    empty = F.array().cast("array<struct<title: string, text: string>>")
-    return F.aggregate(
-        lines,
-        empty,
-        lambda days, line: F.when(F.rlike(line, F.lit(is_title)), F.concat(days, F.array(F.struct(line.alias("title"), F.lit("").alias("text")))))
-        .when(F.size(days) == 0, days)
-        .otherwise(
-            F.concat(
-                F.slice(days, F.lit(1), F.greatest(F.size(days) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(days, -1)["title"].alias("title"), F.left(F.concat(F.element_at(days, -1)["text"], F.when(F.element_at(days, -1)["text"] == "", F.lit("")).otherwise(F.lit(" | ")), line), F.lit(4000)).alias("text"))),
-            )
-        ),
-    )
+    starts = F.array_compact(F.transform(lines, lambda x, i: F.when(F.rlike(x, F.lit(is_title)), i + 1)))
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(0))), F.array(F.size(lines) + 1))
+    spans = F.filter(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["a"].isNotNull())
+
+    def day(x: Column) -> Column:
+        text = F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"] - 1), " | ")
+        return F.struct(F.element_at(lines, x["a"]).alias("title"), F.left(F.regexp_replace(text, r"^(?: \| )+", ""), F.lit(4000)).alias("text"))
+
+    return F.transform(spans, day)

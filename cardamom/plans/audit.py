@@ -107,7 +107,7 @@ def a12_next_suffix(spark, d):
     return audit.next_number(ids, "id", r"(\d+)$")
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS s FROM documents WHERE length(text) < 2000)
+@query("""WITH t AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS s FROM documents)
 SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(a.s) AS INT) AS n_a, CAST(len(b.s) AS INT) AS n_b, CAST(len(list_intersect(a.s, b.s)) AS INT) AS shared,
        round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard
 FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")

@@ -112,7 +112,7 @@ def j12_near_dup(spark, d):
     return joins.near_duplicates(load(spark, d, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-@query(f"""WITH src AS (SELECT -1 - item_id AS id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents WHERE length(text) < 1000), {_SHINGLES}
+@query(f"""WITH src AS (SELECT -1 - item_id AS id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents), {_SHINGLES}
 SELECT a.id AS a, -1 - b.id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS similarity FROM g a JOIN g b ON a.g = b.g AND a.id >= 0 AND b.id < 0 GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) > 0.1""")
 def v10_benchmark_overlap(spark, d):
     docs, items = load(spark, d, "documents", "benchmark")

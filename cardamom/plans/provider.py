@@ -34,7 +34,7 @@ def l3_concat_by_role(spark, d):
     return provider.joined_by_role(load(spark, d, "conversations"), "conv_id", "turn")
 
 
-@query("SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:5], ' ') AS line FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, text AS line FROM conversations) GROUP BY conv_id")
 def l4_ocr_text(spark, d):
     lines = load(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"))).alias("words"))
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("turn", "words"))), lambda x: F.struct(x["words"].alias("words")))

@@ -20,13 +20,13 @@ def w1_alloc(spark, d):
     return audit.allocate(_audit(spark, d), 20)
 
 
-@query(f"SELECT doc_id, CAST((row_number() OVER (ORDER BY {MIX}, doc_id) - 1) % 12 AS INT) AS slot FROM documents WHERE doc_id % 9 = 0")
+@query(f"SELECT doc_id, CAST((row_number() OVER (ORDER BY {MIX}, doc_id) - 1) % 12 AS INT) AS slot FROM documents")
 def w2_round_robin(spark, d):
     plan = load(spark, d, "documents").select("doc_id")
     return sampling.round_robin(plan, [str(i) for i in range(12)], [_mix(), "doc_id"]).select("doc_id", F.col("topic").cast("int").alias("slot"))
 
 
-@query("SELECT doc_id, 'synth_' || source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) + 3 AS VARCHAR), 3, '0') AS case_id FROM documents WHERE doc_id % 10 = 1")
+@query("SELECT doc_id, 'synth_' || source || '_' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS case_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) + 3 AS n FROM documents)")
 def w3_ids(spark, d):
     from ..functions.text import known_id
 
@@ -39,7 +39,7 @@ def w4_topk(spark, d):
     return sampling.top_k(load(spark, d, "events").select("user_id", "event_id", "value"), "user_id", [F.col("value").desc(), "event_id"], 3)
 
 
-@query("SELECT doc_id, i - 1 AS at, w[i] AS word FROM (SELECT doc_id, string_split(text, ' ')[1:10] AS w, unnest(range(1, 11))::INT AS i FROM documents) WHERE i <= len(w)")
+@query("SELECT doc_id, CAST(i - 1 AS INT) AS at, word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
 def w5_positions(spark, d):
     return load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
 

@@ -141,7 +141,9 @@ def p18_nav_items(spark, d):
     return load(spark, d, "pages").select("page_id", F.size(web.heading_list(page, "included")).cast("long").alias("items"))
 
 
-@query("SELECT conv_id, count(*) FILTER (role = 'user') AS days, CAST(sum(length(text)) FILTER (role = 'assistant' AND seen > 0) AS BIGINT) AS chars FROM (SELECT *, sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations WHERE length(text) < 1000) GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0")
+@query("""WITH d AS (SELECT conv_id, seen, regexp_replace(string_agg(CASE role WHEN 'assistant' THEN regexp_replace(text, '^Day', 'day') ELSE '' END, ' | ' ORDER BY turn) FILTER (role <> 'user'), '^( \\| )+', '') AS text
+FROM (SELECT *, sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations) WHERE seen > 0 GROUP BY conv_id, seen)
+SELECT conv_id, count(*) AS days, CAST(nullif(sum(length(replace(left(coalesce(text, ''), 4000), ' | ', ''))), 0) AS BIGINT) AS chars FROM d GROUP BY conv_id""")
 def p19_day_groups(spark, d):
     line = F.when(F.col("role") == "user", F.concat(F.lit("Day "), F.col("turn").cast("string"))).when(F.col("role") == "assistant", F.regexp_replace("text", "^Day", "day")).otherwise(F.lit(""))
     turns = load(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]).alias("lines"))

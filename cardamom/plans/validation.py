@@ -60,9 +60,9 @@ def _cards(spark, d):
 
 
 CARDS = """items AS (SELECT l_orderkey AS o_orderkey, l_linenumber, p_name, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name, l_returnflag) - 1 AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
-leaves AS (SELECT o_orderkey, 'title' AS path, o_orderpriority AS text FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 'location.address', o_orderstatus FROM orders WHERE o_orderkey % 10 = 0
-UNION ALL SELECT o_orderkey, 'program_items[' || i || '].title', p_name FROM items SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0) USING (o_orderkey)
-UNION ALL SELECT o_orderkey, 'program_items[' || i || '].description', l_returnflag FROM items SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0) USING (o_orderkey))"""
+leaves AS (SELECT o_orderkey, 'title' AS path, o_orderpriority AS text FROM orders UNION ALL SELECT o_orderkey, 'location.address', o_orderstatus FROM orders
+UNION ALL SELECT o_orderkey, 'program_items[' || i || '].title', p_name FROM items SEMI JOIN orders USING (o_orderkey)
+UNION ALL SELECT o_orderkey, 'program_items[' || i || '].description', l_returnflag FROM items SEMI JOIN orders USING (o_orderkey))"""
 
 
 @query(f"WITH {CARDS} SELECT * FROM leaves")
@@ -70,7 +70,7 @@ def p26_leaf_flatten(spark, d):
     return validation.flatten(_cards(spark, d), "card", ["o_orderkey"])
 
 
-@query(f"""WITH {CARDS}, claims AS (SELECT o_orderkey, CASE o_orderkey // 10 % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'program_items[1].title' WHEN 2 THEN 'program_items[9].title' ELSE 'location' END AS path, CASE WHEN o_orderkey % 30 = 0 THEN 'i' ELSE 'e' END AS quote FROM orders WHERE o_orderkey % 10 = 0)
+@query(f"""WITH {CARDS}, claims AS (SELECT o_orderkey, CASE o_orderkey // 10 % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'program_items[1].title' WHEN 2 THEN 'program_items[9].title' ELSE 'location' END AS path, CASE WHEN o_orderkey % 30 = 0 THEN 'i' ELSE 'e' END AS quote FROM orders)
 SELECT c.o_orderkey, c.path, c.quote, coalesce(contains(text, quote), false) AS found FROM claims c LEFT JOIN leaves USING (o_orderkey, path)""")
 def p25_quote_check(spark, d):
     cards = _cards(spark, d)
@@ -90,7 +90,8 @@ def v5_quote_missing(spark, d):
 
 
 @query("""SELECT case_id, CASE WHEN NOT regexp_matches(case_id, '^synth_src\\d+_\\d{3}$') THEN 'error' WHEN quality IS NULL THEN 'skip' WHEN quality = 1 AND toxic = 1 THEN 'error' WHEN doc_id % 11 = 0 THEN 'warn' ELSE 'ok' END AS level
-FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'real_' ELSE 'synth_' END || source || '_' || lpad(CAST(doc_id AS VARCHAR), 3, '0') AS case_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id < 1000)""")
+FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'real_' ELSE 'synth_' END || source || '_' || lpad(CAST(number AS VARCHAR), greatest(3, length(CAST(number AS VARCHAR)))::INT, '0') AS case_id, quality, toxic
+      FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents) LEFT JOIN labels USING (doc_id))""")
 def v6_pending_levels(spark, d):
     docs, labels = load(spark, d, "documents", "labels")
     n = F.col("doc_id")
@@ -120,7 +121,7 @@ def v8_blocklist(spark, d):
 @query(r"""WITH k AS (SELECT source, lang || ':' || array_to_string([w FOR w IN regexp_split_to_array(lower(trim(text)), '\s+') IF w <> ''][1:3], ' ') AS key FROM documents)
 SELECT source, count(*) AS n, CASE WHEN count(*) < 5 THEN 1.0 ELSE count(DISTINCT key) / count(*) END AS ratio, count(*) >= 5 AND count(DISTINCT key) / count(*) < 0.4 AS warning FROM k GROUP BY source""")
 def v9_diversity(spark, d):
-    rows = load(spark, d, "documents").select("source", ft.topic_key(F.lit(None).cast("string"), F.col("lang"), F.left("text", F.lit(10**6))).alias("key"))
+    rows = load(spark, d, "documents").select("source", ft.topic_key(F.lit(None).cast("string"), F.col("lang"), F.col("text")).alias("key"))
     return validation.diversity(rows, ["source"], "key")
 
 
