@@ -6,11 +6,9 @@ either side until the tokens outside it are proven to stay, which holds at a *sa
 a character that is not white space followed by one that is: no alternative of the
 pre-token pattern matches across it (white space only ever begins a match or fills it),
 and neither side's matches depend on what lies beyond it. Where a half has no safe cut
-the window takes all of it.
+the window takes all of it, however long it is: one engine splits windows of all sizes,
+since the Unicode tables of another one differ.
 
-One long pre-token is halved likewise. There the window is whole when the two pairs
-of tokens at its edges are stable, that is, when encoding a pair's bytes gives the
-pair again: a sequence of tokens is the encoding if every neighbouring pair is.
 Decoding concatenates the bytes of the halves. Joining is associative, with the
 empty text as unit, so any tree over the same text gives the same ids.
 """
@@ -20,24 +18,20 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import map_text
 
-#: Characters of a leaf; bytes of a pre-token that is encoded without halving.
-LEAF, PIECE = 8192, 512
+#: Characters of a leaf, ids that are decoded at once.
+LEAF = 8192
 #: Characters to either side of a border in the first window; each further one has four times as many.
 WINDOW = 32
 #: A safe cut: one that holds under any definition of white space.
 SAFE_CUT = re.compile(r"\S(?=[ \t\n\r])")
-#: Pairs of tokens whose stability a task remembers at most.
-REMEMBERED = 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -51,43 +45,7 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self._core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._bytes = {i: b for b, i in ranks.items()}
-        self._split = regex.compile(pattern).findall
         self._cut = SAFE_CUT.finditer
-        self._stable: dict[tuple[int, int], bool] = {}
-
-    # One pre-token
-
-    def _whole(self, data: bytes) -> list[int]:
-        return list(self._core._core_bpe.encode_single_piece(data))
-
-    def _stays(self, a: int, b: int) -> bool:
-        if (known := self._stable.get((a, b))) is None:
-            if len(self._stable) > REMEMBERED:
-                self._stable.clear()
-            known = self._stable[a, b] = self._whole(self._bytes[a] + self._bytes[b]) == [a, b]
-        return known
-
-    def encode_piece(self, data: bytes) -> list[int]:
-        """Ids of one pre-token's bytes."""
-        if len(data) <= PIECE:
-            return self._whole(data)
-        half = len(data) // 2
-        a, b = self.encode_piece(data[:half]), self.encode_piece(data[half:])
-        n = 4
-        while True:
-            i, j = max(0, len(a) - n), min(len(b), n)
-            window = b"".join(self._bytes[t] for t in chain(a[i:], b[:j]))
-            new = self._whole(window)
-            if (i == 0 or self._stays(a[i - 1], new[0])) and (j == len(b) or self._stays(new[-1], b[j])):
-                return a[:i] + new + b[j:]
-            n *= 2
-
-    # Texts
-
-    def _direct(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
-            return self._core.encode_ordinary(text)
-        return list(chain.from_iterable(self.encode_piece(p.encode()) for p in self._split(text)))
 
     def _last_cut(self, text: str, lo: int, hi: int) -> int:
         """The last safe cut of text[lo:hi], or lo."""
@@ -115,9 +73,10 @@ class ByteBPE:
         if not left or not right:
             return left or right
         p, q = self._last_cut(text, lo, mid), self._first_cut(text, mid, hi)
-        keep = len(left) - len(self._direct(text[p:mid])) if p > lo else 0
-        skip = len(self._direct(text[mid:q])) if q < hi else len(right)
-        return left[:keep] + self._direct(text[p:q]) + right[skip:]
+        direct = self._core.encode_ordinary
+        keep = len(left) - len(direct(text[p:mid])) if p > lo else 0
+        skip = len(direct(text[mid:q])) if q < hi else len(right)
+        return left[:keep] + direct(text[p:q]) + right[skip:]
 
     def _tree(self, text: str, lo: int, hi: int) -> list[int]:
         if hi - lo <= LEAF:
