@@ -36,6 +36,7 @@ RANGES = [
     (0xFFE0, "Other"), (0x20000, "Han"), (0x30000, "Other"),
 ]
 SCRIPTS = list(dict.fromkeys(s for _, s in RANGES))
+MARK = 0x80
 #: Buckets of letter trigrams.
 BUCKETS = 1 << 16
 #: Documents of each language that the model is fitted on, about; chosen by a hash of the id.
@@ -52,23 +53,33 @@ _CHARS = 1 << 18
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """For each code point 0, or 1 and the number of the script of that letter or mark."""
+    """For each code point 0, or 1 and the number of the script of that letter or mark, with MARK added for a mark."""
     out = np.zeros(0x110000, np.uint8)
     starts = [a for a, _ in RANGES] + [0x110000]
     for (a, script), b in zip(RANGES, starts[1:], strict=True):
         out[a:b] = 1 + SCRIPTS.index(script)
-    assigned = [c for lo, hi in ((0, 0x323B0), (0xE0100, 0xE01F0)) for c in range(lo, hi) if unicodedata.category(chr(c))[0] in "LM"]
-    keep = np.zeros(0x110000, bool)
-    keep[assigned] = True
-    out[~keep] = 0
+    for c in (c for lo, hi in ((0, 0x323B0), (0xE0100, 0xE01F0)) for c in range(lo, hi)):
+        kind = unicodedata.category(chr(c))[0]
+        out[c] = out[c] if kind == "L" else out[c] | MARK if kind == "M" else 0
+    out[0x323B0:0xE0100] = out[0xE01F0:] = 0
     return out
 
 
 def _features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram buckets of a text's letters, start of each word among them, script of each word (its last letter's)."""
+    """Trigram buckets of a text's letters and marks, start of each word among them, script of each word (its last one's).
+
+    A word is a run of letters and marks that has a letter.
+    """
     code = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     script = _letters()[np.minimum(code, 0x10FFFF)]
     at = np.flatnonzero(script)
+    letter = script[at] < MARK
+    if len(at) and not letter.all():
+        word = np.cumsum(script[at - 1] == 0) - 1
+        bare = np.bincount(word, letter) == 0
+        script[at[bare[word]]] = 0
+        at = np.flatnonzero(script)
+        script &= MARK - 1
     if not len(at):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     code = np.where(script > 0, code, 32).astype(np.uint32)
