@@ -2,36 +2,52 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import ship
-from .wordhash import binary, packs
+from .wordhash import binary
 
 #: Bytes of text handed to an operator's kernel at once (one longer text goes alone).
 PACK = 4 << 20
-#: Rows of an Arrow batch at most: several batches of whole texts are in a worker's and its executor's memory at once.
-BATCH_ROWS = 2000
+#: Bytes that a table sent to every task may have there at most.
+BROADCAST_BYTES = 64 << 20
 _TEXT = "__text"
 
 #: Gets texts as UTF-8 bytes (None for null) and the further columns; returns one list or array for each output column.
 Kernel = Callable[..., Sequence]
 
 
+def parts(batch: pa.RecordBatch, columns: Sequence[int | str], limit: int = PACK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in these columns have `limit` bytes together, or one row of more.
+
+    Slices share the batch's memory. How many bytes a batch has is Spark's setting
+    (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), whatever the length of its texts.
+    """
+    if not batch.num_rows:
+        return
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    total, at, before = np.cumsum(sizes), 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(total[end - 1])
+
+
 def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: str = "text", keep: Sequence[str] = ("doc_id",), also: Sequence[str] = ()) -> DataFrame:
     """Adds the columns of the DDL string `outputs`, computed from whole texts and the columns of `also`, to the kept columns.
 
     No shuffle; a lost task is done again from its input split alone. Only these columns are read. A kept column of an output's name gives way to the output. `factory` runs once in each task.
     """
     ship(df.sparkSession)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(rows)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(rows, BATCH_ROWS)
     made = StructType.fromDDL(outputs)
     names = set(made.names)
     keep = [c for c in keep if c not in names]
@@ -46,25 +62,32 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
 
         kernel, into = factory(), to_arrow_schema(made)
         for batch in batches:
-            texts = binary(batch.column(own))
-            for lo, hi in packs(texts, PACK):
-                kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                more = [batch.column(more_at + i).slice(lo, hi - lo) for i in range(len(also))]
-                new = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(kernel(texts[lo:hi], *more), into, strict=True)]
-                yield pa.RecordBatch.from_arrays(kept + new, names=[*keep, *made.names])
+            for part in parts(batch, [own]):
+                more = [part.column(more_at + i) for i in range(len(also))]
+                new = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(kernel(binary(part.column(own)), *more), into, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=[*keep, *made.names])
 
     return source.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir), or one of our own where none is named."""
+    """The folder that the cluster shares, which spark.checkpoint.dir names.
+
+    Where none is named, a session on this machine alone gets a folder of its own; any other is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "/tmp/cardamom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="cardamom-"))
     return named.rstrip("/")
 
 
+#: Folders of sessions on this machine, by application.
+_own_dirs: dict[str, str] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read again: cuts the lineage, outlives executors.
 
@@ -91,6 +114,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, most: int) -> bool:
-    """Whether df has at most `most` rows, found without reading more of them than that to the driver."""
-    return df.limit(most + 1).agg(F.count("*")).first()[0] <= most
+def small(df: DataFrame, most: int, width: Column | None = None, row_bytes: int = 32) -> bool:
+    """Whether df has at most `most` rows and, at row_bytes and `width` bytes each, BROADCAST_BYTES at most in all.
+
+    Found without reading more rows than that.
+    """
+    n, size = df.limit(most + 1).agg(F.count("*"), F.sum(F.lit(row_bytes) + (F.coalesce(width, F.lit(0)) if width is not None else F.lit(0)))).first()
+    return n <= most and (size or 0) <= BROADCAST_BYTES
