@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -26,10 +27,9 @@ def strings(n, most, seed, signs=SIGNS):
     return ["".join(rng.choice(signs) for _ in range(rng.randint(0, most))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("leaf", "piece", "window"), [(7, 6, 2), (1, 2, 1), (30, 512, 32)])
-def test_bpe_is_tiktokens(coder, monkeypatch, leaf, piece, window):
+@pytest.mark.parametrize(("leaf", "window"), [(7, 2), (1, 1), (30, 32)])
+def test_bpe_is_tiktokens(coder, monkeypatch, leaf, window):
     monkeypatch.setattr(bpe, "LEAF", leaf)
-    monkeypatch.setattr(bpe, "PIECE", piece)
     monkeypatch.setattr(bpe, "WINDOW", window)
     for s in strings(1500, 80, 1) + strings(500, 60, 2, ["the", "ing", "qu", "er", "zz", "tion", "a"]):
         ids = coder.encode(s)
@@ -37,9 +37,20 @@ def test_bpe_is_tiktokens(coder, monkeypatch, leaf, piece, window):
         assert coder.decode(ids).decode() == s
 
 
-def test_bpe_long_word(coder):
-    s = "ab" * 30_000
-    assert coder.decode(coder.encode(s)).decode() == s
+@pytest.mark.parametrize("s", ["ab" * 30_000, "漢字" * 20_000, " " * 40_000, "!?" * 30_000 + "x"])
+def test_bpe_long_word(coder, s):
+    ids = coder.encode(s)
+    assert ids == coder._core.encode_ordinary(s) and coder.decode(ids).decode() == s
+
+
+def test_bpe_of_every_code_point(coder):
+    """Texts over LEAF of all code points in pairs with a letter, a digit and one another, without a safe cut near."""
+    points = [chr(c) for c in range(0x21, 0x110000) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+    rng = random.Random(14)
+    for pair in (lambda c: c + "鿿", lambda c: "a" + c, lambda c: c + "1", lambda c: c + rng.choice(points)):
+        for at in range(0, len(points), 100_000):
+            s = "".join(map(pair, points[at : at + 100_000]))
+            assert len(s) > bpe.LEAF and coder.encode(s) == coder._core.encode_ordinary(s)
 
 
 def test_token_tree_under_edits(coder, monkeypatch):
@@ -191,7 +202,9 @@ def test_broken_pages_do_not_fail(page):
     htmltext.lines(page)
 
 
-def test_shared_lines():
+@pytest.mark.parametrize("bits", [1 << 28, 8])
+def test_shared_lines(monkeypatch, bits):
+    monkeypatch.setattr(htmltext, "ALIGNED_BITS", bits)
     rng = random.Random(10)
     for _ in range(300):
         a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 9))] for _ in range(2))
@@ -205,6 +218,28 @@ def test_shared_lines():
         assert all(a[i] in rest for i in got)
 
 
+@pytest.mark.parametrize("line", [lambda i: 0, lambda i: i % 3, lambda i: i, lambda i: i * 7919 % 8000])
+def test_many_lines_are_aligned_soon(line):
+    a, b = [line(i) for i in range(8000)], [line(i + 1) for i in range(7990)] + [-1]
+    began = time.time()
+    assert len(htmltext.shared(a, b)) > 80
+    assert time.time() - began < 1
+
+
+@pytest.mark.parametrize("page", ["<b>" * 10_000 + "</i>" * 10_000, "<b>" * 10_000 + "<p>x" * 10_000, "<div>" * 10_000 + "</p>" * 10_000, "<td>" * 20_000])
+def test_open_and_stray_tags_end_soon(page):
+    began = time.time()
+    htmltext.lines(page)
+    assert time.time() - began < 1
+
+
+def test_classes_inside_an_article():
+    page = '<article><h1>T</h1><p class="social-policy">a</p><p id="related">b</p><p class="search">c</p><div class="ad-slot">x</div><div class="comment-list">y</div></article>'
+    assert [t for t, kind in htmltext.lines(page) if kind == htmltext.IN] == ["T", "a", "b", "c"]
+    outside = '<div class="social-policy">a</div><div class="cookie-policy">x</div><div class="site-notice">y</div><div class="search-for-words">b</div><div id="shareButtons">z</div>'
+    assert [t for t, kind in htmltext.lines(outside) if kind != htmltext.OUT] == ["a", "b"]
+
+
 def model():
     texts = {"en": "the quick thing with that other thing " * 30, "fr": "les choses que nous avons vues " * 30, "ru": "это совсем другой язык " * 30}
     langs = sorted(texts)
@@ -223,6 +258,8 @@ def test_language_spans():
     assert [s["lang"] for s in spans] == ["en", "fr"]
     assert m.label("совсем другой")[0] == "ru"
     assert m.label("") == ("und", 0.0, []) and m.label("12 34 !")[0] == "und"
+    assert m.label("\u0301\u0301")[0] == "und" and m.label("1\u0308 2\u0308")[0] == "und"
+    assert m.label("the other thing \u0301 1\u0308") == m.label("the other thing")
     assert m.label("漢字")[1] == 0.0 and m.label("漢字")[0] in m.langs
 
 

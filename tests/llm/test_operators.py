@@ -238,7 +238,8 @@ def test_pages_of_near_urls(spark):
     got = {r["page_id"]: r["text"] for r in htmltext.extract(with_clashes(pages)).collect()}
     assert [got[i] for i in range(1, 6)] == [f"text {i}" for i in range(1, 6)]
     assert got[7] == "Site name\nalone\nAll rights reserved" and got[8].startswith("Site name") and got[9] == "" and got[10] == "Mine" and got[11] == "x"
-    assert htmltext.extract(pages, broadcast_rows=0).where("page_id = 2").first()["text"] == "text 2"
+    decided = {r["page_id"]: r["decided_by"] for r in htmltext.extract(pages).collect()}
+    assert decided[2] == "difference" and decided[10] == "markup" and decided[7] is None and decided[9] is None
 
 
 def test_copies_of_a_page_keep_their_text(spark):
@@ -261,6 +262,44 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert texts[300] == "marked" and texts[301] == "marked"
 
 
+def near(body, i):
+    """A copy of a text with one line changed."""
+    return [*body[:i], f"changed line {i} of it", *body[i + 1 :]]
+
+
+def test_pages_without_an_article(spark):
+    """Templates of plain divs on three hosts: the text is what the neighbours don't share, copies of a story keep it."""
+
+    def page(host, lines):
+        head = "".join(f"<div>{host} menu entry {k}</div>" for k in range(4))
+        return f"<html><body>{head}{''.join(f'<p>{x}</p>' for x in lines)}<div>{host} all rights reserved</div></body></html>"
+
+    rows, want = [], {}
+    for h in range(3):
+        for i in range(12):
+            body = [f"{w} of story {h} {i}" for w in words(60 + 20 * h + i, 3 + i % 5)]
+            rows.append((100 * h + i, f"https://h{h}.example/s{i // 4}/{i}", page(h, body)))
+            want[100 * h + i] = "\n".join(body)
+    story = [f"a long line of one story that two mirrors have, number {k}, with more words in it" for k in range(14)]
+    for k in range(30):
+        body = near(story, k % 14)
+        rows.append((1000 + k, f"https://h1.example/s1/4-{k:02}", page(1, body)))
+        want[1000 + k] = "\n".join(body)
+    got = {r["page_id"]: r for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert {r["decided_by"] for r in got.values()} == {"difference"}
+    # two mirrors of one story and nothing else on the host: none empties the other
+    two = [(i, f"https://x.example/a/{i}", page(1, near(story, i))) for i in range(2)]
+    got = htmltext.extract(spark.createDataFrame(two, "page_id long, url string, html string")).collect()
+    assert all("of one story" in r["text"] for r in got)
+
+
+def test_long_pages(spark):
+    rows = [(i, f"https://h.example/{i}", f"<div>site</div>{'<p>same</p>' * 4000}" + "".join(f"<p>text {i} {k}</p>" for k in range(4000))) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(f"text {i} {k}" for k in range(4000)) for i in range(2)}
+
+
 def test_language_rows(spark):
     en, fr = "the thing with that other quick story ", "les choses que nous avons toujours vues "
     rows = [(i, (en if i % 2 else fr) * 5, "en" if i % 2 else "fr") for i in range(40)] + [(100, None, "en"), (101, "", None), (102, "123 !", "fr"), (None, en, "en")]
