@@ -45,7 +45,7 @@ def test_parts_are_bounded_by_bytes():
     got = list(common.parts(batch, ["t"], 60))
     assert [x for p in got for x in p.column("i").to_pylist()] == list(range(len(texts)))
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("t").to_pylist()) <= 60 for p in got)
-    assert len(got) == 5 and list(common.parts(batch.slice(0, 0), ["t"])) == []
+    assert len(got) == 4 and list(common.parts(batch.slice(0, 0), ["t"])) == []
 
 
 def test_stored_tables_can_be_discarded(spark):
