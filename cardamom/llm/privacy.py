@@ -1,14 +1,16 @@
 """Personal data: fixed detectors, and contextual extraction bootstrapped from what they find.
 
-The detectors' matches are seed entities. The one or two words before an entity are
-lexical patterns; patterns and the entity-like strings that they precede form a
-bipartite graph. Over some rounds a pattern is as trustworthy as the share of its
-occurrences in the whole corpus that precede known entities, and a string as its best
-pattern. Strings that no detector knows but that follow a trusted pattern are added.
+The detectors' matches are seed entities, and so are random-looking strings of the kind that keys
+and tokens are. The one or two words before an entity, and those after it, are lexical patterns;
+patterns and the entity-like strings beside them form a bipartite graph. Over some rounds a
+pattern is as trustworthy as the share of its occurrences in the whole corpus that stand beside
+known entities, and a string as its best pattern. Strings that no detector knows but that stand
+beside a trusted pattern are added; a random-looking string without such a pattern is not.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 
@@ -18,23 +20,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import map_text, small, stored
-from .wordhash import binary, many, packs, windows, words
+from .common import map_text, parts, small, stored
+from .wordhash import U64, binary, byte_class, many, packs, windows
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind of random-looking seeds, and of what is added for them.
+SECRET = "secret"
 #: Rounds of the bootstrap; share of a pattern's occurrences that must precede entities; different known entities it must precede.
 ROUNDS, TRUST, SUPPORT = 3, 0.5, 3
-#: Patterns whose occurrences one pass over the texts counts (eight bytes each); more take more passes.
-PATTERNS = 200_000
-#: Characters before an entity in which its pattern's words are looked for.
-_BEFORE = 80
+#: Places of the fixed-size filter through which the corpus's words pass before they are counted.
+FILTER_BITS = 23
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK, _MARKED = re.compile(r"[0-9@]"), re.compile(rb"[0-9@]")
+_MARK_BYTE = byte_class(lambda b: b == 0x40 or 0x30 <= b <= 0x39)
+_RANDOM = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
+_TURN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _SPACE_BEFORE = re.compile(r"\s")
 _WHITE = " \t\n\r\x0b\x0c"
 _TRIM = "\"'`.,;:!?()[]{}<>|*#$%&="
@@ -105,11 +110,9 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind in KINDS for a, b in DETECTORS[kind](text)]
 
 
-def _contexts(text: str, at: int) -> list[str]:
-    """The last word before a position, and the last two."""
-    before = text[max(0, at - _BEFORE) : at].encode().lower().split()[-2:]
-    found = [b" ".join(before[-n:]).decode("utf-8", "replace") for n in (1, 2) if len(before) >= n]
-    return [c for c in found if not _MARK.search(c)]
+def random_looking(word: str) -> bool:
+    """Whether a string is long and goes to and fro between letters and digits, as keys and tokens do."""
+    return _RANDOM.fullmatch(word) is not None and len(_TURN.findall(word)) >= max(4, len(word) // 8)
 
 
 def entity_like(text: str, known: Sequence[Span]) -> Iterator[Span]:
@@ -135,119 +138,157 @@ def entity_like(text: str, known: Sequence[Span]) -> Iterator[Span]:
             yield lo, hi
 
 
-_ENTITY = "kind: string, start: int, end: int, instance: string, patterns: array<string>"
+_ENTITY = "kind: string, start: int, end: int, instance: long, patterns: array<struct<gram: long, after: boolean>>"
+
+
+def _entities(text: bytes) -> tuple[list[dict], list[dict]]:
+    """Base and other entities of a text, with the bytes at which they begin and end."""
+    s = text.decode("utf-8", "replace")
+    base = detect(s)
+    others = [(SECRET if random_looking(s[a:b]) else None, a, b) for a, b in entity_like(s, [x[1:] for x in base])]
+    # bytes of the characters before each position, found once in their order
+    at, before, done = {}, 0, 0
+    for p in sorted({p for _, a, b in (*base, *others) for p in (a, b)}):
+        before, done = before + len(s[done:p].encode()), p
+        at[p] = before
+    made = [
+        [{"kind": k, "start": a, "end": b, "instance": int.from_bytes(hashlib.blake2b(s[a:b].lower().encode(), digest_size=8).digest(), "little", signed=True), "bytes": (at[a], at[b]), "patterns": []} for k, a, b in x]
+        for x in (base, others)
+    ]
+    return made[0], made[1]
+
+
+def _add_patterns(texts: list[bytes], entities: list[list[dict]]) -> None:
+    """Gives entities their patterns: hashes of the word or two words before them, and of those after them.
+
+    Words are what stands between white space, and those with digits or an @ are no context. An entity's
+    own words are those that it begins and ends in.
+    """
+    h, s, e, first, joined = many([t.lower() for t in texts])
+    marks = np.concatenate([[0], np.cumsum(_MARK_BYTE[np.frombuffer(joined, np.uint8)])])
+    plain = marks[e] == marks[s]
+    pairs = windows(h, 2).astype(np.int64)
+    signed = h.astype(np.int64)
+    offset = 0
+    for t, own, lo, hi in zip(texts, entities, first[:-1].tolist(), first[1:].tolist(), strict=True):
+        for x in own:
+            a, b = x.pop("bytes")
+            i, j = int(np.searchsorted(s, offset + a, "right")) - 1, int(np.searchsorted(s, offset + b - 1, "right"))
+            if i - 1 >= lo and plain[i - 1]:
+                x["patterns"].append({"gram": int(signed[i - 1]), "after": False})
+                if i - 2 >= lo and plain[i - 2]:
+                    x["patterns"].append({"gram": int(pairs[i - 2]), "after": False})
+            if j < hi and plain[j]:
+                x["patterns"].append({"gram": int(signed[j]), "after": True})
+                if j + 1 < hi and plain[j + 1]:
+                    x["patterns"].append({"gram": int(pairs[j]), "after": True})
+        offset += len(t) + 1
 
 
 def _mentions(texts: list[bytes | None]) -> tuple[list, list]:
-    base, others = [], []
-    for t in texts:
-        s = (t or b"").decode("utf-8", "replace")
-        found = detect(s)
-        base.append([{"kind": k, "start": a, "end": b, "instance": s[a:b].lower(), "patterns": _contexts(s, a)} for k, a, b in found])
-        rest = entity_like(s, [x[1:] for x in found]) if _MARK.search(s) else ()
-        others.append([{"kind": None, "start": a, "end": b, "instance": s[a:b].lower(), "patterns": _contexts(s, a)} for a, b in rest])
+    base, others = [[] for _ in texts], [[] for _ in texts]
+    marked = [i for i, t in enumerate(texts) if t and _MARKED.search(t)]
+    for i in marked:
+        base[i], others[i] = _entities(texts[i])
+    some = [i for i in marked if base[i] or others[i]]
+    for lo, hi in packs([texts[i] for i in some]):
+        _add_patterns([texts[i] for i in some[lo:hi]], [base[i] + others[i] for i in some[lo:hi]])
     return base, others
 
 
 def mentions(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Kept columns, base and others: array<struct<kind, start, end, instance, patterns>>."""
+    """Kept columns, base and others: array<struct<kind, start, end, instance, patterns>>. Of others, random-looking ones have a kind."""
     return map_text(docs, f"base array<struct<{_ENTITY}>>, others array<struct<{_ENTITY}>>", lambda: _mentions, text, keep)
 
 
-def occurrences(docs: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
-    """(pattern, total): how often each pattern's words stand in the texts."""
+def occurrences(docs: DataFrame, grams: DataFrame, text: str = "text") -> DataFrame:
+    """(gram, total): how often each of the words, or pairs of words, stands in the texts.
+
+    One pass over the texts, however many there are to count. A filter of a fixed size goes to the
+    tasks; what passes it is counted in each batch, and the counts are joined with the grams.
+    """
     ship(docs.sparkSession)
-    coded = {}
-    for p in patterns:
-        h = words(p.encode())[0]
-        coded[int(h[0] if len(h) == 1 else windows(h, 2)[0])] = p
-    keys = np.array(sorted(coded), np.uint64)
-    names = [coded[int(k)] for k in keys]
+    size = 1 << FILTER_BITS
+    places = grams.select(F.pmod("gram", F.lit(size)).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+    bits = np.zeros(size, bool)
+    bits[places] = True
+    packed = np.packbits(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
-
-        def add(h: np.ndarray) -> None:
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            total[:] += np.bincount(at[keys[at] == h], minlength=len(keys))
-
+        passes = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            texts = binary(batch.column(0))
-            for lo, hi in packs(texts):
-                h, _, _, first, _ = many([(t or b"").lower() for t in texts[lo:hi]])
-                add(h)
-                if len(h) > 1:
+            found = []
+            for part in parts(batch, [0]):
+                texts = binary(part.column(0))
+                for lo, hi in packs(texts):
+                    h, _, _, first, _ = many([(t or b"").lower() for t in texts[lo:hi]])
                     inside = np.ones(len(h), bool)
                     inside[first[1:-1][first[1:-1] < len(h)]] = False
-                    add(windows(h, 2)[inside[1:]])
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(total[some], pa.int64())], names=["pattern", "n"])
+                    for grams in (h, windows(h, 2)[inside[1:]]):
+                        found.append(grams[passes[(grams & U64(size - 1)).astype(np.int64)]])
+            keys, n = np.unique(np.concatenate(found) if found else np.empty(0, U64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    counted = docs.select(docs[text].cast("string")).mapInArrow(run, "gram long, n long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("total")).join(grams, "gram")
 
-    counted = docs.select(docs[text].cast("string")).mapInArrow(run, "pattern string, n long")
-    return counted.groupBy("pattern").agg(F.sum("n").alias("total"))
 
+_PATTERN = ["gram", "after"]
 
-def trusted_patterns(docs: DataFrame, found: DataFrame, text: str = "text", rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT, at_once: int = PATTERNS) -> DataFrame:
-    """(pattern, kind) of the patterns that the bootstrap trusts, from a table that mentions() gave.
+
+def trusted_patterns(docs: DataFrame, found: DataFrame, text: str = "text", rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
+    """(gram, after, kind, conf) of the patterns that the bootstrap trusts, from a table that mentions() gave.
 
     Edges are counted by pattern and string before anything is joined, so a common pattern or
-    string is one row of each task. Only patterns that precede some string without a kind, and
-    `support` different strings, can add anything; their occurrences are counted over all texts.
+    string is one row of each task. Only patterns beside some string that no detector knows, and
+    beside `support` different strings, can add anything; their occurrences are counted over all texts.
     """
-    spark = found.sparkSession
-    both = found.select(F.explode(F.concat("base", "others")).alias("m")).select("m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
-    edges = both.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
-    per = edges.groupBy("pattern").agg(F.count("*").alias("strings"), F.count_if(F.col("kind").isNull()).alias("unknown"), F.count_if(F.col("kind").isNotNull()).alias("seeds"))
-    useful = stored(per.where((F.col("unknown") > 0) & (F.col("strings") > support)).select("pattern"), "patterns")
-    n = useful.count()
-    if n == 0:
-        return spark.createDataFrame([], "pattern string, kind string")
-    parts = -(-n // at_once)
-    totals = None
-    for i in range(parts):
-        mine = [r[0] for r in useful.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i).collect()]
-        if mine:
-            more = occurrences(docs, mine, text)
-            totals = more if totals is None else totals.unionByName(more)
-    graph = stored(edges.join(totals, "pattern"), "graph")
-    strings = graph.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("sure")).distinct()
-    patterns = None
+    each = [found.select(F.explode(c).alias("m"), F.lit(c == "others").alias("new")) for c in ("base", "others")]
+    both = each[0].unionByName(each[1]).select("new", "m.kind", "m.instance", F.explode("m.patterns").alias("p")).select("*", "p.gram", "p.after").drop("p")
+    edges = stored(both.groupBy(*_PATTERN, "instance").agg(F.max("kind").alias("kind"), F.max("new").alias("new"), F.count("*").alias("n")), "edges")
+    per = edges.groupBy(*_PATTERN).agg(F.count("*").alias("strings"), F.max("new").alias("new"))
+    useful = stored(per.where(F.col("new") & (F.col("strings") >= support)).select(*_PATTERN), "patterns")
+    totals = occurrences(docs, useful.select("gram").distinct(), text)
+    graph = stored(edges.join(useful, _PATTERN, "left_semi").join(totals, "gram"), "graph")
+    seeds = graph.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("sure")).distinct()
+    strings, patterns = seeds, None
     for _ in range(rounds):
         patterns = (
             graph.drop("kind").join(strings, "instance")
-            .groupBy("pattern", "kind")
+            .groupBy(*_PATTERN, "kind")
             .agg((F.sum(F.col("n") * F.col("sure")) / F.max("total")).alias("conf"), F.count("*").alias("known"))
             .where((F.col("known") >= support) & (F.col("conf") >= trust))
         )
-        best = graph.where("kind is null").drop("kind").join(patterns, "pattern").groupBy("instance", "kind").agg(F.max(F.least("conf", F.lit(1.0))).alias("sure"))
-        seeds = graph.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("sure")).distinct()
+        best = graph.where("kind is null").drop("kind").join(patterns, _PATTERN).groupBy("instance", "kind").agg(F.max(F.least("conf", F.lit(1.0))).alias("sure"))
         strings = stored(seeds.unionByName(best), "strings")
-    return stored(patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind")), "trusted")
+    return stored(patterns.groupBy(*_PATTERN).agg(F.max("conf").alias("conf"), F.max_by("kind", F.struct("conf", "kind")).alias("kind")), "trusted")
+
+
+def added_spans(found: DataFrame, patterns: DataFrame, row: str) -> DataFrame:
+    """(row, added array<struct<kind, start, end>>): the strings beside trusted patterns, each of its best one's kind."""
+    rest = found.where(F.col(row).isNotNull()).select(row, F.explode("others").alias("m")).select(row, "m.start", "m.end", F.explode("m.patterns").alias("p")).select("*", "p.gram", "p.after").drop("p")
+    known = F.broadcast(patterns) if small(patterns, BROADCAST_PATTERNS) else patterns
+    best = rest.join(known, _PATTERN).groupBy(row, "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
+    return best.groupBy(row).agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
 
 
 def extract(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """Kept columns, base and spans: arrays of struct<kind, start, end>, by kind and start; `spans` has the added ones too.
+    """Kept columns, base and spans: arrays of struct<kind, start, end>, by kind and start; `spans` has the added ones too, of any of KINDS or SECRET.
 
     Positions are code points, ends exclusive. Null and empty texts have no spans. Rows are told
     apart by a number of their own, so repeated rows and null ids each keep their result.
     A pattern of unknown strings alone is never trusted: without seeds nothing is added.
     """
     found = stored(mentions(docs, text, keep).withColumn("__row", F.monotonically_increasing_id()), "mentions")
-    patterns = trusted_patterns(docs, found, text, rounds, trust, support)
-    rest = found.select("__row", F.explode("others").alias("m")).select("__row", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
-    added = (
-        rest.join(patterns, "pattern")
-        .groupBy("__row", "start", "end").agg(F.max("kind").alias("kind"))
-        .groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    )
+    added = added_spans(found, trusted_patterns(docs, found, text, rounds, trust, support), "__row")
     base = F.transform("base", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     both = found.withColumn("__base", base).join(added, "__row", "left")
     spans = F.when(F.col("added").isNull(), F.col("__base")).otherwise(ordered(F.concat("__base", "added")))
     return both.select(*[c for c in keep if c not in ("base", "spans")], F.col("__base").alias("base"), spans.alias("spans"))
 
 
-#: Documents with added spans that are sent to every task at most; more are joined by a shuffle.
-BROADCAST_DOCS = 500_000
+#: Trusted patterns, and documents with added spans, that are sent to every task at most; more are joined by a shuffle.
+BROADCAST_PATTERNS, BROADCAST_DOCS = 500_000, 500_000
 
 
 def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -257,11 +298,8 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str
     id is masked by the detectors alone. Other columns stay as they are.
     """
     found = stored(mentions(docs, text, [id]), "mentions")
-    patterns = trusted_patterns(docs, found, text)
-    rest = found.where(F.col(id).isNotNull()).select(id, F.explode("others").alias("m")).select(id, "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
-    added = rest.join(patterns, "pattern").groupBy(id).agg(F.collect_set(F.struct("kind", "start", "end")).alias("__added"))
-    added = stored(added, "added")
-    joined = docs.join(F.broadcast(added) if small(added, BROADCAST_DOCS) else added, id, "left")
+    added = stored(added_spans(found, trusted_patterns(docs, found, text), id).withColumnRenamed("added", "__added"), "added")
+    joined = docs.join(F.broadcast(added) if small(added, BROADCAST_DOCS, F.size("__added") * 32) else added, id, "left")
 
     def kernel(texts, more):
         out, sizes = [], []
@@ -280,8 +318,8 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str
 
 
 def ordered(spans: Column) -> Column:
-    """Spans by kind, in the order of KINDS, then start."""
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    """Spans by kind, in the order of KINDS and SECRET, then start."""
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, SECRET)) for x in (k, i)])
     keyed = F.array_sort(F.transform(spans, lambda m: F.struct(F.element_at(rank, m["kind"]).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
     return F.transform(keyed, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 

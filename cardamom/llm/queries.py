@@ -79,7 +79,7 @@ def _count_kind(kind: str):
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = privacy.extract(table(spark, sf_dir, "documents"))
     counts = [_count_kind(k) for k in privacy.KINDS]
-    return found.select("doc_id", *counts, F.sha2(privacy.rendered("base"), 256).alias("base_sha256"), privacy.rendered("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(privacy.rendered("base"), 256).alias("base_sha256"), privacy.rendered("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,5 +59,5 @@ def test_stored_tables_can_be_discarded(spark):
 def test_small_counts_rows_and_bytes(spark):
     df = spark.range(10).select(F.array_repeat(F.lit(1), 100).alias("a"))
     assert common.small(df, 10) and not common.small(df, 9)
-    assert not common.small(df, 10, F.size("a") * common.BROADCAST_BYTES)
+    assert not common.small(df, 10, F.size("a").cast("long") * common.BROADCAST_BYTES)
     assert common.small(df.where("false"), 0, F.size("a"))

@@ -5,6 +5,7 @@ import html
 import os
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -89,6 +90,81 @@ def test_base_spans_of_documents(spark, texts):
     assert found > 20
 
 
+def brute_spans(texts, rounds=3, trust=0.5, support=3):
+    """All spans of each text by the same scoring with plain dictionaries, patterns as words instead of hashes."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    totals, edges, mentions, spans = Counter(), {}, {}, {}
+    for i, t in texts.items():
+        t = t or ""
+        words = [(m.start(), m.end(), m[0].translate(lower)) for m in re.finditer(r"[^ \t-\r]+", t)]
+        totals.update((w,) for _, _, w in words)
+        totals.update((v[2], w[2]) for v, w in zip(words, words[1:]))
+        base = privacy.detect(t)
+        spans[i] = list(base)
+        others = [(privacy.SECRET if privacy.random_looking(t[a:b]) else None, a, b) for a, b in privacy.entity_like(t, [x[1:] for x in base])]
+        mentions[i] = []
+        for new, found in ((False, base), (True, others)):
+            for kind, a, b in found:
+                before, after = [w for _, e, w in words if e <= a], [w for s, _, w in words if s >= b]
+                own = [(False, tuple(before[-n:])) for n in (1, 2) if len(before) >= n] + [(True, tuple(after[:n])) for n in (1, 2) if len(after) >= n]
+                own = [p for p in own if not any(re.search("[0-9@]", w) for w in p[1])]
+                if new:
+                    mentions[i].append((a, b, own))
+                for p in own:
+                    e = edges.setdefault((p, t[a:b].lower()), [0, "", False])
+                    e[0], e[1], e[2] = e[0] + 1, max(e[1], kind or ""), e[2] or new
+    strings, news = Counter(p for p, _ in edges), {p for (p, _), e in edges.items() if e[2]}
+    edges = {k: e for k, e in edges.items() if k[0] in news and strings[k[0]] >= support}
+    seeds = {(x, e[1]): 1.0 for (_, x), e in edges.items() if e[1]}
+    sure = dict(seeds)
+    for _ in range(rounds):
+        score, known = Counter(), Counter()
+        for (p, x), e in edges.items():
+            for (y, kind), s in sure.items():
+                if x == y:
+                    score[p, kind] += e[0] * s / totals[p[1]]
+                    known[p, kind] += 1
+        good = {k: v for k, v in score.items() if known[k] >= support and v >= trust}
+        sure = dict(seeds)
+        for (p, x), e in edges.items():
+            for (q, kind), v in good.items():
+                if p == q and not e[1]:
+                    sure[x, kind] = max(sure.get((x, kind), 0), min(v, 1.0))
+    best = {}
+    for (p, kind), v in good.items():
+        best[p] = max(best.get(p, (0, "")), (v, kind))
+    order = (*privacy.KINDS, privacy.SECRET)
+    for i, found in mentions.items():
+        spans[i] += [(max(best[p] for p in own if p in best)[1], a, b) for a, b, own in found if any(p in best for p in own)]
+        spans[i] = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans[i], key=lambda x: (order.index(x[0]), x[1])))
+    return spans
+
+
+def test_all_spans_of_documents(spark, duck):
+    data = DATA.replace("sf0.001", "sf0.01")
+    texts = dict(duck.execute(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall())
+    want = brute_spans(texts)
+    got = {r["doc_id"]: (r["spans"], r["n_spans"]) for r in queries.op8_pii(spark, data).collect()}
+    assert {i: s for i, (s, _) in got.items()} == want
+    assert all(n == len([x for x in s.split(",") if x]) for s, n in got.values())
+    # what the method adds: planted keys, all of them and nothing else
+    added = {(i, int(a), int(b)) for i, s in want.items() for k, a, b in (x.split(":") for x in s.split(",") if x) if k == privacy.SECRET}
+    assert added == {(i, *m.span(1)) for i, t in texts.items() for m in re.finditer('(?i)token = "([0-9a-f]+)"', t)} and len(added) > 10
+
+
+def test_spans_are_found_in_rounds(spark, tmp_path):
+    key = "0a1b2c3d4e5f6a7b8c9d0e1f"
+    texts = {i: f"w{i} say my number is +1 (743) 555-38{i:02d} thanks" for i in range(8)}
+    texts |= {20 + i: f"my number is 55512-34{i} thanks a lot then dial 55512-34{i} x{i}" for i in range(4)}  # known by a pattern, and so is the next one
+    texts |= {30: "then dial 777-88-99 now", 31: "he has 777-88-99 eggs", 32: "é number is 1234 in other words"}
+    texts |= {40 + i: f"api_key {key[i:]}{i}9x8y7z6w5 end" for i in range(4)} | {50: "api_key 12345 end", 51: f"lone {key} here", 52: None, 53: "", 54: "x" * 3000 + " api_key 99999" + " y" * 3000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["spans"] for r in queries.op8_pii(spark, str(tmp_path)).collect()}
+    assert got == brute_spans(texts)
+    assert got[20].startswith("phone:13:22,phone:") and got[30] == "phone:10:19" and got[31] == got[51] == ""
+    assert got[50] == "secret:8:13" and got[54] == "secret:3009:3014"
+
+
 def test_toxic_documents_are_found(spark, duck):
     # sf0.01: there are too few labels in the smallest tables. Toxic rows there are those with a word that some
     # toxic rows and no clean row have, and rows that have none and so can't be told from clean ones
