@@ -3,12 +3,18 @@
 An inner product becomes a metric by one more coordinate. With every vector x of a shard
 lengthened to the same norm M, x' = (x, sqrt(M^2 - |x|^2)), and q' = (q, 0), the squared
 Euclidean distance is |q|^2 + M^2 - 2 <q, x>: the nearest vectors have the highest scores.
+
+A query begins at the leaf whose routing vector is nearest, which gives its k-th score a lower
+bound; a bound from other shards may be known already. Pages, their entries and their vectors
+out of its reach are then left out without computing their distances. How many these are
+depends on the vectors: in clusters most, in directions drawn at random none.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,9 +26,11 @@ from ..session import ship
 from .common import stored
 
 #: Vectors of a leaf page, entries of an inner page.
-PAGE, FANOUT = 512, 8
-#: Vectors in one tree, queries of one task, queries searched together: they bound a task's memory.
-SHARD_ROWS, TASK_QUERIES, BLOCK = 20_000, 40_000, 512
+PAGE, FANOUT = 64, 16
+#: Vectors in one tree, queries that meet it in one task, queries searched together. The first and the last bound a task's memory, the second its time.
+SHARD_ROWS, TASK_QUERIES, BLOCK = 20_000, 1_000_000, 1024
+#: Leaves at which a query begins; each round of shards has so many times more of them than the rounds before; tasks of a round at most.
+BEGINNINGS, ROUND, TASKS = 2, 4, 10_000
 
 
 @dataclass
@@ -34,6 +42,7 @@ class Page:
     to_parent: float
     rows: np.ndarray | None = None  # of a leaf: its vectors' numbers,
     to_center: np.ndarray | None = None  # and their distances to the routing vector
+    number: int = -1  # and the leaf's own
     children: list[Page] | None = None
 
 
@@ -41,6 +50,18 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((x - c) ** 2).sum(1), 0))
 
 
+def _parts(x: np.ndarray, k: int, turns: int = 5) -> np.ndarray:
+    """The part, of k at most, that each row belongs to: that of the nearest mean, after some turns of moving the means."""
+    means = x[np.random.default_rng(len(x)).choice(len(x), k, replace=False)]
+    for _ in range(turns):
+        owner = ((means**2).sum(1) - 2 * (x @ means.T)).argmin(1)
+        size = np.bincount(owner, minlength=k)
+        total = np.zeros((k, x.shape[1]))
+        np.add.at(total, owner, x)
+        means = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], means)
+    return owner
+
+
 class MTree:
     """A paged metric tree over integer vectors, given as a float64 matrix, with their ids."""
 
@@ -49,7 +70,9 @@ class MTree:
         norms = (vectors**2).sum(1)
         self.norm2 = float(norms.max()) if len(norms) else 0.0
         self.long = np.concatenate([vectors, np.sqrt(np.maximum(self.norm2 - norms, 0))[:, None]], 1)
+        self.leaves: list[Page] = []
         self.root = self._page(np.arange(len(ids)), None) if len(ids) else None
+        self.centers = np.stack([p.center for p in self.leaves]) if self.leaves else np.empty((0, vectors.shape[1] + 1))
         self.computed = 0
 
     def _page(self, rows: np.ndarray, parent: np.ndarray | None) -> Page:
@@ -59,32 +82,30 @@ class MTree:
         page = Page(center, float(d.max()), 0.0 if parent is None else float(np.sqrt(((center - parent) ** 2).sum())))
         if len(rows) <= PAGE:
             order = d.argsort(kind="stable")
-            page.rows, page.to_center = rows[order], d[order]
+            page.rows, page.to_center, page.number = rows[order], d[order], len(self.leaves)
+            self.leaves.append(page)
             return page
-        # farthest-first routing vectors; each row goes to the nearest
-        near, owner, at = d.copy(), np.zeros(len(rows), np.int64), 0
-        for k in range(min(FANOUT, math.ceil(len(rows) / PAGE))):
-            at = int(near.argmax())
-            dk = _distances(x, x[at])
-            owner[dk < near if k else slice(None)] = k
-            near = dk if k == 0 else np.minimum(near, dk)
+        owner = _parts(x, min(FANOUT, math.ceil(len(rows) / PAGE)))
         parts = [rows[owner == k] for k in np.unique(owner)]
         if max(map(len, parts)) > 0.9 * len(rows):  # repeated vectors, or one far outlier: halve by distance
             parts = np.array_split(rows[d.argsort(kind="stable")], 2)
         page.children = [self._page(p, center) for p in parts]
         return page
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, id, score) of each query's k best, without the id in `own`; ties to smaller ids.
 
-        Pages come in the order of their smallest possible distance to a query of the block. A page, an
-        entry of it or a vector is left out for the queries whose k-th score is out of its reach, by the
-        covering radius and the stored distances, before its distance is computed.
+        Scores below a query's `floor` are left out. Pages come in the order of their smallest possible
+        distance to a query of the block. A page, an entry of it or a vector is left out for the queries
+        whose k-th score is out of its reach, by the covering radius and the stored distances, before its
+        distance is computed.
         """
         n = len(queries)
         q2 = (queries**2).sum(1)
         best_q, best_i, best_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        kth = np.full(n, -np.inf)
+        kth = np.full(n, -np.inf) if floor is None else floor.astype(np.float64)
+        if self.root is None or not n:
+            return best_q, best_i, best_s
 
         def within(lower: np.ndarray, rows: np.ndarray) -> np.ndarray:
             """Where a vector at distance `lower` or more could still be among the best (scores are whole numbers)."""
@@ -92,53 +113,62 @@ class MTree:
             reach = (q2[rows] + self.norm2).reshape(-1, *[1] * (lower.ndim - 1)) - lower * lower
             return reach / 2 >= kth[rows].reshape(-1, *[1] * (lower.ndim - 1)) - 0.5
 
-        def distance(rows: np.ndarray, center: np.ndarray) -> np.ndarray:
-            self.computed += len(rows)
-            return np.sqrt(np.maximum(q2[rows] + self.norm2 - 2 * (queries[rows] @ center[:-1]), 0))
+        def distance(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+            self.computed += len(rows) * (len(centers) if centers.ndim > 1 else 1)
+            return np.sqrt(np.maximum((q2[rows] + self.norm2).reshape(-1, *[1] * (centers.ndim - 1)) - 2 * (queries[rows] @ centers[..., :-1].T), 0))
+
+        def scan(rows: np.ndarray, members: np.ndarray) -> None:
+            nonlocal best_q, best_i, best_s
+            self.computed += len(rows) * len(members)
+            scores = queries[rows] @ self.vectors[members].T
+            i, j = np.nonzero((scores >= kth[rows][:, None]) & (self.ids[members] != own[rows][:, None]))
+            if not len(i):
+                return
+            touched = np.zeros(n, bool)
+            touched[rows[i]] = True
+            old = touched[best_q]
+            cq, ci, cs = (np.concatenate(x) for x in ((best_q[old], rows[i]), (best_i[old], self.ids[members][j]), (best_s[old], scores[i, j])))
+            order = np.lexsort((ci, -cs, cq))
+            cq, ci, cs = cq[order], ci[order], cs[order]
+            place = np.arange(len(cq)) - np.searchsorted(cq, cq, "left")
+            cq, ci, cs, place = (x[place < k] for x in (cq, ci, cs, place))
+            full = place == k - 1
+            kth[cq[full]] = np.maximum(kth[cq[full]], cs[full])
+            best_q, best_i, best_s = (np.concatenate(x) for x in ((best_q[~old], cq), (best_i[~old], ci), (best_s[~old], cs)))
 
         everyone = np.arange(n)
-        heap: list = []
-        if self.root is not None and n:
-            heap = [(0.0, 0, self.root, everyone, distance(everyone, self.root.center))]
+        begun = np.empty((n, 0), np.int64)
+        if len(self.leaves) > BEGINNINGS:
+            begun = np.argpartition(distance(everyone, self.centers), BEGINNINGS - 1, 1)[:, :BEGINNINGS]
+            for page in self.leaves:
+                rows = np.flatnonzero((begun == page.number).any(1))
+                if len(rows):
+                    scan(rows, page.rows)
+        heap = [(0.0, 0, self.root, everyone, distance(everyone, self.root.center))]
         serial = 1
         while heap:
             _, _, page, rows, d = heapq.heappop(heap)
             left = within(d - page.radius, rows)
+            if page.children is None:
+                left &= ~(begun[rows] == page.number).any(1)
             if not left.any():
                 continue
             rows, d = rows[left], d[left]
-            if page.children is not None:
-                for child in page.children:
-                    may = within(np.abs(d - child.to_parent) - child.radius, rows)
-                    if may.any():
-                        to = rows[may]
-                        dc = distance(to, child.center)
-                        heapq.heappush(heap, (float((dc - child.radius).min()), serial, child, to, dc))
-                        serial += 1
-                continue
-            may = within(np.abs(d[:, None] - page.to_center), rows)
-            some = may.any(0)
-            members = page.rows[some]
-            if not len(members):
-                continue
-            self.computed += len(rows) * len(members)
-            s = queries[rows] @ self.vectors[members].T
-            i, j = np.nonzero((s >= kth[rows][:, None]) & (self.ids[members] != own[rows][:, None]))
-            if not len(i):
+            if page.children is None:
+                some = within(np.abs(d[:, None] - page.to_center), rows)
+                rows, members = rows[some.any(1)], page.rows[some.any(0)]
+                if len(rows):
+                    scan(rows, members)
                 continue
-            touched = np.zeros(n, bool)
-            touched[rows[i]] = True
-            old = touched[best_q]
-            cq, ci, cs = (np.concatenate(x) for x in ((best_q[old], rows[i]), (best_i[old], self.ids[members][j]), (best_s[old], s[i, j])))
-            order = np.lexsort((ci, -cs, cq))
-            cq, ci, cs = cq[order], ci[order], cs[order]
-            first = np.searchsorted(cq, cq, "left")
-            top = np.arange(len(cq)) - first < k
-            cq, ci, cs = cq[top], ci[top], cs[top]
-            full = np.flatnonzero(np.arange(len(cq)) - np.searchsorted(cq, cq, "left") == k - 1)
-            kth[cq[full]] = cs[full]
-            best_q, best_i, best_s = (np.concatenate(x) for x in ((best_q[~old], cq), (best_i[~old], ci), (best_s[~old], cs)))
-        return best_q, best_i, best_s
+            for child in page.children:
+                may = within(np.abs(d - child.to_parent) - child.radius, rows)
+                if may.any():
+                    to = rows[may]
+                    dc = distance(to, child.center)
+                    heapq.heappush(heap, (float((dc - child.radius).min()), serial, child, to, dc))
+                    serial += 1
+        above = best_s >= kth[best_q] if floor is not None else np.ones(len(best_q), bool)
+        return best_q[above], best_i[above], best_s[above]
 
 
 def whole_vectors(df: DataFrame, vector: str, scale: int = 64) -> Column:
@@ -148,43 +178,89 @@ def whole_vectors(df: DataFrame, vector: str, scale: int = 64) -> Column:
     return F.when(~bad, F.transform(wide, lambda x: F.floor(x * scale).cast("long")))
 
 
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of a batch with one shard, part and kind of rows."""
+    if not batch.num_rows:
+        return
+    keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "part", "q")], 1)
+    edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield tuple(keys[a].tolist()), batch.slice(a, b - a)
+
+
+def _matrices(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of vectors: the length, which rows have it, and those as a matrix."""
+    lengths = rows.column("v").value_lengths().to_numpy(zero_copy_only=False)
+    for length in np.unique(lengths).tolist():
+        same = np.flatnonzero(lengths == length)
+        yield length, same, rows.column("v").take(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(same), length)
+
+
+_FOUND = "query_id long, vec_id long, score long"
+
+
+def _searched(k: int):
+    """Streams rows sorted by shard and part, the vectors before the queries: those make a tree, past which these go in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, data, trees = None, {}, None
+        for batch in batches:
+            for (shard, part, is_query), rows in _stretches(batch):
+                if place != (shard, part):
+                    place, data, trees = (shard, part), {}, None
+                ids = rows.column("id").to_numpy()
+                if not is_query:
+                    for length, same, x in _matrices(rows):
+                        data.setdefault(length, []).append((x, ids[same]))
+                    continue
+                if trees is None:
+                    trees = {length: MTree(np.concatenate([x for x, _ in own]), np.concatenate([i for _, i in own])) for length, own in data.items()}
+                    data = {}
+                floors = rows.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
+                floors[np.isnan(floors)] = -np.inf
+                for length, same, queries in _matrices(rows):
+                    if (tree := trees.get(length)) is None:
+                        continue
+                    for at in range(0, len(same), BLOCK):
+                        block = same[at : at + BLOCK]
+                        a, b, c = tree.search(queries[at : at + BLOCK], ids[block], k, floors[block])
+                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids[block][a], b, c)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, query: Column, k: int = 20, id: str = "vec_id", vector: str = "v", shard_rows: int = SHARD_ROWS, task_queries: int = TASK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products among all other rows.
 
     `vector` holds arrays of longs; inner products must stay below 2**53. Rows of null id or vector take
-    no part, equal rows count once, and vectors meet only those of their length. Each (shard,
-    group of queries) is one task of bounded size; queries are dealt in groups to all shards. A shard's
-    candidates are `k` for each query, and the shards' are ranked together.
+    no part, equal rows count once, and vectors meet only those of their length. Shards come in rounds,
+    each of a few times as many as before: a query takes the k-th score that it has by then along, so
+    that the trees of later shards leave out what is below it and return little. A task holds one
+    shard's tree, past which queries stream; beyond `task_queries` of them, tasks share a shard.
     """
     ship(vectors.sparkSession)
-    clean = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), query.alias("q")).where("id is not null and v is not null")
+    clean = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(query, F.lit(False)).alias("q")).where("id is not null and v is not null")
     clean = stored(clean.distinct(), "vectors")
-    n, m = clean.agg(F.count("*"), F.count_if(F.coalesce("q", F.lit(False)))).first()
+    n, m = clean.agg(F.count("*"), F.count_if("q")).first()
     shards, groups = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(m / task_queries))
-    slot = F.xxhash64("id", "v")
-    data = clean.select(F.lit(False).alias("q"), "id", "v", F.pmod(slot, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    asked = clean.where("q").select("q", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(groups)).cast("int").alias("part"))
-
-    def search(group: pa.Table) -> pa.Table:
-        lengths = group["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-        flags, ids = group["q"].to_numpy(zero_copy_only=False), group["id"].to_numpy()
-        out_q, out_i, out_s = [], [], []
-        for length in np.unique(lengths[flags]):
-            same = lengths == length
-            matrix = group["v"].filter(pa.array(same)).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(int(same.sum()), int(length))
-            f, i = flags[same], ids[same]
-            tree = MTree(matrix[~f], i[~f])
-            queries, own = matrix[f], i[f]
-            for at in range(0, len(own), BLOCK):
-                part = own[at : at + BLOCK]
-                a, b, c = tree.search(queries[at : at + BLOCK], part, k)
-                out_q.append(part[a])
-                out_i.append(b)
-                out_s.append(c)
-        joined = [np.concatenate(x) if x else np.empty(0) for x in (out_q, out_i, out_s)]
-        return pa.table({c: pa.array(x.astype(np.int64)) for c, x in zip(("query_id", "vec_id", "score"), joined, strict=True)})
-
-    found = data.unionByName(asked).groupBy("shard", "part").applyInArrow(search, "query_id long, vec_id long, score long")
+    data = clean.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"))
+    asked = clean.where("q").select("id", "v", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(groups)).cast("int").alias("part"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best, at = None, 0
+    while best is None or at < shards:
+        end = min(shards, at + max(1, ROUND * at))
+        floors = asked.withColumn("floor", F.lit(None).cast("double"))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+            floors = asked.join(kth, "id", "left")
+        mine = data.where(F.col("shard").between(at, end - 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        mine = mine.select("shard", "part", F.lit(False).alias("q"), "id", "v", F.lit(None).cast("double").alias("floor"))
+        sent = floors.withColumn("shard", F.explode(F.sequence(F.lit(at), F.lit(end - 1)))).select("shard", "part", F.lit(True).alias("q"), "id", "v", "floor")
+        tasks = mine.unionByName(sent).repartition(min(TASKS, (end - at) * groups), "shard", "part").sortWithinPartitions("shard", "part", "q")
+        found = tasks.mapInArrow(_searched(k), _FOUND)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        at = end
+        best = stored(best, "best") if at < shards else best
+    return best.select("query_id", "rank", "vec_id", "score")

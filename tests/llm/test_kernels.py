@@ -134,7 +134,30 @@ def test_mtree_is_exact_and_prunes(monkeypatch):
         s = x @ q[k]
         want = sorted((-s[i], ids[i]) for i in range(1500) if ids[i] != own[k])[:10]
         assert sorted((-c, b) for a, b, c in found if a == k) == want
-    assert tree.computed < 40 * 1500
+    assert tree.computed < 40 * 1500 / 2
+
+
+def test_mtree_with_known_bounds():
+    rng = np.random.default_rng(9)
+    x, ids = rng.integers(-60, 60, (900, 5)).astype(float), np.arange(900)
+    tree = mtree.MTree(x, ids)
+    floors = np.array([-np.inf, *np.sort(x @ x[1])[-5:-4], *np.sort(x @ x[2])[-1:] + 1, 10.0])
+    found = list(zip(*map(np.ndarray.tolist, tree.search(x[:4], ids[:4], 8, floors)), strict=True))
+    for k in range(4):
+        want = sorted((-s, i) for i, s in enumerate(x @ x[k]) if i != k and s >= floors[k])[:8]
+        assert sorted((-c, b) for a, b, c in found if a == k) == want
+
+
+def test_mtree_prunes_clusters():
+    """The share of distances that a search computes, on clusters of 100 around random directions."""
+    rng = np.random.default_rng(1)
+    center = rng.normal(size=(100, 64))
+    center /= np.linalg.norm(center, axis=1)[:, None]
+    y = center[rng.integers(0, 100, 10_000)] + 0.05 * rng.normal(size=(10_000, 64))
+    x = np.floor(64 * y / np.linalg.norm(y, axis=1)[:, None])
+    tree = mtree.MTree(x, np.arange(10_000))
+    tree.search(x[:500], np.arange(500), 20)
+    assert tree.computed < 500 * 10_000 / 4
 
 
 def test_mtree_empty_and_few():
