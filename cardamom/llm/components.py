@@ -23,6 +23,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = edges.sparkSession
     now = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = None
+    if not now.limit(1).count():
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lower_neighbour(both).select("u", F.least("m", "u").alias("m"))

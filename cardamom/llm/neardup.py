@@ -18,6 +18,7 @@ and pairs of one component, or of sizes too far apart, are never made.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, small, stored
+from .common import discard, map_text, parts, small, stored
 from .components import connected
 from .wordhash import U64, binary, many, packs, windows
 
@@ -36,6 +37,8 @@ SHINGLE, SIMILAR = 5, 75
 COORDINATES, MATCHES = 48, 22
 #: Leaders of a posting list at most.
 LEADERS = 4
+#: Members of a list that meet in one task at most; longer lists are cut into blocks, which meet pairwise.
+MEETING = 1000
 #: Ids that are sent to every task to filter documents, at most (some 30 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -87,7 +90,8 @@ def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     """(p, rep): each class under those of its rarest coordinates that another class has too."""
     every = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda j: F.xxhash64(j, _coordinate("sig", j)))
     entries = classes.select("rep", F.explode(every).alias("p"))
-    common = entries.groupBy("p").agg(F.count("*").alias("df")).where("df > 1")
+    # stored, as all that a hot coordinate's rows are joined with: such a join may deal one key to several tasks
+    common = stored(entries.groupBy("p").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     held = entries.join(common, "p").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "p"))).alias("held"))
     # coordinates that no other class has are rarer than all of these
     left = F.lit(COORDINATES - matches + 1) - (F.lit(COORDINATES) - F.size("held"))
@@ -111,13 +115,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, n: int, si
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = binary(batch.column("text_a")), binary(batch.column("text_b"))
-            keep = []
-            for lo, hi in packs([a + b for a, b in zip(one, two, strict=True)]):
-                for x, y in zip(shingle_sets(one[lo:hi], n), shingle_sets(two[lo:hi], n), strict=True):
+            for part in parts(batch, ["text_a", "text_b"]):
+                keep = []
+                for x, y in zip(*(shingle_sets(binary(part.column(c)), n) for c in ("text_a", "text_b")), strict=True):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * shared >= similar * (len(x) + len(y) - shared) and shared > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
 
@@ -133,22 +136,45 @@ def _last_round(left: DataFrame, docs: DataFrame, id: str, text: str, n: int, si
     # a repeated row only lengthens prefixes
     sets = map_text(named, "g array<long>", lambda: kernel, "text", ["rep", "c"])
     each = stored(sets.select("rep", "c", F.size("g").alias("n"), F.explode("g").alias("g")), "shingles")
-    common = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    common = stored(each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     held = each.join(common, "g").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("held"))
     # shingles that no other of these documents has are rarer than all of these
     reach = F.col("n") - F.ceil(F.col("n") * F.lit(similar) / 100) + 1 - (F.col("n") - F.size("held"))
     prefix = held.where(reach > 0).select("rep", "c", "n", (F.col("n") - F.size("held")).alias("rarer"), F.posexplode(F.slice("held", F.lit(1), F.greatest(reach, F.lit(1)).cast("int"))).alias("i", "x"))
     posted = stored(prefix.select("rep", "c", "n", (F.col("rarer") + F.col("i")).alias("i"), F.col("x.g").alias("g")), "prefixes")
-    sizes = posted.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("components"))
-    lists = posted.join(sizes.where("components > 1").select("g", "most"), "g")
+    return _met(posted, similar)
+
+
+def _met(posted: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of different components in the lists of a stored table (g, rep, c, n, i).
+
+    Similar sets are of sizes at most a step apart, so a list falls into cells of such sizes; a member
+    stands in its own cell and meets those that stand in it or in a cell beside it. A cell of many
+    members is cut into blocks, and each pair of blocks is a key of its own.
+    """
+    sizes = stored(posted.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("components")).where("components > 1").select("g", "most"), "lists")
+    # a little wider than the step, for the sake of rounding
+    step = math.log(100 / similar) * 1.0001 if similar < 100 else 1e-3
+    lists = stored(posted.join(sizes, "g").withColumn("cell", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int")), "members")
     # members of a list's largest component meet the others, and those each other
-    a = lists.where("c != most").select("g", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
-    b = lists.select("g", F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), "most")
+    a = lists.where("c != most")
+    b = lists.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    count = a.groupBy("g", "cell").agg(F.count("*").alias("na")).join(b.groupBy("g", "cell").agg(F.count("*").alias("nb")), ["g", "cell"])
+    cells = stored(count.select("g", "cell", F.ceil(F.col("na") / MEETING).cast("int").alias("ka"), F.ceil(F.col("nb") / MEETING).cast("int").alias("kb")), "cells")
+
+    def block(k: str):
+        return F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+
+    def all_blocks(k: str):
+        return F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+
+    a = a.join(cells, ["g", "cell"]).select("g", "cell", block("ka").alias("ba"), all_blocks("kb").alias("bb"), F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    b = b.join(cells, ["g", "cell"]).select("g", "cell", all_blocks("ka").alias("ba"), block("kb").alias("bb"), F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), "most")
     # so many shingles two similar sets of these sizes share; before the first of them stand no more than the rest
     shared = F.ceil(similar * (F.col("nx") + F.col("ny")) / (100 + similar))
     first = (F.col("ix") <= F.col("nx") - shared) & (F.col("iy") <= F.col("ny") - shared)
     near = (100 * F.least("nx", "ny") >= similar * F.greatest("nx", "ny")) & first & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y")))
-    return a.join(b, "g").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return a.join(b, ["g", "cell", "ba", "bb"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def find_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, similar: int = SIMILAR, matches: int = MATCHES) -> DataFrame:
@@ -158,33 +184,42 @@ def find_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     component from its class, is never kept beside another row of it, and has a null component if no
     row of its class has an id. Rows of one id and text are one document.
     """
+    spark = docs.sparkSession
     rows = stored(signatures(docs, text, [id]).withColumnRenamed(id, "id"), "signatures")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null")
     classes = stored(classes, "classes")
     posted = stored(postings(classes, matches), "postings")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(stored(_merged(pairs, classes, matches), "pairs"), docs, id, text, n, similar), "links")
-
-    def placed(links: DataFrame) -> DataFrame:
-        """(p, rep, c): the posting lists with each member's component so far."""
-        known = connected(links).withColumnRenamed("id", "rep")
-        return stored(posted.join(known, "rep", "left").select("p", "rep", F.coalesce("component", "rep").alias("c")), "placed")
-
-    lists = posted.groupBy("p").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    links = compared(posted.join(lists, "p").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
+        met = stored(_merged(pairs, classes, matches), "pairs")
+        links = stored(_confirmed(met, docs, id, text, n, similar), "links")
+        discard(spark, met)
+        return links
+
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """(rep, c): the components that the links make of those so far."""
+        ends = [labels.select(F.col("rep").alias(e), F.col("c").alias(f"c{e}")) for e in ("a", "b")]
+        known = connected(links.join(ends[0], "a").join(ends[1], "b").select("ca", "cb").distinct(), "ca", "cb")
+        return stored(labels.join(known.withColumnRenamed("id", "c"), "c", "left").select("rep", F.coalesce("component", "c").alias("c")), "components")
+
+    lists = stored(posted.groupBy("p").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "lists")
+    labels = joined(classes.select("rep", F.col("rep").alias("c")), compared(posted.join(lists, "p").where("rep != a").select("a", F.col("rep").alias("b")).distinct()))
     # the lists' leaders, for members of other components
-    now = placed(links)
-    leaders = now.groupBy("p", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("rep", "c"), "rep").alias("x")).select("p", F.col("x.rep").alias("leader"), F.col("x.c").alias("cl"))
+    now = stored(posted.join(labels, "rep"), "placed")
+    leaders = now.groupBy("p", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("rep", "c"), "rep").alias("x"))
+    leaders = stored(leaders.select("p", F.col("x.rep").alias("leader"), F.col("x.c").alias("cl")), "leaders")
     more = now.join(leaders, "p").where("c != cl").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = links.unionByName(compared(more))
+    labels = joined(labels, compared(more))
     # longer lists that still hold more than one component
-    now = placed(links)
+    now = stored(posted.join(labels, "rep"), "placed")
     led = leaders.groupBy("p").agg(F.count("*").alias("k"))
-    mixed = now.groupBy("p").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).join(led, "p").where("low < high and n > k + 1").select("p")
+    mixed = stored(now.groupBy("p").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).join(led, "p").where("low < high and n > k + 1").select("p"), "mixed")
     left = stored(now.join(mixed, "p").select("rep", "c").distinct(), "left")
-    links = links.unionByName(compared(_last_round(left, docs, id, text, n, similar)))
-    known = connected(links)
+    if left.limit(1).count():
+        labels = joined(labels, compared(_last_round(left, docs, id, text, n, similar)))
+    for done in (posted, lists, leaders, now, mixed):
+        discard(spark, done)
+    known = labels.select(F.col("rep").alias("id"), F.col("c").alias("component"))
     found = classes.select("class", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     result = rows.select("id", "n_shingles", "class").join(found, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component"))

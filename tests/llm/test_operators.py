@@ -119,6 +119,24 @@ def test_near_duplicates_link_through_the_second_round(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+@pytest.mark.parametrize("meeting", [1000, 2])
+def test_near_duplicates_link_through_the_last_round(spark, monkeypatch, meeting):
+    """Posting lists of more members than leaders, of several components, whose links only the shingles themselves find."""
+    monkeypatch.setattr(neardup, "MEETING", meeting)
+    rounds = []
+    last = neardup._last_round
+    monkeypatch.setattr(neardup, "_last_round", lambda left, *args: rounds.append(left.count()) or last(left, *args))
+    shared, rows = words(71, 100), []
+    for k in range(30):
+        own = words(100 + k, 60)
+        rows += [(10 * k + v, shared + own[: 60 - 4 * v] + words(500 + 10 * k + v, 4 * v)) for v in range(3)]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(1000 + k, " ".join(shared + words(900 + k, 33))) for k in range(8)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.find_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    assert got == want and rounds and rounds[0] > neardup.LEADERS + 1
+    assert 10 < len(set(want.values())) < len(rows) - 10
+
+
 def brute_contamination(rows, items, n=13):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
