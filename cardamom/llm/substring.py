@@ -1,17 +1,20 @@
-"""Removal of passages that an earlier document has: suffix automata of the documents that have them first.
-
-Which documents to match with which is found by fingerprints. Every window of words selects the
-least hash of the half-windows in it, so that equal windows select the same one, wherever they
-stand; half-windows that one document alone selects rule out all windows that select them. The
-windows that are left are grouped by hash: the smallest document of each group is the
-reference of the others. A reference's automaton then goes to the documents that are to be matched
-with it, each of which streams its words past it; where the matching statistics reach the window's
-length, the maximal span that they cover is removed. So fingerprints only choose whom to match:
-spans come from the words themselves.
+"""Removal of passages that an earlier document has: suffix automata of shards of reference text.
+
+Which text is a reference, and which text is to be matched with which, is found by fingerprints. Every
+window of words selects the least hash of the half-windows in it, so that equal windows select the
+same one, wherever they stand; half-windows that one document alone selects rule out all windows
+that select them. The windows that are left are grouped by hash: the first place of each group, in
+its smallest document, is the reference of the others. The stretches of words that such windows cover
+are cut out of the documents, so that no other text travels. References are dealt into shards of
+bounded size; a shard's automaton goes to as many tasks as there is text for it, and stretches of
+documents stream past it. Where the matching statistics reach the window's length in a smaller
+document, the maximal span that they cover is removed. So fingerprints only choose whom to
+match: spans come from the words themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import map_text, small, stored
+from .common import map_text, parts, small, stored
 from .wordhash import U64, binary, many, packs, windows
 
 #: Words of a window.
 WINDOW = 50
+#: Words of reference text in one automaton, about (some 50 MB in a worker); words of one document in a shard; bytes of text that stream past one copy of it, about.
+SHARD_WORDS, BLOCK_WORDS, TASK_BYTES = 100_000, 20_000, 16 << 20
 #: Selected half-windows, and documents with spans, that are sent to every task at most; more are joined by a shuffle.
 BROADCAST_ANCHORS, BROADCAST_DOCS = 2_000_000, 500_000
 
@@ -97,18 +102,21 @@ def candidate_windows(docs: DataFrame, window: int, broadcast_anchors: int) -> D
     return wins.select("doc", F.explode("wins").alias("w")).select("doc", "w.h", "w.at")
 
 
-class Reference:
-    """The automaton of one document's words."""
+class Shard:
+    """The automaton of stretches of words of several documents."""
 
-    def __init__(self, text: bytes) -> None:
+    def __init__(self, stretches: Iterator[tuple[object, bytes]]) -> None:
         self.automaton = SuffixAutomaton()
-        self.automaton.add(text.split())
+        for owner, text in stretches:
+            self.automaton.add(text.split(), owner)
+        self.automaton.finish()
 
-    def covered(self, words: list[bytes], window: int) -> list[tuple[int, int]]:
-        """Maximal spans of words that occur in the document with at least window words together."""
+    def covered(self, words: list[bytes], owner: object, window: int) -> list[tuple[int, int]]:
+        """Maximal spans of words that windows of documents smaller than the owner cover."""
         spans: list[list[int]] = []
-        for i, (_, n) in enumerate(self.automaton.match(words, window), 1):
-            if n >= window:
+        least = self.automaton.least
+        for i, (v, n) in enumerate(self.automaton.match(words, window), 1):
+            if n >= window and least[v] < owner:
                 if spans and spans[-1][1] >= i - window:
                     spans[-1][1] = i
                 else:
@@ -128,34 +136,71 @@ def _runs(at: list[int], window: int) -> list[tuple[int, int]]:
 
 
 def _matched(window: int):
+    """Streams stretches sorted by shard, each shard's references before the documents' text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, automaton = None, None
+        place, references, shard = None, [], None
         for batch in batches:
-            spans = []
-            rows = zip(batch.column("first").to_pylist(), batch.column("at").to_pylist(), binary(batch.column("text_doc")), binary(batch.column("text_first")), strict=True)
-            for first, at, mine, theirs in rows:
-                if automaton is None or last != (first, theirs):
-                    last, automaton = (first, theirs), Reference(theirs)
-                words, found = mine.split(), []
-                for a, b in _runs(at, window):
-                    found += [{"start": a + x, "end": a + y} for x, y in automaton.covered(words[a:b], window)]
-                spans.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc", "spans"])
+            for part in parts(batch, ["words"]):
+                docs, spans = [], []
+                columns = [part.column(c).to_pylist() for c in ("shard", "salt", "streams", "doc", "start")]
+                for at, salt, streams, doc, start, words in zip(*columns, binary(part.column("words")), strict=True):
+                    if place != (at, salt):
+                        place, references, shard = (at, salt), [], None
+                    if not streams:
+                        references.append((doc, words))
+                        continue
+                    if shard is None:
+                        shard, references = Shard(references), []
+                    if found := shard.covered(words.split(), doc, window):
+                        docs.append(doc)
+                        spans.append([{"start": start + a, "end": start + b} for a, b in found])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, part.column("doc").type), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc", "spans"])
 
     return run
 
 
+def _stretches(docs: DataFrame, wins: DataFrame, window: int) -> DataFrame:
+    """A stored table (shard, streams, doc, start, words): references, and what streams past them, as text.
+
+    A reference is a stretch of the smallest document that has its windows, and belongs to the shard of
+    its document and block of words; the later documents' stretches go to the shards of their windows.
+    """
+    place = F.min(F.struct("doc", F.element_at("at", 1).alias("at"))).alias("x")
+    # stored: a window that very many documents have may then be dealt to several tasks where it is joined
+    firsts = stored(wins.groupBy("h").agg(place, F.max("doc").alias("last")).where("x.doc < last").select("h", F.col("x.doc").alias("first"), F.col("x.at").alias("first_at")), "firsts")
+    shards = max(1, math.ceil(firsts.count() / SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("first", F.floor(F.col("first_at") / BLOCK_WORDS)), F.lit(shards)).cast("int").alias("shard")
+    references = firsts.groupBy("first", shard).agg(F.collect_list("first_at").alias("at")).select(F.col("first").alias("doc"), "shard", F.lit(False).alias("streams"), "at")
+    later = wins.join(firsts, "h").where("first < doc").groupBy("doc", shard).agg(F.flatten(F.collect_list("at")).alias("at")).select("doc", "shard", F.lit(True).alias("streams"), "at")
+    wanted = stored(references.unionByName(later).groupBy("doc").agg(F.collect_list(F.struct("shard", "streams", "at")).alias("wanted")), "wanted")
+    few = small(wanted, BROADCAST_DOCS, F.aggregate("wanted", F.lit(0).cast("long"), lambda n, x: n + F.size(x["at"]) * 4 + 16))
+    joined = docs.join(F.broadcast(wanted) if few else wanted, "doc")
+
+    def kernel(texts, wanted):
+        out = []
+        for t, some in zip(texts, wanted.to_pylist(), strict=True):
+            words = t.split()
+            out.append([{"shard": x["shard"], "streams": x["streams"], "start": a, "words": b" ".join(words[a:b])} for x in some for a, b in _runs(x["at"], window)])
+        return [pa.array(out, pa.list_(pa.struct([("shard", pa.int32()), ("streams", pa.bool_()), ("start", pa.int32()), ("words", pa.binary())]))).cast(_CUT)]
+
+    cut = map_text(joined, "cut array<struct<shard: int, streams: boolean, start: int, words: string>>", lambda: kernel, "text", ["doc"], ["wanted"])
+    return stored(cut.select("doc", F.explode("cut").alias("c")).select("doc", "c.*"), "stretches")
+
+
+_CUT = pa.list_(pa.struct([("shard", pa.int32()), ("streams", pa.bool_()), ("start", pa.int32()), ("words", pa.string())]))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """(doc, spans) for a table (doc, text): the words that windows of smaller documents cover."""
     wins = stored(candidate_windows(docs, window, broadcast_anchors), "windows")
-    firsts = wins.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
-    later = wins.join(firsts, "h").where("first < doc")
-    pairs = stored(later.groupBy("doc", "first").agg(F.flatten(F.collect_list("at")).alias("at")), "pairs")
-    ids = pairs.select(F.col("doc").alias("id")).unionByName(pairs.select(F.col("first").alias("id"))).distinct()
-    few = small(ids, BROADCAST_DOCS)
-    texts = docs.select(F.col("doc").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    full = pairs.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("text_doc")), "doc").join(texts.select(F.col("id").alias("first"), F.col("text").alias("text_first")), "first")
-    matched = full.select("doc", "first", "at", "text_doc", "text_first").sortWithinPartitions("first").mapInArrow(_matched(window), f"doc {docs.schema['doc'].dataType.simpleString()}, spans array<struct<start: int, end: int>>")
+    cut = _stretches(docs, wins, window)
+    # a shard past which much text streams has copies, each with a part of it
+    copies = stored(cut.where("streams").groupBy("shard").agg(F.ceil(F.sum(F.length("words").cast("long")) / TASK_BYTES).cast("int").alias("copies")), "copies")
+    streams = cut.where("streams").join(copies, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.col("copies")).cast("int"))
+    references = cut.where("not streams").join(copies, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    tasks = streams.unionByName(references).drop("copies").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "streams")
+    matched = tasks.mapInArrow(_matched(window), f"doc {docs.schema['doc'].dataType.simpleString()}, spans array<struct<start: int, end: int>>")
     return matched.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -168,7 +213,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     """
     named = docs.select(F.col(id).alias("doc"), F.col(text).cast("string").alias("text"))
     spans = stored(repeated_spans(named.where("doc is not null and text is not null"), window, broadcast_anchors), "spans")
-    joined = named.join(F.broadcast(spans) if small(spans, BROADCAST_DOCS) else spans, "doc", "left")
+    joined = named.join(F.broadcast(spans) if small(spans, BROADCAST_DOCS, F.size("spans") * 16) else spans, "doc", "left")
 
     def kernel(texts, spans):
         total, gone, kept, removed = [], [], [], []

@@ -67,8 +67,11 @@ def brute_repeats(rows, n=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("anchors", [2_000_000, 0])
-def test_substring_dedup(docs, anchors):
+@pytest.mark.parametrize(("anchors", "shard_words", "block_words", "task_bytes"), [(2_000_000, 100_000, 20_000, 16 << 20), (0, 100, 40, 300)])
+def test_substring_dedup(docs, monkeypatch, anchors, shard_words, block_words, task_bytes):
+    monkeypatch.setattr(substring, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(substring, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(substring, "TASK_BYTES", task_bytes)
     rows = [tuple(r) for r in docs.collect()]
     got = substring.remove_repeats(with_clashes(docs), broadcast_anchors=anchors)
     assert collected(got, "doc_id", "n_words", "n_removed", "kept") == brute_repeats(rows)
