@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from .joins import longest_prefix
 
-# Roles of chat messages, statuses that are worth another attempt.
+# Roles of chat messages, error codes of broken connections.
 ROLES = ("system", "user", "assistant", "function")
-RETRYABLE = (429, 500, 502, 503, 504)
+
+BROKEN = (
+    "ECONNRESET", "ETIMEDOUT", "EAI_AGAIN", "ECONNREFUSED", "EPIPE", "ENETUNREACH", "ENOTFOUND",
+    "UND_ERR_SOCKET", "UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT", "UND_ERR_BODY_TIMEOUT", "UND_ERR_RESPONSE_EXCEEDED_SIZE",
+)
 
 MESSAGE = "struct<role: string, text: string, images: array<struct<mime: string, base64: string>>>"
 
@@ -99,9 +103,25 @@ def backoff(attempt: Column, retry_after: Column, jitter: Column, base: int = 10
     return F.when(retry_after >= 0, asked).otherwise(grown).cast("long")
 
 
-def retryable(status: Column, error: Column, statuses: tuple[int, ...] = RETRYABLE) -> Column:
-    """Whether another attempt makes sense: a status of these or any 5xx, or an aborted or broken connection."""
-    return F.coalesce(status.isin(list(statuses)) | ((status >= 500) & (status < 600)), F.lit(False)) | F.coalesce(F.lower(error).rlike("timeout|aborted|econnreset|etimedout|fetch failed|network"), F.lit(False))
+def retryable(status: Column, statuses: tuple[int, ...] = (429,), server_errors: bool = True) -> Column:
+    """Whether a response is worth another attempt: one of these statuses, or with `server_errors` any 5xx. A null status is not."""
+    named = status.isin(list(statuses))
+    return F.coalesce(named | ((status >= 500) & (status < 600)) if server_errors else named, F.lit(False))
+
+
+def broken_connection(code: Column, cause_code: Column, name: Column, message: Column) -> Column:
+    """Whether an error is one of the connection: by its own or its cause's code, a failed fetch, an abort or a timeout.
+
+    Nulls are no such sign; a message alone, whatever it says, is not one either.
+    """
+    signs = (code.isin(list(BROKEN)), cause_code.isin(list(BROKEN)), (name == "TypeError") & F.lower(message).contains("fetch failed"), name.isin("AbortError", "TimeoutError"))
+    return F.exists(F.array(*signs), lambda sign: F.coalesce(sign, F.lit(False)))
+
+
+def retry_after(header: Column) -> Column:
+    """Seconds of a Retry-After header: a number that is not negative, else null (a date is none). A blank header is 0."""
+    n = F.when(F.trim(header) == "", F.lit(0.0)).otherwise(F.trim(header).try_cast("double"))
+    return F.when((n >= 0) & (n < float("inf")) & ~F.isnan(n), n)
 
 
 def attempts(calls: DataFrame, failures: Column, most: int = 4) -> DataFrame:
@@ -115,6 +135,35 @@ def live_until(issued: Column, seconds: int, margin: int = 120) -> Column:
     return issued + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds - margin))
 
 
+def with_tokens(calls: DataFrame, tokens: DataFrame, by: str, at: str, seconds: int, margin: int = 120) -> DataFrame:
+    """calls with `issued`: when the newest token (by, issued) that serves the call was issued, null if a new one is due.
+
+    A token serves from its issue until `margin` seconds before its end. It is looked up in the two
+    stretches of time, as long as it serves, that it reaches into, so that an owner of any number of
+    calls is no single group. Calls of one owner and time with no token wait for one fetch.
+    """
+    life = (seconds - margin) * 1_000_000
+
+    def stretch(c: str) -> Column:
+        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / life)
+
+    reach = tokens.select(by, "issued", F.explode(F.array(stretch("issued"), stretch("issued") + 1)).alias("__stretch"))
+    known = reach.groupBy(by, "__stretch").agg(F.collect_set("issued").alias("__issued"))
+    joined = calls.withColumn("__stretch", stretch(at)).join(known, [by, "__stretch"], "left")
+    serves = F.filter("__issued", lambda i: (i <= F.col(at)) & (F.col(at) < live_until(i, seconds, margin)))
+    return joined.withColumn("issued", F.array_max(serves)).select(*calls.columns, "issued")
+
+
+def file_ids(uploads: DataFrame, cache: DataFrame, content: str, at: str, hours: int = 24) -> DataFrame:
+    """uploads with `file_id`: that of the cache entry (content, file_id, uploaded_at) if it is `hours` old at most, else null.
+
+    Of several entries of one content the newest counts.
+    """
+    newest = cache.groupBy(content).agg(F.max_by(F.struct("file_id", "uploaded_at"), F.struct("uploaded_at", "file_id")).alias("__entry"))
+    fresh = F.col(at) <= F.col("__entry.uploaded_at") + F.make_dt_interval(F.lit(0), F.lit(hours))
+    return uploads.join(newest, content, "left").withColumn("file_id", F.when(fresh, F.col("__entry.file_id"))).drop("__entry")
+
+
 def mock_calls(prompts: DataFrame, text: str, price: tuple[float, float] = (0.2, 0.2)) -> DataFrame:
     """prompts with output, error, tokens and cost of a deterministic stand-in for a model.
 

@@ -21,14 +21,19 @@ def stratified(rows: DataFrame, stratum: str, shares: dict[str, float], n: int,
     takes = {k: round(v * n) for k, v in shares.items()}
     bucket = F.when(F.col(stratum).isin(list(takes)), F.col(stratum)).otherwise(F.lit("rest"))
     quota = F.create_map(*[F.lit(x) for k, v in (takes | {"rest": max(0, n - sum(takes.values()))}).items() for x in (k, v)])
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    return rows.withColumn("bucket", bucket).withColumn("place", place).where(F.col("place") <= F.element_at(quota, F.col("bucket")))
+    # the literal bound lets every task pass on n rows of a bucket at most
+    placed = rows.withColumn("bucket", bucket).withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("place") <= n)
+    return placed.where(F.col("place") <= F.element_at(quota, F.col("bucket")))
 
 
 def least_per_stratum(rows: DataFrame, stratum: str, least: int, n: int, order: list[Column | str]) -> DataFrame:
-    """`least` rows of each stratum first, then others, up to n rows in all."""
-    first = F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) <= least
-    return rows.withColumn("first", first).orderBy(F.col("first").desc(), *order).limit(n)
+    """`least` rows of each stratum first, then others, up to n rows in all.
+
+    A row beyond place least + n of its stratum has n rows before it that go first, so each task passes on no more.
+    """
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
+    near = rows.withColumn("__place", place).where(F.col("__place") <= least + n)
+    return near.withColumn("first", F.col("__place") <= least).drop("__place").orderBy(F.col("first").desc(), *order).limit(n)
 
 
 def top_k(rows: DataFrame, by: str, order: list[Column | str], k: int) -> DataFrame:
@@ -73,8 +78,15 @@ def round_robin(plan: DataFrame, topics: list[str], order: list[Column | str]) -
 
 
 def numbered(rows: DataFrame, by: str, base: Column, order: list[Column | str]) -> DataFrame:
-    """rows with a number for each, from base + 1 on within its group."""
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy(by).orderBy(*order)) + base)
+    """rows with a number for each, from base + 1 on within its group.
+
+    All rows are placed over ranges of the group and the order, so that a group of any size is no
+    single task; a group begins at its least place.
+    """
+    whole = placed(rows, [by, *order])
+    starts = whole.groupBy(F.col(by).alias("__by")).agg(F.min("place").alias("__from"))
+    joined = whole.join(starts, F.col(by).eqNullSafe(F.col("__by")))
+    return joined.withColumn("number", F.col("place") - F.col("__from") + 1 + base).select(*rows.columns, "number")
 
 
 def segments(rows: DataFrame, by: str, order: str, starts: Column) -> DataFrame:

@@ -35,6 +35,36 @@ def x_slogan_repetition(spark, d):
     return lines.groupBy("doc_id", "line").agg(F.count("*").alias("n")).where("n >= 3")
 
 
+#: Blocks of pictographs, as classes of a pattern.
+EMOJI = r"[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]"
+
+
+@query(r"SELECT doc_id, emoji, round(emoji / greatest(length(text), 1), 6) AS density, emoji >= 3 AND emoji > 0.02 * length(text) AS dense FROM (SELECT doc_id, t AS text, CAST(length(regexp_replace(t, '[^\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]', '', 'g')) AS BIGINT) AS emoji FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN left(text, 100) || '🎉🔥✨🎉' ELSE text END AS t FROM documents))")
+def x_emoji_density(spark, d):
+    # the tables have no pictographs: every tenth text gets some
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.left("text", F.lit(100)), F.lit("🎉🔥✨🎉"))).otherwise(F.col("text"))
+    n = F.length(F.regexp_replace("text", EMOJI.replace("[", "[^", 1), "")).cast("long")
+    counted = load(spark, d, "documents").select("doc_id", text.alias("text")).withColumn("emoji", n)
+    return counted.select("doc_id", "emoji", F.round(F.col("emoji") / F.greatest(F.length("text"), F.lit(1)), 6).alias("density"), ((F.col("emoji") >= 3) & (F.col("emoji") > 0.02 * F.length("text"))).alias("dense"))
+
+
+#: Letters of a language besides a to z.
+LETTERS = {"en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü"}
+
+
+@query(r"""SELECT doc_id, letters, strange, strange > 0.02 * letters AS mismatch FROM (SELECT doc_id, CAST(length(l) AS BIGINT) AS letters, CAST(length(translate(l, 'abcdefghijklmnopqrstuvwxyz' || CASE said WHEN 'de' THEN 'äöüß' WHEN 'fr' THEN 'àâæçéèêëîïôœùûüÿ' WHEN 'es' THEN 'áéíñóúü' ELSE '' END, '')) AS BIGINT) AS strange
+FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END AS said, regexp_replace(lower(text), '[^\p{L}]', '', 'g') AS l FROM documents))""")
+def x_language_mismatch(spark, d):
+    # every seventh text claims to be English
+    said = F.when(F.col("doc_id") % 7 == 0, F.lit("en")).otherwise(F.col("lang"))
+    rows = load(spark, d, "documents").select("doc_id", said.alias("said"), F.regexp_replace(F.lower("text"), r"[^\p{L}]", "").alias("l"))
+    strange = F.col("l")
+    for lang, more in LETTERS.items():
+        strange = F.when(F.col("said") == lang, F.translate("l", f"abcdefghijklmnopqrstuvwxyz{more}", "")).otherwise(strange)
+    counted = rows.select("doc_id", F.length("l").cast("long").alias("letters"), F.length(strange).cast("long").alias("strange"))
+    return counted.withColumn("mismatch", F.col("strange") > 0.02 * F.col("letters"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def x_events_tumbling(spark, d):
     w = load(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))

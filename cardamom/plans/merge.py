@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import merge
+from ..operators import merge, validation
+from ..session import shared_path
+from ..sources import sinks
 from .registry import load, query
 
 
@@ -116,6 +118,25 @@ def k6_url_list(spark, d):
     return head.unionAll(pages.select("url"))
 
 
+@query("SELECT doc_id, 1 - quality AS quality, toxic FROM labels WHERE doc_id % 2 = 0")
+def k2_replace(spark, d):
+    path = shared_path(spark, "k2")
+    sinks.replace(_old(spark, d).drop("seq"), path, "parquet")
+    sinks.replace(_new(spark, d).drop("seq"), path, "parquet")
+    return spark.read.parquet(path)
+
+
+@query("SELECT doc_id, length(text) < 60 AS rejected, CASE WHEN length(text) < 60 THEN 'text' END AS errors FROM documents")
+def k3_split_sink(spark, d):
+    path = shared_path(spark, "k3")
+    passed, rejected = validation.split(load(spark, d, "documents").select("doc_id", "text"), {"text": F.length("text") >= 60})
+    n = sinks.write_split(passed, rejected, f"{path}/passed", f"{path}/rejected")
+    out = spark.read.schema("doc_id bigint").json(f"{path}/passed").select("doc_id", F.lit(False).alias("rejected"), F.lit(None).cast("string").alias("errors"))
+    if not n:  # nothing was rejected, so no such table was written
+        return out
+    return out.unionByName(spark.read.schema("doc_id bigint, _validation_errors array<string>").json(f"{path}/rejected").select("doc_id", F.lit(True).alias("rejected"), F.array_join("_validation_errors", ",").alias("errors")))
+
+
 @query("SELECT lpad(source, 8, ' ') || ' | ' || lpad(CAST(count(*) AS VARCHAR), 6, ' ') || ' | ' || rpad(CAST(sum(n_chars) AS VARCHAR), 10, ' ') AS line FROM documents GROUP BY source")
 def k5_report_lines(spark, d):
     n = load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

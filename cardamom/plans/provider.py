@@ -88,7 +88,46 @@ def l10_attempts(spark, d):
 def l11_retryable(spark, d):
     status = F.element_at(F.array(*map(F.lit, (200, 400, 429, 500, 503, 404))), (F.col("event_id") % 6 + 1).cast("int"))
     e = load(spark, d, "events").select(status.alias("status"))
-    return e.groupBy("status").agg(F.count("*").alias("n"), F.bool_or(provider.retryable(F.col("status"), F.lit(None).cast("string"))).alias("retry"))
+    return e.groupBy("status").agg(F.count("*").alias("n"), F.bool_or(provider.retryable(F.col("status"))).alias("retry"))
+
+
+@query("SELECT status, count(*) AS n, bool_or(status IN (429, 503)) AS retry FROM (SELECT list_extract([200, 400, 429, 500, 503, 404], CAST(event_id % 6 AS INT) + 1) AS status FROM events) GROUP BY status")
+def l10_narrow_statuses(spark, d):
+    status = F.element_at(F.array(*map(F.lit, (200, 400, 429, 500, 503, 404))), (F.col("event_id") % 6 + 1).cast("int"))
+    e = load(spark, d, "events").select(status.alias("status"))
+    return e.groupBy("status").agg(F.count("*").alias("n"), F.bool_or(provider.retryable(F.col("status"), (429, 503), server_errors=False)).alias("retry"))
+
+
+@query("""WITH e AS (SELECT event_id, list_extract(['ECONNRESET', 'EPERM', NULL, 'UND_ERR_SOCKET', 'ENOTFOUND', NULL, NULL], CAST(event_id % 7 AS INT) + 1) AS code, CASE WHEN event_id % 5 = 0 THEN 'EPIPE' END AS cause,
+list_extract(['Error', 'TypeError', 'AbortError'], CAST(event_id % 3 AS INT) + 1) AS name, list_extract(['network is down', 'Fetch failed', 'timeout'], CAST(event_id % 4 % 3 AS INT) + 1) AS message FROM events)
+SELECT event_id, coalesce(code IN ('ECONNRESET', 'UND_ERR_SOCKET', 'ENOTFOUND'), false) OR coalesce(cause = 'EPIPE', false) OR (name = 'TypeError' AND message = 'Fetch failed') OR name = 'AbortError' AS retry FROM e""")
+def l11_broken_connections(spark, d):
+    n = F.col("event_id")
+
+    def pick(*values):
+        return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+
+    message = F.element_at(F.array(*map(F.lit, ("network is down", "Fetch failed", "timeout"))), (n % 4 % 3 + 1).cast("int"))
+    retry = provider.broken_connection(pick("ECONNRESET", "EPERM", None, "UND_ERR_SOCKET", "ENOTFOUND", None, None), F.when(n % 5 == 0, F.lit("EPIPE")), pick("Error", "TypeError", "AbortError"), message)
+    return load(spark, d, "events").select("event_id", retry.alias("retry"))
+
+
+@query("""WITH calls AS (SELECT event_id, user_id % 5 AS owner, ts FROM events), tokens AS (SELECT DISTINCT user_id % 5 AS owner, ts AS issued FROM events WHERE event_type = 'purchase')
+SELECT event_id, CASE WHEN ts < issued + INTERVAL 1680 SECOND THEN issued END AS issued FROM calls ASOF LEFT JOIN tokens ON calls.owner = tokens.owner AND calls.ts >= tokens.issued""")
+def l12_tokens(spark, d):
+    e = load(spark, d, "events").withColumn("owner", F.col("user_id") % 5)
+    tokens = e.where("event_type = 'purchase'").select("owner", F.col("ts").alias("issued")).distinct()
+    return provider.with_tokens(e.select("event_id", "owner", "ts"), tokens, "owner", "ts", 1800).select("event_id", "issued")
+
+
+@query("""WITH up AS (SELECT doc_id, sha256(text) AS content, TIMESTAMP '2024-01-02 00:00:00' + to_hours(CAST(doc_id % 30 AS INT)) AS moment FROM documents),
+cache AS (SELECT content, max(doc_id) AS file_id FROM up WHERE doc_id % 3 = 0 GROUP BY content)
+SELECT doc_id, CASE WHEN moment <= TIMESTAMP '2024-01-02 00:00:00' + INTERVAL 24 HOUR THEN file_id END AS file_id FROM up LEFT JOIN cache USING (content)""")
+def l12_file_ids(spark, d):
+    day = F.lit("2024-01-02").cast("timestamp")
+    up = load(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content"), (day + F.make_dt_interval(F.lit(0), (F.col("doc_id") % 30).cast("int"))).alias("at"))
+    cache = up.where("doc_id % 3 = 0").select("content", F.col("doc_id").alias("file_id"), day.alias("uploaded_at"))
+    return provider.file_ids(up, cache, "content", "at").select("doc_id", "file_id")
 
 
 @query("SELECT sha256(text) AS content, count(*) AS uses, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")

@@ -21,10 +21,13 @@ def p2_normalise(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(ft.normalise(raw)).alias("digest"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, url, unnest(list_concat(regexp_extract_all(html, '<a\b[^>]*?\bhref="([^"]*)"', 1), ['', 'https://other.example/x', '//cdn.example/y', '?q=1', 'mailto:a@b.example'])) AS href FROM pages)
+SELECT page_id, href, CASE WHEN href = '' THEN NULL WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-z]+:') || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href
+WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href END AS link FROM l""")
 def p3_absolute_urls(spark, d):
     pages = load(spark, d, "pages")
-    links = pages.select("page_id", "url", F.explode(web.attribute_values(F.col("html"), "a", "href")).alias("href"))
+    made = F.array(*map(F.lit, ("", "https://other.example/x", "//cdn.example/y", "?q=1", "mailto:a@b.example")))
+    links = pages.select("page_id", "url", F.explode(F.concat(web.attribute_values(F.col("html"), "a", "href"), made)).alias("href"))
     return links.select("page_id", "href", web.absolute_url("url", "href").alias("link"))
 
 

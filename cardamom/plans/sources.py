@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import web
+from ..operators import audit
 from ..operators.provider import mock_calls
-from ..sources import crawl, files
+from ..session import shared_path
+from ..sources import crawl, fetch, files
 from .registry import load, query
 
 
@@ -53,7 +55,7 @@ def s7_union_partitions(spark, d):
 @query("SELECT CAST(doc_id AS VARCHAR) AS case_id, quality = 1 AS expected_clean FROM labels")
 def s8_map_store(spark, d):
     labels = load(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("clean"))
-    store = labels.groupBy((F.col("doc_id") % 7).alias("source")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "clean"))).alias("annotations"))
+    store = labels.groupBy(F.floor(F.col("doc_id") / 1000).alias("source")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "clean"))).alias("annotations"))
     return store.select(F.explode("annotations").alias("case_id", "expected_clean"))
 
 
@@ -67,6 +69,83 @@ def s10_sitemap(spark, d):
     return crawl.sitemap_urls(root.unionByName(leaves), spark.createDataFrame([("https://x.example/sitemap.xml",)], "url string"), depth=1)
 
 
+def _put(spark, path, text):
+    """A text file of this name, in the store of its path."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+@query("SELECT doc_id AS id, lang, source FROM documents")
+def s2_jsonl(spark, d):
+    path = shared_path(spark, "s2")
+    n = F.col("doc_id")
+    lines = load(spark, d, "documents").select(F.explode(F.when(n % 4 == 0, F.array(F.lit(""), F.to_json(F.struct(n.alias("id"), "lang", "source")))).otherwise(F.array(F.to_json(F.struct(n.alias("id"), "lang", "source"))))).alias("value"))
+    lines.write.text(path)
+    return files.read_jsonl(spark, path, "id bigint, lang string, source string")
+
+
+@query("SELECT n_name AS name, CASE n_nationkey % 4 WHEN 2 THEN 'synthetic' ELSE 'real' END AS origin, n_nationkey % 2 = 0 AS placed_clean FROM nation WHERE n_nationkey % 4 < 3")
+def s6_json_dirs(spark, d):
+    root, nation = shared_path(spark, "s6"), load(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    for k, place in enumerate(("real-clean", "real-dirty", "synthetic-clean")):  # the fourth directory is missing
+        nation.where(F.col("n_nationkey") % 4 == k).select("name").write.option("maxRecordsPerFile", 1).json(f"{root}/{place}")
+        _put(spark, f"{root}/{place}/notes.txt", "no record")
+    return files.read_cases(spark, root, "name string").select("name", "origin", "placed_clean")
+
+
+RULES_YAML = """rules:
+  - {id: TXT-01, severity: critical, category: text, title: One, description: "first line\\nsecond line"}
+  - {id: TXT-02, severity: low, category: text, title: Two, description: other}
+  - {id: IMG-01, severity: high, category: image, title: Three, description: third}
+"""
+SCOPE_YAML = "in_scope: [TXT-01, IMG-01]\nout_of_scope:\n  - {id: TXT-02, reason: rare}\n"
+QUOTA_YAML = "defaults: {critical: 10, high: 7, low: null}\noverrides: {IMG-01: 0}\n"
+
+
+@query("SELECT * FROM (VALUES ('TXT-01', 'first line', true, NULL, 10), ('TXT-02', 'other', false, 'rare', NULL), ('IMG-01', 'third', true, NULL, 0)) t(rule_id, description, in_scope, reason, quota)")
+def s9_yaml(spark, d):
+    """Rules, scope and quotas; needs PyYAML, as their readers do."""
+    root = shared_path(spark, "s9")
+    for name, text in (("rules", RULES_YAML), ("scope", SCOPE_YAML), ("quota", QUOTA_YAML)):
+        _put(spark, f"{root}/{name}.yaml", text)
+    read = files.read_rules(spark, f"{root}/rules.yaml")
+    defaults, overrides = files.read_quota(spark, f"{root}/quota.yaml")
+    rules = read.select(F.col("id").alias("rule_id"), "description", audit.quota("id", "severity", defaults, overrides).alias("quota"))
+    return rules.join(files.read_scope(spark, f"{root}/scope.yaml"), "rule_id")
+
+
+@query("SELECT r_name AS source FROM region WHERE r_regionkey < 3")
+def s11_sources(spark, d):
+    root = shared_path(spark, "s11")
+    for r in load(spark, d, "region").select("r_regionkey", "r_name").collect():  # a handful of sources, of which some have no cards
+        _put(spark, f"{root}/{r['r_name']}/{'cards.raw.jsonl' if r['r_regionkey'] < 3 else 'other.txt'}", "{}\n")
+    _put(spark, f"{root}/images/cards.raw.jsonl", "{}\n")
+    return files.find_sources(spark, root).select("source")
+
+
+def _page_client():
+    """A stand-in for a fetcher: some pages are gone."""
+
+    def client(page_id, url):
+        if page_id % 7 == 0:
+            raise LookupError("gone")
+        return {"status": 200, "length": len(url)}
+
+    return client
+
+
+@query("SELECT page_id, CASE WHEN page_id % 7 > 0 THEN 200 END AS status, CASE WHEN page_id % 7 > 0 THEN CAST(length(url) AS BIGINT) END AS length, CASE WHEN page_id % 7 = 0 THEN 'LookupError: gone' END AS error, CASE WHEN page_id % 7 = 0 THEN 2 ELSE 1 END AS attempts FROM pages WHERE page_id % 4 > 0")
+def s12_fetch(spark, d):
+    pages = load(spark, d, "pages").select("page_id", "url")
+    now = F.lit("2024-01-10").cast("timestamp")
+    cache = pages.where("page_id % 4 = 0").select(F.sha1(F.col("url").cast("binary")).alias("cache_key"), F.lit(200).alias("status"), now.alias("fetched_at"))
+    missing = crawl.cached(pages, cache, now).where("not hit").select("page_id", "url")
+    return fetch.called(missing, "status int, length bigint", _page_client, ["page_id", "url"], retries=1).drop("url")
+
+
 @query("SELECT page_id, sha1(url) AS cache_key, page_id % 4 = 0 AND page_id % 3 <> 0 AS hit FROM pages")
 def s12_cache_hits(spark, d):
     pages = load(spark, d, "pages")
@@ -92,6 +171,25 @@ def s14_images(spark, d):
     return wanted.select("image_id", extension(F.lit("image/png; charset=x")).alias("ext"), (F.col("length") > 5000).alias("oversize"))
 
 
+def _image_client():
+    def client(image_id):
+        if image_id % 11 == 0:
+            raise TimeoutError("slow")
+        return {"content_type": "image/jpeg; q=1" if image_id % 2 else "image/webp", "length": 6_000_000 if image_id % 5 == 0 else 1000}
+
+    return client
+
+
+@query("SELECT page_id AS image_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 2 = 1 THEN 'jpg' ELSE 'webp' END AS ext, CASE WHEN page_id % 11 > 0 THEN page_id % 5 = 0 END AS oversize, CASE WHEN page_id % 11 = 0 THEN 'TimeoutError: slow' END AS error FROM pages WHERE page_id % 3 <> 0")
+def s14_downloads(spark, d):
+    from ..functions.text import extension
+
+    images = load(spark, d, "pages").select(F.col("page_id").alias("image_id"))
+    wanted = files.to_download(images, images.where("image_id % 3 = 0"))
+    got = fetch.called(wanted, "content_type string, length bigint", _image_client, ["image_id"])
+    return got.select("image_id", F.when(F.col("error").isNull(), extension(F.col("content_type"))).alias("ext"), (F.col("length") > (5 << 20)).alias("oversize"), "error")
+
+
 @query(r"SELECT page_id, (row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/]+)', 1) ORDER BY page_id) - 1) * 2.0::DOUBLE AS start FROM pages")
 def s15_schedule(spark, d):
     pages = load(spark, d, "pages").select("page_id", web.host(F.col("url")).alias("host"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Folders of sessions on this machine that name none, by application.
+_own_dirs: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,6 +31,29 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, which spark.checkpoint.dir names.
+
+    Where none is named, a session on this machine alone gets a folder of its own; any other is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="cardamom-"))
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/cardamom/{name}-{uuid.uuid4().hex}"
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and the bench. On a cluster, the session is the caller's."""
     return (

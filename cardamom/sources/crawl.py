@@ -5,9 +5,11 @@ Fetching itself is a connector's business; these operators decide what to fetch,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sampling import numbered
+
 DEPTH = 4
 
 
@@ -51,5 +53,5 @@ def schedule(requests: DataFrame, host: str, order: str, delays: DataFrame | Non
         delay = F.greatest(F.coalesce("delay", F.lit(seconds)), F.lit(seconds))
     else:
         delay = F.lit(seconds)
-    at = F.row_number().over(Window.partitionBy(host).orderBy(order)) - 1
-    return requests.withColumn("start", at * delay)
+    at = numbered(requests, host, F.lit(-1), [order])
+    return at.withColumn("start", F.col("number") * delay).drop("number")

@@ -107,13 +107,12 @@ def to_download(images: DataFrame, have: DataFrame) -> DataFrame:
     return images.join(have.select("image_id"), "image_id", "left_anti")
 
 
-def _yaml(path: str):
+def _yaml(spark: SparkSession, path: str):
     try:
         import yaml
     except ImportError as missing:
         raise RuntimeError("reading YAML needs PyYAML") from missing
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f)
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
 
 
 def read_rules(spark: SparkSession, path: str, pattern: str = r"(TXT|IMG)-\d{2}") -> DataFrame:
@@ -126,7 +125,7 @@ def read_rules(spark: SparkSession, path: str, pattern: str = r"(TXT|IMG)-\d{2}"
     from ..functions.text import short_description
     from ..schemas import RULE, SEVERITY_RANK
 
-    rules = _yaml(path)["rules"]
+    rules = _yaml(spark, path)["rules"]
     ids = [r["id"] for r in rules]
     bad = [i for i in ids if not re.fullmatch(pattern, i)] + [i for i in set(ids) if ids.count(i) > 1] + [r["id"] for r in rules if r["severity"] not in SEVERITY_RANK]
     if bad:
@@ -137,14 +136,14 @@ def read_rules(spark: SparkSession, path: str, pattern: str = r"(TXT|IMG)-\d{2}"
 
 def read_scope(spark: SparkSession, path: str) -> DataFrame:
     """(rule_id, in_scope, reason) of a scope file."""
-    scope = _yaml(path)
+    scope = _yaml(spark, path)
     rows = [(i, True, None) for i in scope.get("in_scope") or []] + [(o["id"], False, o.get("reason")) for o in scope.get("out_of_scope") or []]
     return spark.createDataFrame(rows, "rule_id string, in_scope boolean, reason string")
 
 
-def read_quota(path: str) -> tuple[dict[str, int | None], dict[str, int | None]]:
+def read_quota(spark: SparkSession, path: str) -> tuple[dict[str, int | None], dict[str, int | None]]:
     """(defaults by severity, overrides by rule); a missing part is empty. Negative or broken numbers are an error."""
-    quota = _yaml(path) or {}
+    quota = _yaml(spark, path) or {}
     parts = (quota.get("defaults") or {}, quota.get("overrides") or {})
     for p in parts:
         for k, v in p.items():

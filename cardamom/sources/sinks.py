@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +19,34 @@ def append_new(batch: DataFrame, path: str, key: str) -> None:
     fresh.write.mode("append").json(path)
 
 
-def replace(df: DataFrame, path: str, format: str = "json") -> None:
-    """Replaces the table at path at once: written beside it, then renamed. A reader sees the old table or the new one."""
-    spark = df.sparkSession
+def _swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Puts the table at `staged` in the place of the one at path, which stands beside it until that is done. A rename that fails is an error, and the old table is put back."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.format(format).save(staged)
-    to = jvm.org.apache.hadoop.fs.Path(path)
+    new, to, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path, f"{path}.old-{uuid.uuid4().hex}"))
     fs = to.getFileSystem(jsc.hadoopConfiguration())
     had = fs.exists(to)
+
+    def renamed(a, b) -> bool:
+        try:
+            return fs.rename(a, b)
+        except Py4JJavaError:
+            return False
+
+    if had and not renamed(to, old):
+        raise OSError(f"can't rename {path}")
+    if not renamed(new, to):
+        if had:
+            fs.rename(old, to)
+        raise OSError(f"can't rename {staged} to {path}")
     if had:
-        fs.rename(to, jvm.org.apache.hadoop.fs.Path(old))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), to)
-    if had:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+        fs.delete(old, True)
+
+
+def replace(df: DataFrame, path: str, format: str = "json") -> None:
+    """Replaces the table at path at once: written beside it, then renamed. A reader sees the old table or the new one."""
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    df.write.format(format).save(staged)
+    _swap(df.sparkSession, staged, path)
 
 
 def write_split(passed: DataFrame, rejected: DataFrame, path: str, rejected_path: str) -> int:
@@ -50,14 +65,9 @@ def write_changed(new: DataFrame, path: str, flags: DataFrame, key: str, partiti
     """
     counts = {r["change"]: r["n"] for r in flags.groupBy("change").agg(F.count("*").alias("n")).collect()}
     if any(k != "none" for k in counts):
-        spark = new.sparkSession
         staged = f"{path}.staged-{uuid.uuid4().hex}"
         new.write.partitionBy(partition).parquet(staged)
-        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-        to = jvm.org.apache.hadoop.fs.Path(path)
-        fs = to.getFileSystem(jsc.hadoopConfiguration())
-        fs.delete(to, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(staged), to)
+        _swap(new.sparkSession, staged, path)
     return counts
 
 

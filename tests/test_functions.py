@@ -162,3 +162,49 @@ def test_samples_are_stable(spark):
     one, two = (sorted(r["id"] for r in sampling.sample(x, order, 10).collect()) for x in (rows, rows.repartition(7)))
     assert one == two and len(one) == 10
     assert {r["s"]: r["n"] for r in sampling.least_per_stratum(rows, "s", 3, 20, order).where("first").groupBy("s").agg(F.count("*").alias("n")).collect()} == {0: 3, 1: 3, 2: 3}
+
+
+def test_retries_of_responses_and_connections(spark):
+    df = spark.createDataFrame([(s,) for s in (200, 400, 404, 429, 500, 503, 504, 599, 600, None)], "s int")
+    assert [r[0] for r in df.where(provider.retryable(F.col("s"))).collect()] == [429, 500, 503, 504, 599]
+    assert [r[0] for r in df.where(provider.retryable(F.col("s"), (429, 503), server_errors=False)).collect()] == [429, 503]
+    cases = [
+        ("EAI_AGAIN", None, "Error", "x", True), (None, "UND_ERR_BODY_TIMEOUT", "TypeError", "terminated", True), ("EPERM", "ENOTFOUND", "Error", None, True), ("EPERM", "EPERM", "Error", "network timeout", False),
+        (None, None, "TypeError", "Fetch Failed", True), (None, None, "Error", "fetch failed", False), (None, None, "AbortError", None, True), (None, None, "TimeoutError", "", True), (None, None, None, None, False),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, code string, cause string, name string, message string")
+    got = df.orderBy("i").select(provider.broken_connection(F.col("code"), F.col("cause"), F.col("name"), F.col("message"))).collect()
+    assert [r[0] for r in got] == [c[4] for c in cases]
+
+
+@pytest.mark.parametrize(("header", "want"), [("2", 2.0), (" 1.5 ", 1.5), ("0", 0.0), ("", 0.0), ("-1", None), ("Wed, 21 Oct 2015 07:28:00 GMT", None), ("NaN", None), ("Infinity", None), (None, None)])
+def test_retry_after(spark, header, want):
+    assert one(spark, header).select(provider.retry_after(F.col("c"))).first()[0] == want
+
+
+def test_tokens_serve_until_two_minutes_before_their_end(spark):
+    calls = [(i, "a", t) for i, t in enumerate([0, 10, 1689, 1690, 3000, 3379, 3380])] + [(90, "b", 20), (91, None, 20), (92, "a", None)]
+    tokens = [("a", 10), ("a", 1700), ("a", 10), (None, 5)]
+    df = spark.createDataFrame(calls, "i int, owner string, t long").withColumn("t", F.timestamp_seconds("t"))
+    issued = spark.createDataFrame(tokens, "owner string, t long").select("owner", F.timestamp_seconds("t").alias("issued"))
+    got = {r["i"]: r["s"] for r in provider.with_tokens(df, issued, "owner", "t", 1800).select("i", F.unix_seconds("issued").alias("s")).collect()}
+    assert got == {0: None, 1: 10, 2: 10, 3: None, 4: 1700, 5: 1700, 6: None, 90: None, 91: None, 92: None}
+
+
+def test_file_ids_last_a_day(spark):
+    def at(hours):
+        return F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(hours))
+
+    cache = spark.range(1).select(F.lit("x").alias("content"), F.lit("old").alias("file_id"), at(0).alias("uploaded_at")).union(spark.range(1).select(F.lit("x"), F.lit("new"), at(5)))
+    uploads = spark.createDataFrame([(0, "x", 24), (1, "x", 29), (2, "x", 30), (3, "y", 1), (4, None, 1)], "i int, content string, h int").withColumn("at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("h")))
+    assert {r["i"]: r["file_id"] for r in provider.file_ids(uploads, cache, "content", "at").collect()} == {0: "new", 1: "new", 2: None, 3: None, 4: None}
+
+
+def test_numbers_of_a_large_group(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 < 8, F.lit("hot")).when(F.col("id") % 10 == 8, F.concat(F.lit("k"), F.col("id"))).alias("g"))
+    got = sampling.numbered(rows, "g", F.lit(3), ["id"]).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r["id"]):
+        seen[r["g"]] = seen.get(r["g"], 3) + 1
+        assert r["number"] == seen[r["g"]]
+    assert len(got) == 3000 and seen["hot"] == 2403 and seen[None] == 303

@@ -54,7 +54,7 @@ def test_dimensions_from_yaml(spark, tmp_path):
     with pytest.raises(ValueError, match="TXT-1"):
         files.read_rules(spark, str(tmp_path / "bad.yaml"))
     (tmp_path / "q.yaml").write_text("defaults: {high: 7}\noverrides: {TXT-20: 0}\n")
-    assert files.read_quota(str(tmp_path / "q.yaml")) == ({"high": 7}, {"TXT-20": 0})
+    assert files.read_quota(spark, str(tmp_path / "q.yaml")) == ({"high": 7}, {"TXT-20": 0})
     (tmp_path / "s.yaml").write_text("in_scope: [IMG-01]\nout_of_scope:\n- {id: IMG-02, reason: r}\n")
     assert files.read_scope(spark, str(tmp_path / "s.yaml")).count() == 2
 
@@ -125,3 +125,47 @@ def test_streams(spark, tmp_path):
     good, bad = str(tmp_path / "g"), str(tmp_path / "b")
     calls.route(events, str(tmp_path / "cp4"), lambda b: b.write.mode("overwrite").parquet(good), lambda b: b.write.mode("overwrite").parquet(bad), F.col("event_type") == "view").awaitTermination()
     assert spark.read.parquet(good).count() + spark.read.parquet(bad).count() == 121
+
+
+def _flaky(calls_file):
+    def factory():
+        def client(n, name):
+            with open(calls_file, "a") as f:
+                f.write(f"{n}\n")
+            if n is None or n % 3 == 0:
+                raise ValueError(f"no {n}")
+            return {"twice": n * 2, "other": 1}
+
+        return client
+
+    return factory
+
+
+def test_calls_of_a_service(spark, tmp_path):
+    from cardamom.sources import fetch
+
+    rows = spark.createDataFrame([(i, f"n{i}", i) for i in range(1, 7)] + [(None, None, 9)], "n int, name string, twice int").coalesce(1)
+    got = {r["name"]: r for r in fetch.called(rows, "twice bigint", _flaky(str(tmp_path / "calls")), ["n", "name"], retries=2, wait=lambda attempt, error: 0.0 if attempt < 1 or "6" in str(error) else None).collect()}
+    assert [got[f"n{i}"]["twice"] for i in range(1, 7)] == [2, 4, None, 8, 10, None]
+    assert got["n1"]["error"] is None and got["n3"]["error"] == "ValueError: no 3" and got[None]["error"] == "ValueError: no None"
+    assert [got[f"n{i}"]["attempts"] for i in (1, 3, 6)] == [1, 2, 3]
+    assert fetch.called(rows.where("false"), "twice bigint", _flaky(str(tmp_path / "calls")), ["n", "name"]).count() == 0
+
+
+def test_calls_keep_to_their_rate(spark, tmp_path):
+    import time
+
+    from cardamom.sources import fetch
+
+    rows = spark.range(6).select(F.col("id").cast("int").alias("n"), F.lit("x").alias("name")).coalesce(1)
+    began = time.time()
+    fetch.called(rows, "twice bigint", _flaky(str(tmp_path / "calls")), ["n", "name"], per_second=10).collect()
+    assert time.time() - began >= 0.5
+
+
+def test_a_failed_rename_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace(spark.range(3).toDF("v"), path, "parquet")
+    with pytest.raises(OSError, match="can't rename"):
+        sinks._swap(spark, str(tmp_path / "missing"), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
