@@ -141,7 +141,7 @@ class Chain:
 
 
 def fit_chain(sets: Sequence[np.ndarray], labels: np.ndarray, categories: Sequence[str], folds: int = FOLDS, steps: int = STEPS) -> Chain:
-    """labels: rows x categories, nan where unknown. A category without both values gets a constant model."""
+    """labels: rows x categories, nan where unknown. A category without both values, as without rows, gets a constant model."""
     rows, chain = _Rows(sets), Chain(list(categories))
     fold = np.arange(rows.n) % folds
     earlier = np.zeros((rows.n, 0))
@@ -168,12 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
     """A chain over `categories` (name -> 0/1 expression over `labels`), in their order.
 
     Fitted on `rows` labelled documents at most, the first in the order of a hash of `by`. Null labels
-    leave a row out of that category alone; labels without a document, and null texts, out of all.
+    leave a row out of that category alone; labels without a document, and null texts, out of all. Of
+    documents of one id the least text counts, once for each row of labels. Without labels, or without
+    documents that have one, every category gets a constant model of probability near 0.
     """
     ship(docs.sparkSession)
     picked = labels.select(F.col(by).alias("__id"), *[c.cast("double").alias(k) for k, c in categories.items()]).where("__id is not null")
     picked = picked.orderBy(F.xxhash64("__id"), "__id", *categories).limit(rows)
-    joined = docs.select(F.col(by).alias("__id"), F.col(text).cast("string").alias("__text")).where("__text is not null").join(F.broadcast(picked), "__id")
+    texts = docs.select(F.col(by).alias("__id"), F.col(text).cast("string").alias("__text")).where("__text is not null")
+    texts = texts.join(F.broadcast(picked.select("__id").distinct()), "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("__text"))
+    joined = texts.join(F.broadcast(picked), "__id")
     names = list(categories)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
