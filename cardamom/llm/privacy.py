@@ -298,8 +298,11 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str
     id is masked by the detectors alone. Other columns stay as they are.
     """
     found = stored(mentions(docs, text, [id]), "mentions")
-    added = stored(added_spans(found, trusted_patterns(docs, found, text), id).withColumnRenamed("added", "__added"), "added")
-    joined = docs.join(F.broadcast(added) if small(added, BROADCAST_DOCS, F.size("__added") * 32) else added, id, "left")
+    more = "__added"
+    while more in docs.columns:
+        more += "_"
+    added = stored(added_spans(found, trusted_patterns(docs, found, text), id).withColumnRenamed("added", more), "added")
+    joined = docs.join(F.broadcast(added) if small(added, BROADCAST_DOCS, F.size(more) * 32) else added, id, "left")
 
     def kernel(texts, more):
         out, sizes = [], []
@@ -314,7 +317,7 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str
             sizes.append(len(s))
         return out, sizes
 
-    return map_text(joined, f"{text} string, {n_chars} long", lambda: kernel, text, docs.columns, ["__added"]).select(docs.columns)
+    return map_text(joined, f"{text} string, {n_chars} long", lambda: kernel, text, docs.columns, [more]).select(docs.columns)
 
 
 def ordered(spans: Column) -> Column:
