@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import ship
+from ..session import shared_path, ship
 from .wordhash import binary
 
 #: Bytes of text handed to an operator's kernel at once (one longer text goes alone).
@@ -70,35 +68,14 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
     return source.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, which spark.checkpoint.dir names.
-
-    Where none is named, a session on this machine alone gets a folder of its own; any other is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="cardamom-"))
-    return named.rstrip("/")
-
-
-#: Folders of sessions on this machine, by application.
-_own_dirs: dict[str, str] = {}
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read again: cuts the lineage, outlives executors.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or by discard().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cardamom/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

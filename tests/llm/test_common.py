@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cardamom import session
 from cardamom.llm import common
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -18,11 +19,12 @@ PLAIN = """
 from pyspark.sql import SparkSession, functions as F
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 assert not spark.sparkContext.getConf().get("spark.checkpoint.dir")
-from cardamom.llm import common, mtree
+from cardamom.llm import mtree
+from cardamom.session import shared_dir
 before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
 vectors = spark.range(30).select(F.col("id").alias("vec_id"), F.array(F.col("id"), F.col("id") % 7).alias("v"))
 assert mtree.top_k(vectors, F.col("vec_id") % 20 == 0, k=3).count() == 6
-assert common.shared_dir(spark) == common.shared_dir(spark)
+assert shared_dir(spark) == shared_dir(spark)
 assert before == {k: spark.conf.get(k) for k in before}
 """
 
@@ -36,7 +38,7 @@ def test_a_session_without_a_shared_folder(tmp_path):
 def test_a_cluster_must_name_its_folder():
     context = SimpleNamespace(getConf=lambda: {}, master="spark://host:7077", applicationId="x")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        common.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+        session.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
 
 
 def test_parts_are_bounded_by_bytes():

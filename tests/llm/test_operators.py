@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cardamom.llm import bpe, decontaminate, htmltext, language, mtree, neardup, privacy, queries, substring, toxicity
+from cardamom.llm import bpe, decontaminate, htmltext, language, mtree, neardup, privacy, queries, substring, tokencount, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["id", "rep", "h", "v", "doc", "first", "a", "b", "spans", "hits", "items", "class", "sig", "__text", "n_words", "keep", "added", "q"]
@@ -229,6 +229,8 @@ def test_empty_tables(spark):
     assert neardup.find_components(docs).count() == 0
     assert decontaminate.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert bpe.encode_documents(docs, data, pattern).count() == 0
+    edits = docs.withColumn("edits", F.lit(None).cast("array<struct<start: int, end: int, text: string>>"))
+    assert tokencount.count_edited(edits, data, pattern).count() == 0
     assert privacy.extract(docs).count() == 0 and privacy.redact(docs).count() == 0
     assert language.identify(docs, language.fit(docs, ~language.held_out())).count() == 0
     assert toxicity.score(docs, toxicity.fit(docs, labels, {"toxic": F.col("toxic")})).count() == 0
@@ -346,3 +348,80 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     want = coder._core.encode_ordinary("mail me at [EMAIL] please")
     assert bytes(got[35]["ids"]) == b"".join(i.to_bytes(4, "little") for i in want)
     assert got[35]["decoded_sha256"] == hashlib.sha256(b"mail me at [EMAIL] please").hexdigest()
+
+
+def test_counts_of_awkward_edits(spark, docs):
+    data, pattern = queries.byte_vocabulary()
+    coder = bpe.ByteBPE(bpe.read_ranks(data), pattern)._core
+    kind = "array<struct<start: int, end: int, text: string>>"
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id is not null").collect()}
+    edits = {
+        0: None, 1: [], 2: [None], 3: [(0, 1, "two"), (None, None, "all new words")], 4: [(99, 200, " end"), (3, 1, "x")], 5: [(10, 40, None), (None, 5, None), (7, None, "tail")],
+        15: [(2500, 2501, "e")], 16: [(1000, 1000, "a b "), None, (0, 30_000, "")],
+    }
+    rows = [(i, e) for i, e in edits.items()]
+    table = with_clashes(docs).join(spark.createDataFrame(rows, f"doc_id long, edits {kind}"), "doc_id", "left").withColumn("n_tokens", F.lit("x"))
+    got = tokencount.count_edited(table, data, pattern, keep=["doc_id", "h", "n_tokens"])
+    assert got.columns == ["doc_id", "h", "n_tokens", "n_chars_edited", "n_tokens_edited", "n_reencoded"]
+    found = got.collect()
+    assert len(found) == docs.count()
+    for r in found:
+        if r["doc_id"] is None:
+            continue
+        t = now = texts[r["doc_id"]]
+        for e in edits.get(r["doc_id"]) or ():
+            if e is not None:
+                a = min(e[0] or 0, len(now))
+                b = min(max(len(now) if e[1] is None else e[1], a), len(now))
+                now = now[:a] + (e[2] or "") + now[b:]
+        assert (r["n_tokens"], r["n_chars_edited"], r["n_tokens_edited"]) == (len(coder.encode_ordinary(t)), len(now), len(coder.encode_ordinary(now))), r["doc_id"]
+
+
+def test_toxicity_of_awkward_rows(spark):
+    rude, plain = "you utter scum of a moron ", "a calm and plain remark on weather "
+    rows = [(i, (rude if i % 3 == 0 else plain) + f"number {i}") for i in range(150)]
+    labels = [(i, 0 if i % 3 == 0 else 1, int(i % 3 == 0)) for i in range(120)] + [(3, 0, 1), (1, None, None), (None, 1, 1), (900, 0, 1), (500, None, 1)]
+    rows += [rows[0], rows[0], (None, rude), (500, None), (501, ""), (502, " \n"), (503, plain * 20_000 + rude)]
+    docs = with_clashes(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("p_toxic", F.lit("x"))
+    table = with_clashes(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    chain = toxicity.fit(docs, table, {"low": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    again = toxicity.fit(docs.repartition(3), table.repartition(2), {"low": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    assert [k.threshold for k in chain.links] == [k.threshold for k in again.links]
+    got = toxicity.score(docs, chain, keep=["doc_id", "text", "p_toxic"]).collect()
+    assert len(got) == len(rows) and list(got[0].asDict()) == ["doc_id", "text", "p_low", "is_low", "p_toxic", "is_toxic"]
+    for r in got:
+        if not (r["text"] or "").strip():
+            assert r["p_toxic"] == 0 and not r["is_toxic"] and not r["is_low"]
+        elif r["doc_id"] != 503:
+            assert r["is_toxic"] == r["text"].startswith(rude) and 0 < r["p_toxic"] < 1
+    assert len({r["p_toxic"] for r in got if r["doc_id"] == 0}) == 1
+    none = toxicity.fit(docs, table.where("false"), {"toxic": F.col("toxic")})
+    assert not any(r["is_toxic"] for r in toxicity.score(docs, none).collect())
+    one_sided = toxicity.fit(docs, table.where("toxic = 1"), {"toxic": F.col("toxic")})
+    assert toxicity.score(docs, one_sided).where("p_toxic > 0.9").count() == len(rows) - 3
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, and columns that bear the names of what the operators make."""
+    import corpus_pipeline
+
+    item, own = words(81, 20), words(82, 200)
+    rows = [(1, " ".join(own), "en", "s", 0), (1, " ".join(own), "en", "s", 0), (2, " ".join(own[:-1] + ["z"]), None, None, None), (None, " ".join(own), "en", "s", 0), (3, None, None, None, None), (None, None, None, None, None)]
+    rows += [(4, "", "en", "s", 0), (5, "\u0301 12", "en", "s", 5), (6, " ".join(item), "en", "s", 0), (7, "call a@b.example " + "x" * 100_000, "en", "s", 0), (8, " ".join(words(83, 300) + item[:13]), "en", "s", 0)]
+    clash = ["lang_pred", "score", "spans", "hits", "items", "n_hit", "n_words", "kept", "component_id", "__added", "added", "base", "id", "class", "n_tokens", "ids"]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in clash})
+    spark.createDataFrame([(1, " ".join(item)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = {
+        "language_id": [None, 1, 1, 2, 6, 7, 8], "near_dedup": [None, None, 1, 1, 3, 4, 5, 6, 7, 8], "decontamination": [None, None, 1, 1, 2, 3, 4, 5, 7, 8], "pii": [None, None, 1, 1, 2, 3, 4, 5, 6, 7, 8],
+        "byte_bpe": [None, None, 1, 1, 2, 3, 4, 5, 6, 7, 8],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i)) == ids[name], name
+        if name != "byte_bpe":
+            assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c} of {r['doc_id']}") for r in got for c in clash)
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.pii(spark, docs, str(tmp_path)).collect()}
+    assert masked[7].startswith("call [EMAIL] xxx") and masked[3] is None and masked[4] == ""
