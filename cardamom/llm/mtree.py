@@ -27,8 +27,9 @@ from .common import stored
 
 #: Vectors of a leaf page, entries of an inner page.
 PAGE, FANOUT = 64, 16
-#: Vectors in one tree, queries that meet it in one task, queries searched together. The first and the last bound a task's memory, the second its time.
-SHARD_ROWS, TASK_QUERIES, BLOCK = 20_000, 1_000_000, 1024
+#: Vectors in one tree; queries that meet it in one task, at most, and at least where a round has fewer shards than the cluster has cores; queries
+#: searched together. The first and the last bound a task's memory, the others its time.
+SHARD_ROWS, TASK_QUERIES, FEW_QUERIES, BLOCK = 20_000, 1_000_000, 20_000, 1024
 #: Leaves at which a query begins; each round of shards has so many times more of them than the rounds before; tasks of a round at most.
 BEGINNINGS, ROUND, TASKS = 2, 4, 10_000
 
@@ -236,26 +237,29 @@ def top_k(vectors: DataFrame, query: Column, k: int = 20, id: str = "vec_id", ve
     no part, equal rows count once, and vectors meet only those of their length. Shards come in rounds,
     each of a few times as many as before: a query takes the k-th score that it has by then along, so
     that the trees of later shards leave out what is below it and return little. A task holds one
-    shard's tree, past which queries stream; beyond `task_queries` of them, tasks share a shard.
+    shard's tree, past which queries stream; tasks share a shard if its queries are more than
+    `task_queries`, or if there are idle cores.
     """
     ship(vectors.sparkSession)
     clean = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(query, F.lit(False)).alias("q")).where("id is not null and v is not null")
     clean = stored(clean.distinct(), "vectors")
     n, m = clean.agg(F.count("*"), F.count_if("q")).first()
-    shards, groups = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(m / task_queries))
+    shards, cores = max(1, math.ceil(n / shard_rows)), vectors.sparkSession.sparkContext.defaultParallelism
     data = clean.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    asked = clean.where("q").select("id", "v", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(groups)).cast("int").alias("part"))
+    asked = clean.where("q").select("id", "v")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best, at = None, 0
     while best is None or at < shards:
         end = min(shards, at + max(1, ROUND * at))
+        groups = max(1, math.ceil(m / task_queries), min(math.ceil(m / FEW_QUERIES), cores // (end - at)))
         floors = asked.withColumn("floor", F.lit(None).cast("double"))
         if best is not None:
             kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
             floors = asked.join(kth, "id", "left")
         mine = data.where(F.col("shard").between(at, end - 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         mine = mine.select("shard", "part", F.lit(False).alias("q"), "id", "v", F.lit(None).cast("double").alias("floor"))
-        sent = floors.withColumn("shard", F.explode(F.sequence(F.lit(at), F.lit(end - 1)))).select("shard", "part", F.lit(True).alias("q"), "id", "v", "floor")
+        sent = floors.withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(groups)).cast("int"))
+        sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(at), F.lit(end - 1)))).select("shard", "part", F.lit(True).alias("q"), "id", "v", "floor")
         tasks = mine.unionByName(sent).repartition(min(TASKS, (end - at) * groups), "shard", "part").sortWithinPartitions("shard", "part", "q")
         found = tasks.mapInArrow(_searched(k), _FOUND)
         if best is not None:

@@ -204,7 +204,9 @@ def test_bpe_rows(spark, docs):
     assert len(rows) == docs.count()
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("few", [20_000, 1])
+def test_topk(spark, monkeypatch, few):
+    monkeypatch.setattr(mtree, "FEW_QUERIES", few)
     vectors = [(i, [float((i * 7 + j * 3) % 11) / 10 - 0.5 for j in range(4)]) for i in range(90)]
     vectors += [vectors[3], (200, None), (220, [1.0, None, 0.0, 0.0]), (240, [float("nan")] * 4), (260, [float("inf"), 0.0, 0.0, 0.0]), (None, [0.0] * 4), (280, [0.1, 0.2]), (281, [0.3, 0.2]), (300, [])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
