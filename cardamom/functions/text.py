@@ -103,6 +103,16 @@ def shingles(words: Column, k: int = 5) -> Column:
     return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
+def shingle_hashes(words: Column, k: int = 5) -> Column:
+    """64-bit hashes of the distinct runs of k words, as shingles() has them, without their strings."""
+
+    def runs(h: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, F.lit(k))))
+        return F.when(F.size(h) >= k, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), F.lit(0))
+
+
 def topic_key(hint: Column, kind: Column, title: Column) -> Column:
     """The hint, lower-case and trimmed, or kind:first three title words if there is none."""
     words = F.slice(F.filter(F.split(F.lower(F.trim(title)), r"\s+"), lambda t: t != ""), 1, 3)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles, tokens
+from ..functions.text import shingle_hashes, tokens
+from ..session import spread, stored
 
 
 def pending(cards: DataFrame, annotations: DataFrame, key: str) -> DataFrame:
@@ -76,43 +79,67 @@ BROADCAST_GRAMS = 1_000_000
 def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, above: float = 0.7, other: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) of pairs of texts whose shingles' Jaccard similarity is above a bound, strictly.
 
-    An inverted index with a prefix filter: texts of similarity above t share one of the first
-    n - ceil(t * n) + 1 of their n shingles, in an order of all shingles by frequency, rare ones first.
-    Shingles that one text alone has can't be shared and are dropped. Texts without shingles never pair.
+    Texts of equal sets of shingles are one class, which is compared once. An inverted index with a
+    prefix filter pairs classes: those of similarity above t share one of the first n - ceil(t * n) + 1
+    of their n shingles, in an order of all shingles by frequency, rare ones first. Shingles that one
+    class alone has can't be shared and are dropped. Texts without shingles never pair.
     With `other`, pairs of a text of docs and one of other; else pairs a < b of docs. Shingles of an
     `other` of up to BROADCAST_GRAMS go to the tasks, which count what each text shares with it.
     """
     both = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(0).alias("side"))
     if other is not None:
         both = both.unionByName(other.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(1).alias("side")))
-    sets = both.select("id", "side", shingles(tokens(F.col("text")), k).alias("s"))
-    grams = sets.select("id", "side", F.size("s").alias("n"), F.explode_outer("s").alias("g")).where("g is not null").withColumn("g", F.xxhash64("g"))
+    sets = spread(both).select("id", "side", shingle_hashes(tokens(F.col("text")), k).alias("s")).where(F.size("s") > 0)
     if other is not None:
+        grams = sets.select("id", "side", F.size("s").alias("n"), F.explode("s").alias("g"))
         theirs = grams.where("side = 1").select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
         if theirs.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
             own = grams.where("side = 0").select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
             inter = own.join(F.broadcast(theirs), "g").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
             return _similar(inter, above)
-    shared = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    order = Window.partitionBy("side", "id").orderBy("df", "g")
-    held = grams.join(shared, "g").withColumn("at", F.row_number().over(order))
-    held = held.withColumn("own", F.count("*").over(Window.partitionBy("side", "id")))
-    # the n - own shingles that no other text has come first in the order
-    reach = F.col("n") - F.ceil(F.col("n") * F.lit(above)) + 1 - (F.col("n") - F.col("own"))
-    before = F.col("n") - F.col("own") + F.col("at") - 1
-    posted = held.where(F.col("at") <= reach).select("g", "id", "side", "n", before.alias("i"))
-    a = posted.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("side").alias("sa"), F.col("i").alias("ia"))
-    b = posted.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("side").alias("sb"), F.col("i").alias("ib"))
-    one = (F.col("sa") == 0) & (F.col("sb") == 1) if other is not None else F.col("a") < F.col("b")
-    sized = F.least("na", "nb") > F.lit(above) * F.greatest("na", "nb")
+    digest = F.struct(F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i"))
+    sets = stored(sets.select("id", "side", F.array_sort("s").alias("s")).withColumn("digest", digest), "sets")
+    classes = sets.groupBy("digest").agg(F.any_value("s").alias("s")).select("digest", F.col("digest.n").alias("n"), "s")
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    pairs = _near_classes(classes, above)
+    members = sets.select("digest", "id", "side").join(classes.select("digest", "class"), "digest")
+    a, b = (members.select(F.col("class").alias(f"c{x}"), F.col("id").alias(x), F.col("side").alias(f"s{x}")) for x in "ab")
+    across = pairs.join(a, "ca").join(b, "cb")
+    within = a.join(b, F.col("ca") == F.col("cb")).withColumn("similarity", F.lit(1.0))
+    every = across.unionByName(within.select(across.columns))
+    if other is not None:
+        swapped = (F.col("sa") == 1) & (F.col("sb") == 0)
+        turned = every.where(F.col("sa") != F.col("sb")).select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"), "similarity")
+        return turned.distinct()
+    return every.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
+
+
+def _near_classes(classes: DataFrame, above: float) -> DataFrame:
+    """(ca, cb, similarity) of a stored table (class, n, s): pairs of different classes above the bound."""
+    n = F.col("n")
+    grams = classes.select("class", "n", F.explode("s").alias("g"))
+    # stored, as what a frequent shingle's rows are joined with: such a join may deal one key to several tasks
+    shared = stored(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    held = grams.join(shared, "g").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("held"))
+    # the n - own shingles that no other class has come first in the order
+    rarer = n - F.size("held")
+    reach = n - F.ceil(n * F.lit(above)) + 1 - rarer
+    prefix = held.where(reach > 0).select("class", "n", rarer.alias("rarer"), F.posexplode(F.slice("held", F.lit(1), reach.cast("int"))).alias("at", "x"))
+    # classes of such similarity are of sizes at most a step apart; a little wider, for the sake of rounding
+    cell = F.floor(F.log(n) / F.lit(-math.log(above) * 1.0001)).cast("int")
+    posted = stored(prefix.select("class", "n", (F.col("rarer") + F.col("at")).alias("i"), F.col("x.g").alias("g"), cell.alias("cell")), "prefixes")
+    a = posted.select("g", "cell", F.col("class").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = posted.select("g", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    na, nb = F.col("na"), F.col("nb")
+    sized = F.least(na, nb) > F.lit(above) * F.greatest(na, nb)
     # so many shingles such sets of these sizes share; before the first of them stand no more than the rest
-    least = F.ceil(F.lit(above / (1 + above)) * (F.col("na") + F.col("nb")) - 1e-9)
-    first = (F.col("ia") <= F.col("na") - least) & (F.col("ib") <= F.col("nb") - least)
-    pairs = a.join(b, "g").where(one & sized & first).select("a", "b", "na", "nb", "sa", "sb").distinct()
-    left = held.select(F.col("id").alias("a"), F.col("side").alias("sa"), "g")
-    right = held.select(F.col("id").alias("b"), F.col("side").alias("sb"), "g")
-    inter = pairs.join(left, ["a", "sa"]).join(right, ["b", "sb", "g"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return _similar(inter, above)
+    least = F.ceil(F.lit(above / (1 + above)) * (na + nb) - 1e-9)
+    first = (F.col("ia") <= na - least) & (F.col("ib") <= nb - least)
+    pairs = a.join(b, ["g", "cell"]).where((F.col("ca") < F.col("cb")) & sized & first).select("ca", "cb", "na", "nb").distinct()
+    both = pairs.join(classes.select(F.col("class").alias("ca"), F.col("s").alias("x")), "ca").join(classes.select(F.col("class").alias("cb"), F.col("s").alias("y")), "cb")
+    inter = both.select("ca", "cb", "na", "nb", F.size(F.array_intersect("x", "y")).alias("shared"))
+    similarity = F.col("shared") / (na + nb - F.col("shared"))
+    return stored(inter.where(similarity > above).select("ca", "cb", similarity.alias("similarity")), "near")
 
 
 def _similar(inter: DataFrame, above: float) -> DataFrame:

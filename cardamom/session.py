@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Folders of sessions on this machine that name none, by application.
@@ -54,6 +54,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder and read again: cuts the lineage, outlives executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores, if its files make fewer splits than there are; any larger table as it is.
+
+    For work that costs much more than moving the rows.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df._jdf.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    splits = sum(-(-p.getFileSystem(conf).getFileStatus(p).getLen() // split) for p in paths)
+    return df.repartition(cores) if splits < cores else df
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and the bench. On a cluster, the session is the caller's."""
     return (
