@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import shared_path, ship
+from ..session import shared_path, ship, spread
 from .wordhash import binary
 
 #: Bytes of text handed to an operator's kernel at once (one longer text goes alone).
@@ -52,7 +52,7 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
     # a kept text isn't sent twice
     own = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else len(keep)
     more_at = len(keep) + (own == len(keep))
-    source = df.select(*[df[c] for c in keep], *([df[text].cast("string").alias(_TEXT)] if own == len(keep) else []), *[df[c].alias(f"__also{i}") for i, c in enumerate(also)])
+    source = spread(df.select(*[df[c] for c in keep], *([df[text].cast("string").alias(_TEXT)] if own == len(keep) else []), *[df[c].alias(f"__also{i}") for i, c in enumerate(also)]))
     schema = StructType([source.schema[c] for c in keep] + list(made.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
