@@ -120,20 +120,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """Kept columns, n_words, n_hit long, hits array<struct<start, end>> (of hit words), items array<string>.
 
     The items' texts go to the tasks up to `item_chars` characters together; a larger benchmark is
-    dealt into automata of about that size, past each of which the documents stream in turn.
+    dealt into automata of about that size, past each of which the documents stream in turn. Then
+    each pass leaves only the rows that it hits, and the documents are written once and joined with those.
     Only a run of words that all occur in the items can reach a window's length, so no other run
     is streamed. Null and empty texts have no words and no hits; items without words match nothing;
     an item without id counts for hits and is not listed. Repeated items and documents give what
-    each gives alone. No shuffle.
+    each gives alone. Without further automata, no shuffle.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(chars / item_chars))
-    df, names = docs, list(keep)
-    for i in range(parts):
-        mine = tuple((r.item, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i).collect())
+    automata = max(1, math.ceil(chars / item_chars))
+    keep = [c for c in keep if c not in ("n_words", "n_hit", "hits", "items")]
 
-        def factory(mine=mine):
+    def passed(df: DataFrame, columns: Sequence[str], i: int) -> DataFrame:
+        mine = tuple((r.item, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(automata)) == i).collect())
+
+        def factory():
             built = _built(mine, window)
 
             def kernel(texts):
@@ -142,12 +144,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
             return kernel
 
-        made = map_text(df, f"n_words long, __hits{i} array<struct<start: int, end: int>>, __items{i} array<string>", factory, text, [*names, *([text] if i < parts - 1 and text not in names else [])])
-        names += [c for c in ("n_words", f"__hits{i}", f"__items{i}") if c not in names]
-        df = stored(made, "decontaminate") if i < parts - 1 else made
-    hits = F.concat(*[F.col(f"__hits{i}") for i in range(parts)])
-    met = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__items{i}") for i in range(parts)])))
-    return df.select(*[c for c in keep if c not in ("n_words", "n_hit", "hits", "items")], "n_words", _covered(hits).alias("n_hit"), hits.alias("hits"), met.alias("items"))
+        return map_text(df, "n_words long, __hits array<struct<start: int, end: int>>, __items array<string>", factory, text, columns)
+
+    if automata == 1:
+        found = passed(docs, keep, 0)
+    else:
+        own = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__own_text")) if text not in keep else docs.select(*keep)
+        text = "__own_text" if text not in keep else text
+        rows = stored(own.withColumn("__row", F.monotonically_increasing_id()), "documents")
+        some = None
+        for i in range(automata):
+            hit = passed(rows, ["__row"], i).where((F.size("__hits") > 0) | (F.lit(i) == 0))
+            hit = stored(hit if i == 0 else hit.drop("n_words"), "hits")
+            some = hit if some is None else some.unionByName(hit, allowMissingColumns=True)
+        each = some.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("__hits")).alias("__hits"), F.flatten(F.collect_list("__items")).alias("__items"))
+        found = rows.select("__row", *keep).join(each, "__row")
+    met = F.array_sort(F.array_distinct("__items"))
+    return found.select(*keep, "n_words", _covered(F.col("__hits")).alias("n_hit"), F.col("__hits").alias("hits"), met.alias("items"))
 
 
 def without_hits(text: Column | str, hits: Column | str) -> Column:
