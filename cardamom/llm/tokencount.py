@@ -5,7 +5,8 @@ either side, so that its count is the sum of its segments' counts. The segments
 leaves of a binary tree whose nodes hold the characters and tokens below them. An edit
 finds the segments it touches by those sums, encodes them anew together with as much of
 their neighbours as it takes for both borders to be safe cuts again, and corrects the sums
-on the way to the root; all other segments keep their counts.
+on the way to the root; all other segments keep their counts. Trees are kept as a table of
+their leaves' sums beside the texts, from which they are made again without encoding.
 """
 
 from __future__ import annotations
@@ -82,9 +83,17 @@ def _end(node: Node, last: bool) -> Node:
 class TokenTree:
     """The token count of a text under edits. `encoded` adds up the characters that were encoded."""
 
-    def __init__(self, bpe: ByteBPE, text: str) -> None:
+    def __init__(self, bpe: ByteBPE, text: str, leaves: Sequence[tuple[int, int]] | None = None) -> None:
+        """`leaves`, if known, has the characters and tokens of each segment."""
         self.bpe, self.encoded = bpe, 0
-        self.root = _build(self._segments(text))
+        if leaves is None:
+            self.root = _build(self._segments(text))
+            return
+        kept, at = [], 0
+        for chars, tokens in leaves:
+            kept.append(Node(None, None, text[at : at + chars], tokens))
+            at += chars
+        self.root = _build(kept)
 
     def _segments(self, text: str) -> list[Node]:
         out, at = [], 0
@@ -104,6 +113,14 @@ class TokenTree:
     def chars(self) -> int:
         return self.root.chars if self.root else 0
 
+    def leaves(self) -> list[tuple[int, int]]:
+        return [(x.chars, x.tokens) for x in _leaves(self.root)]
+
+    def edit_all(self, edits: Sequence[dict | None] | None) -> None:
+        for e in edits or ():
+            if e is not None:
+                self.edit(e["start"] or 0, self.chars if e["end"] is None else e["end"], e["text"] or "")
+
     def text(self) -> str:
         return "".join(x.text for x in _leaves(self.root))
 
@@ -127,6 +144,49 @@ class TokenTree:
             self.root = _build(_leaves(self.root))
 
 
+_TREE = "text string, leaves array<struct<chars: int, tokens: int>>, n_tokens long"
+
+
+def _rows(trees: Sequence[TokenTree]) -> list:
+    return [[t.text() for t in trees], [[{"chars": a, "tokens": b} for a, b in t.leaves()] for t in trees], [t.tokens for t in trees]]
+
+
+def count(docs: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Kept columns, text, leaves array<struct<chars, tokens>>, n_tokens long: a table that keeps each text's tree.
+
+    A null text is taken as empty, which has no leaves.
+    """
+
+    def factory():
+        bpe = ByteBPE(read_ranks(vocabulary), pattern)
+        return lambda texts: _rows([TokenTree(bpe, (t or b"").decode("utf-8", "replace")) for t in texts])
+
+    return map_text(docs, _TREE, factory, text, keep)
+
+
+def edited(trees: DataFrame, vocabulary: bytes, pattern: str, edits: str = "edits", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """A table of count(), or of this function, after the edits of each text: its columns, and n_reencoded long.
+
+    `edits` is as in count_edited(). Only segments that the edits touch are encoded; null leaves are made anew.
+    """
+
+    def factory():
+        bpe = ByteBPE(read_ranks(vocabulary), pattern)
+
+        def kernel(texts, leaves, todo):
+            made, had = [], []
+            for t, known, es in zip(texts, leaves.to_pylist(), todo.to_pylist(), strict=True):
+                tree = TokenTree(bpe, (t or b"").decode("utf-8", "replace"), None if known is None else [(x["chars"], x["tokens"]) for x in known])
+                had.append(tree.encoded)
+                tree.edit_all(es)
+                made.append(tree)
+            return [*_rows(made), [t.encoded - h for t, h in zip(made, had, strict=True)]]
+
+        return kernel
+
+    return map_text(trees, f"{_TREE}, n_reencoded long", factory, "text", keep, ["leaves", edits])
+
+
 def count_edited(docs: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", edits: str = "edits", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Kept columns, n_tokens, n_chars_edited, n_tokens_edited, n_reencoded: all long.
 
@@ -144,9 +204,7 @@ def count_edited(docs: DataFrame, vocabulary: bytes, pattern: str, text: str = "
             for t, todo in zip(texts, edits.to_pylist(), strict=True):
                 tree = TokenTree(bpe, (t or b"").decode("utf-8", "replace"))
                 first, had = tree.tokens, tree.encoded
-                for e in todo or ():
-                    if e is not None:
-                        tree.edit(e["start"] or 0, tree.chars if e["end"] is None else e["end"], e["text"] or "")
+                tree.edit_all(todo)
                 for column, x in zip(out, (first, tree.chars, tree.tokens, tree.encoded - had), strict=True):
                     column.append(x)
             return [pa.array(c, pa.int64()) for c in out]

@@ -379,6 +379,22 @@ def test_counts_of_awkward_edits(spark, docs):
         assert (r["n_tokens"], r["n_chars_edited"], r["n_tokens_edited"]) == (len(coder.encode_ordinary(t)), len(now), len(coder.encode_ordinary(now))), r["doc_id"]
 
 
+def test_kept_trees_are_edited(spark, tmp_path):
+    data, pattern = queries.byte_vocabulary()
+    coder = bpe.ByteBPE(bpe.read_ranks(data), pattern)._core
+    texts = [(1, " ".join(words(91, 4000))), (2, None), (3, ""), (4, "short"), (1, "another row of one id")]
+    tokencount.count(with_clashes(spark.createDataFrame(texts, "doc_id long, text string")), data, pattern).write.parquet(str(tmp_path / "trees"))
+    trees, want = spark.read.parquet(str(tmp_path / "trees")), [t or "" for _, t in texts]
+    for turn in range(3):
+        at = 100 * turn
+        edit = f"array(named_struct('start', {at}, 'end', {at + 7}, 'text', 'new {turn} '), null)"
+        trees = tokencount.edited(trees.withColumn("edits", F.expr(edit)), data, pattern)
+        want = [t[: min(at, len(t))] + f"new {turn} " + t[min(at + 7, len(t)) :] for t in want]
+    got = sorted((r["text"], r["n_tokens"], sum(x["tokens"] for x in r["leaves"]), r["n_reencoded"]) for r in trees.collect())
+    assert [g[:3] for g in got] == sorted((t, n := len(coder.encode_ordinary(t)), n) for t in want)
+    assert all(g[3] < 1500 for g in got) and max(len(t) for t in want) > 15_000
+
+
 def test_toxicity_of_awkward_rows(spark):
     rude, plain = "you utter scum of a moron ", "a calm and plain remark on weather "
     rows = [(i, (rude if i % 3 == 0 else plain) + f"number {i}") for i in range(150)]
