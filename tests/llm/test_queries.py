@@ -189,3 +189,44 @@ def test_article_texts(spark, duck):
         article = re.search(r"(?s)<article>(.*?)</article>", pages[r["page_id"]])[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:h1|p)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def plain_decontamination(text, items, n=13):
+    """(words, words hit, text without them) by comparing every run of words with every window."""
+    word = "A-Za-z0-9\x80-\U0010ffff"
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = [re.findall(f"[{word}]+", t.translate(lower)) for t in items if t]
+    wins = {tuple(w[k : k + n]) for w in split if w for k in range(max(1, len(w) - n + 1))}
+    w = re.findall(f"[{word}]+", text.translate(lower))
+    hit = {x for m in {len(x) for x in wins} for k in range(len(w) - m + 1) if tuple(w[k : k + m]) in wins for x in range(k, k + m)}
+    parts = re.findall(f"[^{word}]*[{word}]+", text)
+    left = "".join(x for k, x in enumerate(parts) if k not in hit) + re.search(f"[^{word}]*$", text)[0]
+    return len(w), len(hit), left if hit else text
+
+
+def test_pipeline_equals_plain_stages(spark, duck, coder):
+    from test_operators import brute_components
+
+    import corpus_pipeline
+    from cardamom.llm import language
+
+    rows = duck.execute("SELECT doc_id, text, source FROM documents").fetchall()
+    model = language.fit(spark.read.parquet(f"{DATA}/documents.parquet"), ~language.held_out())
+    langs = {i: model.label(t or "")[0] for i, t, _ in rows}
+    texts = {i: t for i, t, _ in rows if langs[i] != "und"}
+    components = {i: c for i, (_, c) in brute_components(list(texts.items())).items()}
+    kept = {}
+    items = [t for (t,) in duck.execute("SELECT text FROM benchmark").fetchall()]
+    for i, t in texts.items():
+        if components[i] == i:
+            n, hit, left = plain_decontamination(t, items)
+            if not hit or 20 * hit < n:
+                kept[i] = left
+    assert len(kept) < len(texts) - 10
+    want = {}
+    for i, spans in brute_spans(kept).items():
+        masked = privacy.mask(kept[i], [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)])
+        ids = b"".join(x.to_bytes(4, "little") for x in coder.encode_ordinary(masked))
+        want[i] = (langs[i], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(masked.encode()).hexdigest())
+    got = {r["doc_id"]: (r["lang"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got == want
