@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import shared_path, ship, spread
+from ..session import ship, spread, stored
 from .wordhash import binary
 
+__all__ = ["BROADCAST_BYTES", "PACK", "discard", "map_text", "parts", "small", "stored", "table"]
+
 #: Bytes of text handed to an operator's kernel at once (one longer text goes alone).
 PACK = 4 << 20
 #: Bytes that a table sent to every task may have there at most.
@@ -68,23 +70,13 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
     return source.mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: cuts the lineage, outlives executors.
-
-    The files go when the driver's JVM ends, or by discard().
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Removes a table that stored() made and that nothing reads any more."""
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables that stored() made and that nothing reads any more."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(parent)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(parent))
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

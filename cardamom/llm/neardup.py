@@ -217,8 +217,7 @@ def find_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     left = stored(now.join(mixed, "p").select("rep", "c").distinct(), "left")
     if left.limit(1).count():
         labels = joined(labels, compared(_last_round(left, docs, id, text, n, similar)))
-    for done in (posted, lists, leaders, now, mixed):
-        discard(spark, done)
+    discard(spark, posted, lists, leaders, now, mixed)
     known = labels.select(F.col("rep").alias("id"), F.col("c").alias("component"))
     found = classes.select("class", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     result = rows.select("id", "n_shingles", "class").join(found, "class", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import map_text, parts, small, stored
+from .common import discard, map_text, parts, small, stored
 from .wordhash import U64, binary, byte_class, many, packs, windows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -251,7 +251,7 @@ def trusted_patterns(docs: DataFrame, found: DataFrame, text: str = "text", roun
     totals = occurrences(docs, useful.select("gram").distinct(), text)
     graph = stored(edges.join(useful, _PATTERN, "left_semi").join(totals, "gram"), "graph")
     seeds = graph.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("sure")).distinct()
-    strings, patterns = seeds, None
+    strings, patterns, rest = seeds, None, [edges, useful, graph]
     for _ in range(rounds):
         patterns = (
             graph.drop("kind").join(strings, "instance")
@@ -261,7 +261,10 @@ def trusted_patterns(docs: DataFrame, found: DataFrame, text: str = "text", roun
         )
         best = graph.where("kind is null").drop("kind").join(patterns, _PATTERN).groupBy("instance", "kind").agg(F.max(F.least("conf", F.lit(1.0))).alias("sure"))
         strings = stored(seeds.unionByName(best), "strings")
-    return stored(patterns.groupBy(*_PATTERN).agg(F.max("conf").alias("conf"), F.max_by("kind", F.struct("conf", "kind")).alias("kind")), "trusted")
+        rest.append(strings)
+    trusted = stored(patterns.groupBy(*_PATTERN).agg(F.max("conf").alias("conf"), F.max_by("kind", F.struct("conf", "kind")).alias("kind")), "trusted")
+    discard(found.sparkSession, *rest)
+    return trusted
 
 
 def added_spans(found: DataFrame, patterns: DataFrame, row: str) -> DataFrame:

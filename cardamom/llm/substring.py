@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import map_text, parts, small, stored
+from .common import discard, map_text, parts, small, stored
 from .wordhash import U64, binary, many, packs, windows
 
 #: Words of a window.
@@ -185,14 +185,16 @@ def _stretches(docs: DataFrame, wins: DataFrame, window: int) -> DataFrame:
         return [pa.array(out, pa.list_(pa.struct([("shard", pa.int32()), ("streams", pa.bool_()), ("start", pa.int32()), ("words", pa.binary())]))).cast(_CUT)]
 
     cut = map_text(joined, "cut array<struct<shard: int, streams: boolean, start: int, words: string>>", lambda: kernel, "text", ["doc"], ["wanted"])
-    return stored(cut.select("doc", F.explode("cut").alias("c")).select("doc", "c.*"), "stretches")
+    stretches = stored(cut.select("doc", F.explode("cut").alias("c")).select("doc", "c.*"), "stretches")
+    discard(docs.sparkSession, firsts, wanted)
+    return stretches
 
 
 _CUT = pa.list_(pa.struct([("shard", pa.int32()), ("streams", pa.bool_()), ("start", pa.int32()), ("words", pa.string())]))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
-    """(doc, spans) for a table (doc, text): the words that windows of smaller documents cover."""
+    """(doc, spans), stored, for a table (doc, text): the words that windows of smaller documents cover."""
     wins = stored(candidate_windows(docs, window, broadcast_anchors), "windows")
     cut = _stretches(docs, wins, window)
     # a shard past which much text streams has copies, each with a part of it
@@ -201,7 +203,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, broadcast_anchors: int
     references = cut.where("not streams").join(copies, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     tasks = streams.unionByName(references).drop("copies").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "streams")
     matched = tasks.mapInArrow(_matched(window), f"doc {docs.schema['doc'].dataType.simpleString()}, spans array<struct<start: int, end: int>>")
-    return matched.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = stored(matched.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    discard(docs.sparkSession, wins, cut, copies)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
@@ -212,7 +216,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     keeps all words. Rows of one id are one document: none is a repeat of the others.
     """
     named = docs.select(F.col(id).alias("doc"), F.col(text).cast("string").alias("text"))
-    spans = stored(repeated_spans(named.where("doc is not null and text is not null"), window, broadcast_anchors), "spans")
+    spans = repeated_spans(named.where("doc is not null and text is not null"), window, broadcast_anchors)
     joined = named.join(F.broadcast(spans) if small(spans, BROADCAST_DOCS, F.size("spans") * 16) else spans, "doc", "left")
 
     def kernel(texts, spans):
