@@ -200,3 +200,26 @@ def s15_schedule(spark, d):
 def s16_mock_provider(spark, d):
     called = mock_calls(load(spark, d, "documents").select("doc_id", "text"), "text")
     return called.select("doc_id", F.get_json_object("output", "$.verdict").alias("verdict"), F.round("cost", 9).alias("cost"))
+
+
+def _provider_client():
+    """A stand-in for a model: one call for each prompt, of which an empty one fails for good and some fail once."""
+    failed = set()
+
+    def client(doc_id, prompt):
+        if not prompt:
+            raise ValueError("empty prompt")
+        if doc_id % 13 == 0 and doc_id not in failed:
+            failed.add(doc_id)
+            raise ConnectionError("503")
+        return {"output": '{"violations":[],"verdict":"approve"}', "tokens": -(-len(prompt) // 4)}
+
+    return client
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN '{"violations":[],"verdict":"approve"}' END AS output, CASE WHEN doc_id % 9 > 0 THEN CAST(ceil(length(text) / 4) AS BIGINT) END AS tokens,
+CASE WHEN doc_id % 9 = 0 THEN 'ValueError: empty prompt' END AS error, CASE WHEN doc_id % 9 > 0 AND doc_id % 13 = 0 THEN 2 ELSE 1 END AS attempts FROM documents""")
+def s16_provider_calls(spark, d):
+    prompts = load(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 > 0, F.col("text")).alias("prompt"))
+    waits = fetch.called(prompts, "output string, tokens bigint", _provider_client, ["doc_id", "prompt"], retries=4, wait=lambda attempt, error: 0.0 if isinstance(error, ConnectionError) else None)
+    return waits.drop("prompt")
