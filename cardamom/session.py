@@ -11,8 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Folders of sessions on this machine that name none, by application.
+#: By application: folders of sessions on this machine that name none, and each one's part of its shared folder.
 _own_dirs: dict[str, str] = {}
+_parts: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,12 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, whose files go when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/cardamom/{name}-{uuid.uuid4().hex}"
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    """A new path in the application's part of the shared folder, all of which goes when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _parts:
+        part = f"{shared_dir(spark)}/cardamom/{app}-{uuid.uuid4().hex}"
+        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+        where = jvm.org.apache.hadoop.fs.Path(part)
+        fs = where.getFileSystem(jsc.hadoopConfiguration())
+        # only what is there can be marked for removal
+        if not (fs.mkdirs(where) and fs.deleteOnExit(where)):
+            raise OSError(f"can't make {part}")
+        _parts[app] = part
+    return f"{_parts[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

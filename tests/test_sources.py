@@ -169,3 +169,27 @@ def test_a_failed_rename_keeps_the_old_table(spark, tmp_path):
     with pytest.raises(OSError, match="can't rename"):
         sinks._swap(spark, str(tmp_path / "missing"), path)
     assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_stored_tables_go_with_the_session(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate()
+from cardamom.session import stored
+print("AT", stored(spark.range(5), "some").inputFiles()[0], stored(spark.range(5), "some").count())
+"""
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert f"{tmp_path}/shared/cardamom/" in done.stdout and done.stdout.strip().endswith(" 5"), done.stderr[-1000:]
+    for _ in range(100):
+        if not list((tmp_path / "shared" / "cardamom").iterdir()):
+            break
+        import time
+
+        time.sleep(0.1)
+    assert not list((tmp_path / "shared" / "cardamom").iterdir())
