@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def shuffled(key: Column, seed: int) -> Column:
     """An ordering key that looks random and is the same in every run."""
@@ -41,25 +43,15 @@ def top_k(rows: DataFrame, by: str, order: list[Column | str], k: int) -> DataFr
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= k)
 
 
-#: Rows whose order keys are drawn for each range, to find where ranges end.
-DRAWN = 50
-
-
 def placed(rows: DataFrame, order: list[Column | str]) -> DataFrame:
     """rows with `place`, from 0 on, in ascending order of the columns named.
 
-    Ranges of the order are numbered each by itself and begin where those before them end, so no
-    task has all rows. Their bounds are values, drawn once: a row's range is the same in every
-    reading of the plan, and which bounds are drawn doesn't change a place.
+    Rows are dealt by ranges of the order, which are numbered each by itself and begin where those
+    before them end, so no task has all rows. The dealt rows are a stored table: their ranges are
+    drawn once, and what is counted is what is numbered.
     """
     key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
-    keyed = rows.withColumn("__key", key)
-    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = rows.count()
-    drawn = sorted_keys(keyed.sample(min(1.0, DRAWN * ranges / n), 42)) if n else []
-    bounds = drawn[:: max(1, len(drawn) // ranges)]
-    inside = F.size(F.filter(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in b.asDict().items()]) for b in bounds]), lambda b: b <= F.col("__key"))) if bounds else F.lit(0)
-    ranged = keyed.withColumn("__range", inside)
+    ranged = stored(rows.withColumn("__key", key).repartitionByRange("__key").withColumn("__range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     # as many rows as ranges
     starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
@@ -67,10 +59,6 @@ def placed(rows: DataFrame, order: list[Column | str]) -> DataFrame:
     return ranged.withColumn("__own", own).join(F.broadcast(starts), "__range").select(*rows.columns, (F.col("__start") + F.col("__own")).alias("place"))
 
 
-def sorted_keys(keyed: DataFrame) -> list:
-    return [r["__key"] for r in keyed.select("__key").orderBy("__key").collect()]
-
-
 def round_robin(plan: DataFrame, topics: list[str], order: list[Column | str]) -> DataFrame:
     """plan with a topic for each row, in turn over the whole plan."""
     at = (F.col("place") % len(topics)).cast("int")
