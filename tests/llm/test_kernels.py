@@ -259,7 +259,7 @@ def test_open_and_stray_tags_end_soon(page):
 def test_classes_inside_an_article():
     page = '<article><h1>T</h1><p class="social-policy">a</p><p id="related">b</p><p class="search">c</p><div class="ad-slot">x</div><div class="comment-list">y</div></article>'
     assert [t for t, kind in htmltext.lines(page) if kind == htmltext.IN] == ["T", "a", "b", "c"]
-    outside = '<div class="social-policy">a</div><div class="cookie-policy">x</div><div class="site-notice">y</div><div class="search-for-words">b</div><div id="shareButtons">z</div>'
+    outside = '<div class="social-policy">a</div><div class="cookie-policy">x</div><div class="site-notice">y</div><div class="search-for-words">b</div><div class="article-footer">w</div><div id="shareButtons">z</div>'
     assert [t for t, kind in htmltext.lines(outside) if kind != htmltext.OUT] == ["a", "b"]
 
 
