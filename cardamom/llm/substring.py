@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
@@ -30,6 +30,8 @@ from .wordhash import U64, binary, many, packs, windows
 WINDOW = 50
 #: Words of reference text in one automaton, about (some 50 MB in a worker); words of one document in a shard; bytes of text that stream past one copy of it, about.
 SHARD_WORDS, BLOCK_WORDS, TASK_BYTES = 100_000, 20_000, 16 << 20
+#: Documents that select a half-window from which on it is hot: its windows are counted in each task before they are dealt.
+HOT = 5000
 #: Selected half-windows, and documents with spans, that are sent to every task at most; more are joined by a shuffle.
 BROADCAST_ANCHORS, BROADCAST_DOCS = 2_000_000, 500_000
 
@@ -57,49 +59,63 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _groups(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct hashes and the positions of each."""
-    order = np.argsort(hashes, kind="stable")
-    keys, starts = np.unique(hashes[order], return_index=True)
-    return keys, np.split(at[order], starts[1:])
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values a sorted array has."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def candidate_windows(docs: DataFrame, window: int, broadcast_anchors: int) -> DataFrame:
-    """(doc, h, at array<int>): hashes and places of the windows whose half-window some other document selects too."""
+    """(doc, h, at, hot): hash and place of each window whose half-window some other document selects too, `hot` if more than HOT do."""
 
     def anchors(texts):
         return [[_signed(np.unique(s)) for _, s in _selected(texts, window)]]
 
     every = map_text(docs, "anchors array<long>", lambda: anchors, "text", ["doc"]).where(F.size("anchors") > 0)
     pairs = every.select("doc", F.explode("anchors").alias("anchor"))
-    shared = stored(pairs.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"), "anchors")
-    made = "wins array<struct<h: long, at: array<int>>>"
+    common = pairs.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = stored(common.select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
+    made = "wins array<struct<h: long, at: int, hot: boolean>>"
 
-    def found(h: np.ndarray, s: np.ndarray, known: np.ndarray) -> list[dict]:
-        if not len(s) or not len(known):
-            return []
+    def found(h: np.ndarray, s: np.ndarray, known: np.ndarray, hot: np.ndarray) -> list[dict]:
         s = _signed(s)
-        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s)
+        at = np.flatnonzero(_among(s, known))
         if not len(at):
             return []
-        keys, places = _groups(_signed(windows(h, window))[at], at)
-        return [{"h": k, "at": p} for k, p in zip(keys.tolist(), places, strict=True)]
+        return [{"h": k, "at": p, "hot": x} for k, p, x in zip(_signed(windows(h, window))[at].tolist(), at.tolist(), _among(s[at], hot).tolist(), strict=True)]
 
     if small(shared, broadcast_anchors):
-        known = np.sort(shared.toArrow()["anchor"].to_numpy())
+        table = shared.toArrow()
+        known = np.sort(table["anchor"].to_numpy())
+        hot = np.sort(table["anchor"].filter(table["hot"]).to_numpy())
 
         def kernel(texts):
-            return [[found(h, s, known) for h, s in _selected(texts, window)]]
+            return [[found(h, s, known, hot) for h, s in _selected(texts, window)]]
 
         wins = map_text(docs, made, lambda: kernel, "text", ["doc"])
     else:
-        mine = pairs.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("known"))
+        mine = pairs.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("known"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+
+        def kernel(texts, *own):
+            arrays = [[np.unique(np.array(x, np.int64)) for x in c.to_pylist()] for c in own]
+            return [[found(h, s, k, x) for (h, s), k, x in zip(_selected(texts, window), *arrays, strict=True)]]
+
+        wins = map_text(docs.join(mine, "doc"), made, lambda: kernel, "text", ["doc"], ["known", "hot"])
+    return wins.select("doc", F.explode("wins").alias("w")).select("doc", "w.*")
 
-        def kernel(texts, known):
-            return [[found(h, s, np.unique(np.array(k, np.int64))) for (h, s), k in zip(_selected(texts, window), known.to_pylist(), strict=True)]]
 
-        wins = map_text(docs.join(mine, "doc"), made, lambda: kernel, "text", ["doc"], ["known"])
-    return wins.select("doc", F.explode("wins").alias("w")).select("doc", "w.h", "w.at")
+def _with_firsts(wins: DataFrame) -> DataFrame:
+    """wins with `first`, the smallest (doc, at) of those of its hash, and `last`, the largest document.
+
+    Windows of few documents are dealt by their hash once. Those that are in very many are counted in
+    every task before they are dealt, and joined with what comes of that, which is stored, so that one
+    key may go to several tasks. A window is of either sort with all others of its hash.
+    """
+    first, last = F.min(F.struct("doc", "at")), F.max("doc")
+    group = Window.partitionBy("h")
+    few = wins.where("not hot").select("doc", "h", "at", first.over(group).alias("first"), last.over(group).alias("last"))
+    many = wins.where("hot").select("doc", "h", "at")
+    known = stored(many.groupBy("h").agg(first.alias("first"), last.alias("last")), "firsts")
+    return few.unionByName(many.join(known, "h"))
 
 
 class Shard:
@@ -166,14 +182,12 @@ def _stretches(docs: DataFrame, wins: DataFrame, window: int) -> DataFrame:
     A reference is a stretch of the smallest document that has its windows, and belongs to the shard of
     its document and block of words; the later documents' stretches go to the shards of their windows.
     """
-    place = F.min(F.struct("doc", F.element_at("at", 1).alias("at"))).alias("x")
-    # stored: a window that very many documents have may then be dealt to several tasks where it is joined
-    firsts = stored(wins.groupBy("h").agg(place, F.max("doc").alias("last")).where("x.doc < last").select("h", F.col("x.doc").alias("first"), F.col("x.at").alias("first_at")), "firsts")
-    shards = max(1, math.ceil(firsts.count() / SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("first", F.floor(F.col("first_at") / BLOCK_WORDS)), F.lit(shards)).cast("int").alias("shard")
-    references = firsts.groupBy("first", shard).agg(F.collect_list("first_at").alias("at")).select(F.col("first").alias("doc"), "shard", F.lit(False).alias("streams"), "at")
-    later = wins.join(firsts, "h").where("first < doc").groupBy("doc", shard).agg(F.flatten(F.collect_list("at")).alias("at")).select("doc", "shard", F.lit(True).alias("streams"), "at")
-    wanted = stored(references.unionByName(later).groupBy("doc").agg(F.collect_list(F.struct("shard", "streams", "at")).alias("wanted")), "wanted")
+    block = F.floor(F.col("first.at") / BLOCK_WORDS)
+    placed = stored(_with_firsts(wins).where("first.doc < last and (first.doc < doc or first.at = at)").select("doc", "at", F.col("first.doc").alias("first"), block.alias("block")), "placed")
+    shards = max(1, math.ceil(placed.where("first = doc").count() / SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("first", "block"), F.lit(shards)).cast("int").alias("shard")
+    wanted = placed.groupBy("doc", shard, (F.col("first") < F.col("doc")).alias("streams")).agg(F.collect_list("at").alias("at"))
+    wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("shard", "streams", "at")).alias("wanted")), "wanted")
     few = small(wanted, BROADCAST_DOCS, F.aggregate("wanted", F.lit(0).cast("long"), lambda n, x: n + F.size(x["at"]) * 4 + 16))
     joined = docs.join(F.broadcast(wanted) if few else wanted, "doc")
 
@@ -186,7 +200,7 @@ def _stretches(docs: DataFrame, wins: DataFrame, window: int) -> DataFrame:
 
     cut = map_text(joined, "cut array<struct<shard: int, streams: boolean, start: int, words: string>>", lambda: kernel, "text", ["doc"], ["wanted"])
     stretches = stored(cut.select("doc", F.explode("cut").alias("c")).select("doc", "c.*"), "stretches")
-    discard(docs.sparkSession, firsts, wanted)
+    discard(docs.sparkSession, placed, wanted)
     return stretches
 
 

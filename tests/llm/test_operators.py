@@ -72,6 +72,7 @@ def test_substring_dedup(docs, monkeypatch, anchors, shard_words, block_words, t
     monkeypatch.setattr(substring, "SHARD_WORDS", shard_words)
     monkeypatch.setattr(substring, "BLOCK_WORDS", block_words)
     monkeypatch.setattr(substring, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(substring, "HOT", 5000 if anchors else 2)
     rows = [tuple(r) for r in docs.collect()]
     got = substring.remove_repeats(with_clashes(docs), broadcast_anchors=anchors)
     assert collected(got, "doc_id", "n_words", "n_removed", "kept") == brute_repeats(rows)
