@@ -76,12 +76,19 @@ def candidate_windows(docs: DataFrame, window: int, broadcast_anchors: int) -> D
     shared = stored(common.select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
     made = "wins array<struct<h: long, at: int, hot: boolean>>"
 
-    def found(h: np.ndarray, s: np.ndarray, known: np.ndarray, hot: np.ndarray) -> list[dict]:
-        s = _signed(s)
-        at = np.flatnonzero(_among(s, known))
-        if not len(at):
-            return []
-        return [{"h": k, "at": p, "hot": x} for k, p, x in zip(_signed(windows(h, window))[at].tolist(), at.tolist(), _among(s[at], hot).tolist(), strict=True)]
+    def found(texts: list[bytes | None], known: Sequence[np.ndarray], hot: Sequence[np.ndarray]) -> list[pa.Array]:
+        """The windows of each text that its known half-windows are selected in."""
+        sizes, hashes, places, marks = [0], [], [], []
+        for (h, s), k, x in zip(_selected(texts, window), known, hot, strict=True):
+            s = _signed(s)
+            at = np.flatnonzero(_among(s, k))
+            sizes.append(len(at))
+            if len(at):
+                hashes.append(_signed(windows(h, window))[at])
+                places.append(at.astype(np.int32))
+                marks.append(_among(s[at], x))
+        columns = [np.concatenate(c) if c else np.empty(0, kind) for c, kind in ((hashes, np.int64), (places, np.int32), (marks, bool))]
+        return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["h", "at", "hot"]))]
 
     if small(shared, broadcast_anchors):
         table = shared.toArrow()
@@ -89,15 +96,14 @@ def candidate_windows(docs: DataFrame, window: int, broadcast_anchors: int) -> D
         hot = np.sort(table["anchor"].filter(table["hot"]).to_numpy())
 
         def kernel(texts):
-            return [[found(h, s, known, hot) for h, s in _selected(texts, window)]]
+            return found(texts, [known] * len(texts), [hot] * len(texts))
 
         wins = map_text(docs, made, lambda: kernel, "text", ["doc"])
     else:
         mine = pairs.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("known"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
 
         def kernel(texts, *own):
-            arrays = [[np.unique(np.array(x, np.int64)) for x in c.to_pylist()] for c in own]
-            return [[found(h, s, k, x) for (h, s), k, x in zip(_selected(texts, window), *arrays, strict=True)]]
+            return found(texts, *[[np.unique(np.array(x, np.int64)) for x in c.to_pylist()] for c in own])
 
         wins = map_text(docs.join(mine, "doc"), made, lambda: kernel, "text", ["doc"], ["known", "hot"])
     return wins.select("doc", F.explode("wins").alias("w")).select("doc", "w.*")
