@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
@@ -146,15 +146,12 @@ class Shard:
         return [(a, b) for a, b in spans]
 
 
-def _runs(at: list[int], window: int) -> list[tuple[int, int]]:
-    """Stretches of words that windows at these places cover."""
-    out: list[list[int]] = []
-    for x in sorted(set(at)):
-        if out and x <= out[-1][1]:
-            out[-1][1] = x + window
-        else:
-            out.append([x, x + window])
-    return [(a, b) for a, b in out]
+def _runs(places: str, window: int) -> Column:
+    """array<struct<start, end>>: stretches of words that windows at the sorted places of a column cover."""
+    at = F.col(places)
+    starts = F.filter(at, lambda x, i: (i == 0) | (x > F.get(at, i - 1) + window))
+    ends = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) > x + window))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + window).alias("end")))
 
 
 def _matched(window: int):
@@ -192,16 +189,17 @@ def _stretches(docs: DataFrame, wins: DataFrame, window: int) -> DataFrame:
     placed = stored(_with_firsts(wins).where("first.doc < last and (first.doc < doc or first.at = at)").select("doc", "at", F.col("first.doc").alias("first"), block.alias("block")), "placed")
     shards = max(1, math.ceil(placed.where("first = doc").count() / SHARD_WORDS))
     shard = F.pmod(F.xxhash64("first", "block"), F.lit(shards)).cast("int").alias("shard")
-    wanted = placed.groupBy("doc", shard, (F.col("first") < F.col("doc")).alias("streams")).agg(F.collect_list("at").alias("at"))
-    wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("shard", "streams", "at")).alias("wanted")), "wanted")
-    few = small(wanted, BROADCAST_DOCS, F.aggregate("wanted", F.lit(0).cast("long"), lambda n, x: n + F.size(x["at"]) * 4 + 16))
+    wanted = placed.groupBy("doc", shard, (F.col("first") < F.col("doc")).alias("streams")).agg(F.sort_array(F.collect_list("at")).alias("at"))
+    wanted = wanted.select("doc", "shard", "streams", _runs("at", window).alias("runs"))
+    wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("shard", "streams", "runs")).alias("wanted")), "wanted")
+    few = small(wanted, BROADCAST_DOCS, F.aggregate("wanted", F.lit(0).cast("long"), lambda n, x: n + F.size(x["runs"]) * 16 + 32))
     joined = docs.join(F.broadcast(wanted) if few else wanted, "doc")
 
     def kernel(texts, wanted):
         out = []
         for t, some in zip(texts, wanted.to_pylist(), strict=True):
             words = t.split()
-            out.append([{"shard": x["shard"], "streams": x["streams"], "start": a, "words": b" ".join(words[a:b])} for x in some for a, b in _runs(x["at"], window)])
+            out.append([{"shard": x["shard"], "streams": x["streams"], "start": r["start"], "words": b" ".join(words[r["start"] : r["end"]])} for x in some for r in x["runs"]])
         return [pa.array(out, pa.list_(pa.struct([("shard", pa.int32()), ("streams", pa.bool_()), ("start", pa.int32()), ("words", pa.binary())]))).cast(_CUT)]
 
     cut = map_text(joined, "cut array<struct<shard: int, streams: boolean, start: int, words: string>>", lambda: kernel, "text", ["doc"], ["wanted"])

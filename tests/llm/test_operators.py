@@ -79,6 +79,13 @@ def test_substring_dedup(docs, monkeypatch, anchors, shard_words, block_words, t
     assert sum(r[2] for r in brute_repeats(rows)) > 500
 
 
+def test_runs_of_windows(spark):
+    at = [[0], [0, 1, 2], [0, 5, 6, 12], [3, 3, 8], [], [0, 6]]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(at)], "i int, at array<int>")
+    got = [[tuple(x) for x in r[0]] for r in df.orderBy("i").select(substring._runs("at", 5)).collect()]
+    assert got == [[(0, 5)], [(0, 7)], [(0, 11), (12, 17)], [(3, 13)], [], [(0, 5), (6, 11)]]
+
+
 def brute_components(rows, n=5):
     sets = {}
     for i, t in rows:
