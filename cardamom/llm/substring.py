@@ -30,7 +30,7 @@ from .wordhash import U64, binary, many, packs, windows
 WINDOW = 50
 #: Words of reference text in one automaton, about (some 50 MB in a worker); words of one document in a shard; bytes of text that stream past one copy of it, about.
 SHARD_WORDS, BLOCK_WORDS, TASK_BYTES = 100_000, 20_000, 16 << 20
-#: Documents that select a half-window from which on it is hot: its windows are counted in each task before they are dealt.
+#: Windows that select a half-window, above which it is hot: they are counted in each task before they are dealt.
 HOT = 5000
 #: Selected half-windows, and documents with spans, that are sent to every task at most; more are joined by a shuffle.
 BROADCAST_ANCHORS, BROADCAST_DOCS = 2_000_000, 500_000
@@ -65,14 +65,17 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def candidate_windows(docs: DataFrame, window: int, broadcast_anchors: int) -> DataFrame:
-    """(doc, h, at, hot): hash and place of each window whose half-window some other document selects too, `hot` if more than HOT do."""
+    """(doc, h, at, hot): hash and place of each window whose half-window some other document selects too, `hot` if more than HOT windows do."""
 
     def anchors(texts):
-        return [[_signed(np.unique(s)) for _, s in _selected(texts, window)]]
-
-    every = map_text(docs, "anchors array<long>", lambda: anchors, "text", ["doc"]).where(F.size("anchors") > 0)
-    pairs = every.select("doc", F.explode("anchors").alias("anchor"))
-    common = pairs.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high")
+        found = [np.unique(_signed(s), return_counts=True) for _, s in _selected(texts, window)]
+        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1)]
+        sizes = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+        return [pa.ListArray.from_arrays(sizes, pa.StructArray.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32))], names=["anchor", "n"]))]
+
+    every = map_text(docs, "anchors array<struct<anchor: long, n: int>>", lambda: anchors, "text", ["doc"]).where(F.size("anchors") > 0)
+    pairs = every.select("doc", F.explode("anchors").alias("x")).select("doc", "x.*")
+    common = pairs.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("n").alias("n")).where("low < high")
     shared = stored(common.select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
     made = "wins array<struct<h: long, at: int, hot: boolean>>"
 
@@ -112,7 +115,7 @@ def candidate_windows(docs: DataFrame, window: int, broadcast_anchors: int) -> D
 def _with_firsts(wins: DataFrame) -> DataFrame:
     """wins with `first`, the smallest (doc, at) of those of its hash, and `last`, the largest document.
 
-    Windows of few documents are dealt by their hash once. Those that are in very many are counted in
+    Windows that stand in few places are dealt by their hash once. Those that may stand in many are counted in
     every task before they are dealt, and joined with what comes of that, which is stored, so that one
     key may go to several tasks. A window is of either sort with all others of its hash.
     """
