@@ -30,7 +30,7 @@ from .wordhash import U64, binary, many, packs, windows
 WINDOW = 50
 #: Words of reference text in one automaton, about (some 50 MB in a worker); words of one document in a shard; bytes of text that stream past one copy of it, about.
 SHARD_WORDS, BLOCK_WORDS, TASK_BYTES = 100_000, 20_000, 16 << 20
-#: Windows that select a half-window, above which it is hot: they are counted in each task before they are dealt.
+#: Documents that select a half-window from which on it is hot: its windows are counted in each task before they are dealt.
 HOT = 5000
 #: Selected half-windows, and documents with spans, that are sent to every task at most; more are joined by a shuffle.
 BROADCAST_ANCHORS, BROADCAST_DOCS = 2_000_000, 500_000
@@ -65,33 +65,47 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def candidate_windows(docs: DataFrame, window: int, broadcast_anchors: int) -> DataFrame:
-    """(doc, h, at, hot): hash and place of each window whose half-window some other document selects too, `hot` if more than HOT windows do."""
+    """(doc, h, at, more, hot): hash and first place of each window of a document whose half-window some other document selects too.
+
+    `more` has the window's further places in the document, null if there are none; it is `hot` if more than HOT documents select
+    its half-window. So a window's rows are no more than its documents, however often one repeats it.
+    """
 
     def anchors(texts):
-        found = [np.unique(_signed(s), return_counts=True) for _, s in _selected(texts, window)]
-        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1)]
-        sizes = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
-        return [pa.ListArray.from_arrays(sizes, pa.StructArray.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32))], names=["anchor", "n"]))]
-
-    every = map_text(docs, "anchors array<struct<anchor: long, n: int>>", lambda: anchors, "text", ["doc"]).where(F.size("anchors") > 0)
-    pairs = every.select("doc", F.explode("anchors").alias("x")).select("doc", "x.*")
-    common = pairs.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("n").alias("n")).where("low < high")
+        return [[_signed(np.unique(s)) for _, s in _selected(texts, window)]]
+
+    every = map_text(docs, "anchors array<long>", lambda: anchors, "text", ["doc"]).where(F.size("anchors") > 0)
+    pairs = every.select("doc", F.explode("anchors").alias("anchor"))
+    common = pairs.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high")
     shared = stored(common.select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
-    made = "wins array<struct<h: long, at: int, hot: boolean>>"
+    made = "wins array<struct<h: long, at: int, more: array<int>, hot: boolean>>"
 
     def found(texts: list[bytes | None], known: Sequence[np.ndarray], hot: Sequence[np.ndarray]) -> list[pa.Array]:
         """The windows of each text that its known half-windows are selected in."""
-        sizes, hashes, places, marks = [0], [], [], []
+        sizes, hashes, places, marks, more = [0], [], [], [], []
         for (h, s), k, x in zip(_selected(texts, window), known, hot, strict=True):
             s = _signed(s)
             at = np.flatnonzero(_among(s, k))
-            sizes.append(len(at))
-            if len(at):
-                hashes.append(_signed(windows(h, window))[at])
-                places.append(at.astype(np.int32))
-                marks.append(_among(s[at], x))
-        columns = [np.concatenate(c) if c else np.empty(0, kind) for c, kind in ((hashes, np.int64), (places, np.int32), (marks, bool))]
-        return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["h", "at", "hot"]))]
+            if not len(at):
+                sizes.append(0)
+                continue
+            keys, first, own = np.unique(_signed(windows(h, window))[at], return_index=True, return_inverse=True)
+            sizes.append(len(keys))
+            hashes.append(keys)
+            places.append(at[first].astype(np.int32))
+            marks.append(_among(s[at[first]], x))
+            rest: list[list[int] | None] = [None] * len(keys)
+            if len(keys) < len(at):
+                again = np.ones(len(at), bool)
+                again[first] = False
+                for i, p in zip(own[again].tolist(), at[again].tolist(), strict=True):
+                    if rest[i] is None:
+                        rest[i] = []
+                    rest[i].append(p)
+            more += rest
+        columns = [pa.array(np.concatenate(c) if c else np.empty(0, kind)) for c, kind in ((hashes, np.int64), (places, np.int32), (marks, bool))]
+        columns.insert(2, pa.array(more, pa.list_(pa.int32())))
+        return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays(columns, names=["h", "at", "more", "hot"]))]
 
     if small(shared, broadcast_anchors):
         table = shared.toArrow()
@@ -115,14 +129,14 @@ def candidate_windows(docs: DataFrame, window: int, broadcast_anchors: int) -> D
 def _with_firsts(wins: DataFrame) -> DataFrame:
     """wins with `first`, the smallest (doc, at) of those of its hash, and `last`, the largest document.
 
-    Windows that stand in few places are dealt by their hash once. Those that may stand in many are counted in
+    Windows of few documents are dealt by their hash once. Those that are in very many are counted in
     every task before they are dealt, and joined with what comes of that, which is stored, so that one
     key may go to several tasks. A window is of either sort with all others of its hash.
     """
     first, last = F.min(F.struct("doc", "at")), F.max("doc")
     group = Window.partitionBy("h")
-    few = wins.where("not hot").select("doc", "h", "at", first.over(group).alias("first"), last.over(group).alias("last"))
-    many = wins.where("hot").select("doc", "h", "at")
+    few = wins.where("not hot").select("doc", "h", "at", "more", first.over(group).alias("first"), last.over(group).alias("last"))
+    many = wins.where("hot").select("doc", "h", "at", "more")
     known = stored(many.groupBy("h").agg(first.alias("first"), last.alias("last")), "firsts")
     return few.unionByName(many.join(known, "h"))
 
@@ -189,10 +203,10 @@ def _stretches(docs: DataFrame, wins: DataFrame, window: int) -> DataFrame:
     its document and block of words; the later documents' stretches go to the shards of their windows.
     """
     block = F.floor(F.col("first.at") / BLOCK_WORDS)
-    placed = stored(_with_firsts(wins).where("first.doc < last and (first.doc < doc or first.at = at)").select("doc", "at", F.col("first.doc").alias("first"), block.alias("block")), "placed")
+    placed = stored(_with_firsts(wins).where("first.doc < last and (first.doc < doc or first.at = at)").select("doc", "at", "more", F.col("first.doc").alias("first"), block.alias("block")), "placed")
     shards = max(1, math.ceil(placed.where("first = doc").count() / SHARD_WORDS))
     shard = F.pmod(F.xxhash64("first", "block"), F.lit(shards)).cast("int").alias("shard")
-    wanted = placed.groupBy("doc", shard, (F.col("first") < F.col("doc")).alias("streams")).agg(F.sort_array(F.collect_list("at")).alias("at"))
+    wanted = placed.groupBy("doc", shard, (F.col("first") < F.col("doc")).alias("streams")).agg(F.sort_array(F.concat(F.collect_list("at"), F.flatten(F.collect_list("more")))).alias("at"))
     wanted = wanted.select("doc", "shard", "streams", _runs("at", window).alias("runs"))
     wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("shard", "streams", "runs")).alias("wanted")), "wanted")
     few = small(wanted, BROADCAST_DOCS, F.aggregate("wanted", F.lit(0).cast("long"), lambda n, x: n + F.size(x["runs"]) * 16 + 32))
