@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express.
 
-op2 and op9 fit models, op5 and op7 need a vocabulary file, op8 bootstraps patterns, op10 parses
+op2 and op9 fit models, op5, op7 and op12 need a vocabulary file, op8 bootstraps patterns, op10 parses
 HTML, and the pipeline holds all of these: their tests compare them with brute-force versions or
 held-out rows instead.
 """
@@ -92,9 +92,47 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, d
 FROM sets LEFT JOIN least ON doc_id = a
 """
 
+_TERM = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+_P = "1 + (1000000000::HUGEINT * ({} + 2)) // ({} + 2 * {})"
+_F = "(({0}) - ({1})) * (({0}) - ({1})) // (({0}) + ({1}))"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_TERM}) AS w FROM documents
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10
+), found AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)
+), per AS (
+  SELECT lang, source, term, n, {_P.format("n", "sum(n) OVER (PARTITION BY lang, source)", "v")} AS p FROM dense JOIN sizes USING (lang)
+), whole AS (
+  SELECT lang, term, {_P.format("n", "sum(n) OVER (PARTITION BY lang)", "v")} AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM found GROUP BY lang, term) JOIN sizes USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum({_F.format("x.p", "y.p")}) AS value
+    FROM per x JOIN per y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+), tops AS (
+  SELECT lang, source, 'term' AS part, term AS item, {_F.format("p", "q")} AS value FROM per JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM tops)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": OP1,
     "op3_substring_dedup": OP3,
     "op4_decontamination": OP4,
     "op6_near_duplicates": OP6,
+    "op11_source_divergence": OP11,
 }

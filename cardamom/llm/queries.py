@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmltext, language, mtree, neardup, privacy, substring, tokencount, toxicity
+from . import backtrack, bpe, decontaminate, divergence, htmltext, language, mtree, neardup, privacy, substring, tokencount, toxicity
 from .common import table
 
 
@@ -93,6 +93,23 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def json_vocabulary(path: str | None = None) -> tuple[bytes, str]:
+    """Content of a JSON vocabulary and the pre-token pattern; the installed 50k vocabulary unless a path is given."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = backtrack.encode_documents(table(spark, sf_dir, "documents"), *json_vocabulary())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_language_id": op2_language_id,
@@ -104,4 +121,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_backtracking_bpe": op12_backtracking_bpe,
 }
