@@ -119,7 +119,7 @@ def possible(docs: DataFrame, least: int, depth: int = DEPTH, width: int = WIDTH
     some = own.repartition("block", F.pmod(F.spark_partition_id(), F.lit(FAN))).mapInArrow(lambda b: _added(b, least), schema)
     whole = some.repartition("block").mapInArrow(lambda b: _added(b, least), schema)
     bits = np.zeros(-(-depth * width // 8), np.uint8)
-    for r in whole.mapInArrow(lambda b: _reached(b, least), "block int, bits binary").toLocalIterator():
+    for r in whole.mapInArrow(lambda b: _reached(b, least), "block int, bits binary").collect():
         at, some_bits = r["block"] * BLOCK // 8, np.frombuffer(r["bits"], np.uint8)
         bits[at : at + len(some_bits)] = some_bits
     return bits
