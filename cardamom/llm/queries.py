@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack, bpe, decontaminate, divergence, htmltext, language, mtree, neardup, privacy, substring, tokencount, toxicity
+from . import backtrack, bpe, decontaminate, divergence, htmltext, language, latemerge, mtree, neardup, privacy, substring, tokencount, toxicity
 from .common import table
 
 
@@ -110,6 +110,39 @@ def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: When a sale counts as late, and how many files all sales fill, about.
+LATE_FROM, SALE_FILES = "2024-03-20 00:00:00", 1100
+
+
+def corrected_sales(sales: DataFrame) -> DataFrame:
+    """Sales, and for a third of the ids of every fourth day a later row with another total."""
+    h = F.crc32(F.col("sale_id").cast("string").cast("binary"))
+    again = (h % 3 == 0) & (latemerge.utc_day(sales, "sold_at") % 4 == 0)
+    copy = F.explode(F.when(again, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("__copy")
+    rows = sales.select("*", copy)
+
+    def later(c: str, days) -> Column:
+        return F.col(c) + F.make_dt_interval(days.cast("int"))
+
+    new = {"total": F.col("total") + 1, "sold_at": later("sold_at", h % 2), "arrived_at": later("arrived_at", 1 + h % 97)}
+    return rows.select(*[F.when(F.col("__copy"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in sales.columns])
+
+
+def op13_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = table(spark, sf_dir, "sales")
+    layout = latemerge.Layout(latemerge.new_folder(spark, "late-overwrite"), sales.columns, "sale_id", "arrived_at", "sold_at", 1 + sales.count() // SALE_FILES)
+    rows = corrected_sales(sales)
+    early = F.coalesce(latemerge.utc_micros(rows, "arrived_at") < F.unix_micros(F.lit(LATE_FROM + "+00:00").cast("timestamp")), F.lit(False))
+    latemerge.create(rows.where(early), layout)
+    dirty = latemerge.overwrite(rows.where(~early), layout)
+    found = latemerge.files(spark, layout)
+    columns = found.columns[4:]
+    times = [F.coalesce(latemerge.utc_micros(found, c).cast("string"), F.lit("")) for c in ("sold_at", "arrived_at")]
+    crc = F.crc32(F.concat_ws(":", F.coalesce(F.col("sale_id").cast("string"), F.lit("")), *times).cast("binary"))
+    rows = latemerge.digest(found, F.col("sale_id"), F.floor(100 * F.col("total") + 0.5).cast("long"), crc)
+    return rows.withColumn("columns", F.lit(",".join(columns))).join(dirty.withColumn("rewritten", F.lit(True)), "day", "left").withColumn("rewritten", F.coalesce("rewritten", F.lit(False)))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_language_id": op2_language_id,
@@ -123,4 +156,5 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_source_divergence": op11_source_divergence,
     "op12_backtracking_bpe": op12_backtracking_bpe,
+    "op13_late_overwrite": op13_late_overwrite,
 }
