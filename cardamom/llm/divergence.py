@@ -138,7 +138,7 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray, depth: int, wi
             ok = np.logical_and.reduce((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             left = [w for w, x in zip(words, ok.tolist(), strict=True) if x]
             of = docs[lang, source]
-            columns = [pa.array([lang] * len(left)), pa.array([source] * len(left)), pa.array([w.decode("utf-8", "replace") for w in left], pa.string()), pa.array([own[w] for w in left], pa.int64()), pa.array([of[w] for w in left], pa.int64())]
+            columns = [pa.array([lang] * len(left), pa.string()), pa.array([source] * len(left), pa.string()), pa.array([w.decode("utf-8", "replace") for w in left], pa.string()), pa.array([own[w] for w in left], pa.int64()), pa.array([of[w] for w in left], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
         n.clear()
         docs.clear()
