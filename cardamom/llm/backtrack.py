@@ -56,7 +56,7 @@ class Merges:
         self.merge: dict[tuple[int, int], int] = {}
         for rank, (a, b) in enumerate(merges):
             x, y, made = tokens[a], tokens[b], tokens[a + b]
-            if self.left[made] >= 0 or max(self.rank[x], self.rank[y]) >= rank:
+            if self.left[made] >= 0 or any(len(t) > 1 and self.left[i] < 0 for t, i in ((a, x), (b, y))):
                 raise ValueError(f"merge {rank} doesn't make a new token of earlier ones")
             self.rank[made], self.left[made], self.right[made] = rank, x, y
             self.merge[x, y] = rank
