@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import audit, joins, sampling, validation
+from ..operators import audit, joins, jsonschema, sampling, validation
 from .registry import load, query
 
 
@@ -25,6 +25,56 @@ def v1_unknown_keys(spark, d):
     return load(spark, d, "events").select("event_id", F.array_join(validation.unknown_keys(json, ["k"]), ",").alias("unknown"))
 
 
+#: Orders with their lines as cards. The text of an order is JSON with nested arrays and objects.
+ORDER_CARD = {
+    "type": "object",
+    "required": ["id", "status", "lines"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "string", "pattern": "^[0-9]+$"},
+        "status": {"enum": ["F", "O", "P"]},
+        "lines": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/line"}},
+    },
+    "$defs": {
+        "line": {
+            "type": "object",
+            "required": ["no", "ship"],
+            "additionalProperties": False,
+            "properties": {
+                "no": {"type": "integer", "minimum": 1},
+                "quantity": {"type": "number", "exclusiveMinimum": 0},
+                "ship": {"type": "object", "additionalProperties": False, "required": ["flag"], "properties": {"flag": {"type": "string", "minLength": 1}, "date": {"type": "string", "format": "date"}}},
+            },
+        }
+    },
+}
+
+
+@query("""WITH l AS (
+  SELECT o_orderkey AS k, l_linenumber AS n, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, l_shipdate) - 1 AS i
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+), k AS (SELECT DISTINCT k FROM l)
+SELECT k AS order_id, '' AS path, 'required' AS keyword, 'status' AS detail FROM k WHERE k % 7 = 0
+UNION ALL SELECT k, '', 'additionalProperties', 'colour' FROM k WHERE k % 11 = 0
+UNION ALL SELECT k, '/lines/' || i || '/no', 'minimum', '1' FROM l WHERE (k + n) % 13 = 0
+UNION ALL SELECT k, '/lines/' || i || '/ship/date', 'format', 'date' FROM l WHERE (k + n) % 17 = 0
+UNION ALL SELECT k, '/lines/' || i || '/ship', 'additionalProperties', 'by' FROM l WHERE (k + n) % 19 = 0""")
+def v1_schema(spark, d):
+    """Errors at three depths of cards made of orders and lines, by a compiled schema."""
+    orders, lines = load(spark, d, "orders", "lineitem")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    date = F.when((k + n) % 17 == 0, F.lit("soon")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    ship = F.struct(F.col("l_returnflag").alias("flag"), date.alias("date"), F.when((k + n) % 19 == 0, F.lit("me")).alias("by"))
+    line = F.struct(F.when((k + n) % 13 == 0, F.lit(0)).otherwise(n).alias("no"), F.col("l_quantity").alias("quantity"), ship.alias("ship"))
+    # an order has few lines; the sort key comes first
+    of_order = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_shipdate", line.alias("line")))).alias("lines"))
+    key = F.col("o_orderkey")
+    card = F.struct(key.cast("string").alias("id"), F.when(key % 7 != 0, F.col("o_orderstatus")).alias("status"), F.when(key % 11 == 0, F.lit("red")).alias("colour"), F.transform("lines", lambda x: x["line"]).alias("lines"))
+    cards = orders.join(of_order, key == F.col("l_orderkey")).select(key.alias("order_id"), F.to_json(card).alias("card"))
+    found = jsonschema.validated(cards, "card", jsonschema.Schema(ORDER_CARD), "errors")
+    return found.select("order_id", F.explode("errors").alias("e")).select("order_id", "e.path", "e.keyword", "e.detail")
+
+
 @query("SELECT doc_id, CASE WHEN quality = 1 OR doc_id % 5 = 0 THEN toxic = 0 ELSE toxic = 1 END AS consistent FROM labels")
 def v2_consistency(spark, d):
     clean = F.when(F.col("doc_id") % 5 > 0, F.col("quality") == 1)
