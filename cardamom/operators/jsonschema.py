@@ -102,13 +102,24 @@ class Schema:
             return lambda v, path: self._one(path, "false schema")
         if not isinstance(schema, dict):
             raise ValueError(f"no schema: {schema!r}")
-        unknown = set(schema) - ANNOTATIONS - set(_KEYWORDS) - _BESIDE
+        unknown = set(schema) - ANNOTATIONS - set(_KEYWORDS) - set(_OF_OBJECTS) - _BESIDE
         if unknown:
             raise ValueError(f"unknown keywords: {sorted(unknown)}")
 
         def errors(v: Column, path: Column) -> Column:
             facts = F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind"))
-            return _let(facts, lambda x: _all(_KEYWORDS[k](self, schema, x["v"], x["kind"], path, document, within) for k in schema if k in _KEYWORDS))
+            named = [k for k in schema if k in _KEYWORDS and k not in _OF_OBJECTS]
+            of_keys = [k for k in schema if k in _OF_OBJECTS]
+
+            def found(x: Column) -> Column:
+                value, kind = x["v"], x["kind"]
+                parts = [_KEYWORDS[k](self, schema, value, kind, path, document, within) for k in named]
+                if of_keys:  # an object becomes a map once, for all keywords that bear on its keys
+                    inside = _let(value.try_cast("map<string, variant>"), lambda m: _all(_OF_OBJECTS[k](self, schema, m, path, document, within) for k in of_keys))
+                    parts.append(F.when(_is(kind, "object"), inside).otherwise(_none()))
+                return _all(parts)
+
+            return _let(facts, found)
 
         return errors
 
@@ -188,52 +199,34 @@ class Schema:
         items = F.transform(v.try_cast("array<variant>"), lambda x: F.to_json(x))
         return self._unless(~_is(kind, "array") | F.lit(not s["uniqueItems"]) | (F.size(items) == F.size(F.array_distinct(items))), path, "uniqueItems")
 
-    def _required(self, s, v, kind, path, document, within):
-        def missing(m):
-            lacking = F.filter(F.array(*map(F.lit, s["required"])), lambda k: ~F.call_function("map_contains_key", m, k))
-            return F.transform(lacking, lambda k: F.struct(path.alias("path"), F.lit("required").alias("keyword"), F.concat(F.lit("must have required property '"), k, F.lit("'")).alias("message"), k.alias("detail"))).cast(ERRORS)
+    # Keywords of objects. They get the object as a map.
 
-        return self._inside(v, kind, missing) if s["required"] else _none()
+    def _required(self, s, m, path, document, within):
+        lacking = F.filter(F.array(*map(F.lit, s["required"])).cast("array<string>"), lambda k: ~F.call_function("map_contains_key", m, k))
+        return F.transform(lacking, lambda k: F.struct(path.alias("path"), F.lit("required").alias("keyword"), F.concat(F.lit("must have required property '"), k, F.lit("'")).alias("message"), k.alias("detail"))).cast(ERRORS)
 
-    @staticmethod
-    def _inside(v: Column, kind: Column, body: Body) -> Column:
-        """body's errors for an object as a map; none for any other value."""
-        return F.when(_is(kind, "object"), _let(v.try_cast("map<string, variant>"), body)).otherwise(_none())
-
-    def _properties(self, s, v, kind, path, document, within):
+    def _properties(self, s, m, path, document, within):
         of = {k: self._bound(sub, document, within) for k, sub in s["properties"].items()}
-        return self._inside(v, kind, lambda m: _all(F.when(F.map_contains_key(m, k), f(m[k], _pointer(path, k))).otherwise(_none()) for k, f in of.items()))
+        return _all(F.when(F.map_contains_key(m, k), f(m[k], _pointer(path, k))).otherwise(_none()) for k, f in of.items())
 
-    def _patterns(self, s, v, kind, path, document, within):
+    def _patterns(self, s, m, path, document, within):
         of = [(p, self._bound(sub, document, within)) for p, sub in s["patternProperties"].items()]
+        return _all(F.flatten(F.transform(F.filter(F.map_entries(m), lambda e: e["key"].rlike(p)), lambda e: f(e["value"], _pointer(path, e["key"])))) for p, f in of)
 
-        def met(m):
-            entries = F.map_entries(m)
-            return _all(F.flatten(F.transform(F.filter(entries, lambda e: e["key"].rlike(p)), lambda e: f(e["value"], _pointer(path, e["key"])))) for p, f in of)
-
-        return self._inside(v, kind, met) if of else _none()
-
-    def _additional(self, s, v, kind, path, document, within):
+    def _additional(self, s, m, path, document, within):
         known = F.array(*map(F.lit, s.get("properties", {}))).cast("array<string>")
-        patterns = list(s.get("patternProperties", {}))
 
         def other(e):
             free = ~F.array_contains(known, e["key"])
-            for p in patterns:
+            for p in s.get("patternProperties", {}):
                 free = free & ~e["key"].rlike(p)
             return free
 
+        others = F.filter(F.map_entries(m), other)
         if s["additionalProperties"] is False:
-
-            def met(m):
-                return F.transform(F.filter(F.map_entries(m), other), lambda e: F.struct(path.alias("path"), F.lit("additionalProperties").alias("keyword"), F.lit(MESSAGES["additionalProperties"]).alias("message"), e["key"].alias("detail"))).cast(ERRORS)
-        else:
-            sub = self._bound(s["additionalProperties"], document, within)
-
-            def met(m):
-                return F.flatten(F.transform(F.filter(F.map_entries(m), other), lambda e: sub(e["value"], _pointer(path, e["key"]))))
-
-        return self._inside(v, kind, met)
+            return F.transform(others, lambda e: F.struct(path.alias("path"), F.lit("additionalProperties").alias("keyword"), F.lit(MESSAGES["additionalProperties"]).alias("message"), e["key"].alias("detail"))).cast(ERRORS)
+        sub = self._bound(s["additionalProperties"], document, within)
+        return F.flatten(F.transform(others, lambda e: sub(e["value"], _pointer(path, e["key"]))))
 
     def _items(self, s, v, kind, path, document, within):
         sub = self._bound(s["items"], document, within)
@@ -271,6 +264,7 @@ class Schema:
         return F.when(self._valid(s["if"], v, path, document, within), branch("then")).otherwise(branch("else"))
 
 
+_OF_OBJECTS: dict[str, Callable[..., Column]] = {"required": Schema._required, "properties": Schema._properties, "patternProperties": Schema._patterns, "additionalProperties": Schema._additional}
 #: Keywords that others read.
 _BESIDE = frozenset({"then", "else"})
 _KEYWORDS: dict[str, Callable[..., Column]] = {
@@ -290,10 +284,6 @@ _KEYWORDS: dict[str, Callable[..., Column]] = {
     "minItems": Schema._of("array", "array<variant>", "minItems", lambda x, n: F.size(x) >= n, "must NOT have fewer than {} items"),
     "maxItems": Schema._of("array", "array<variant>", "maxItems", lambda x, n: F.size(x) <= n, "must NOT have more than {} items"),
     "uniqueItems": Schema._unique,
-    "required": Schema._required,
-    "properties": Schema._properties,
-    "patternProperties": Schema._patterns,
-    "additionalProperties": Schema._additional,
     "items": Schema._items,
     "allOf": Schema._all_of,
     "anyOf": Schema._any_of,
