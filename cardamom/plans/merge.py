@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import merge, validation
 from ..session import shared_path
 from ..sources import sinks
+from ..sources.keyindex import KeyedTable
 from .registry import load, query
 
 
@@ -123,18 +124,28 @@ def k2_replace(spark, d):
     path = shared_path(spark, "k2")
     sinks.replace(_old(spark, d).drop("seq"), path, "parquet")
     sinks.replace(_new(spark, d).drop("seq"), path, "parquet")
-    return spark.read.parquet(path)
+    return sinks.current(spark, path)
 
 
 @query("SELECT doc_id, length(text) < 60 AS rejected, CASE WHEN length(text) < 60 THEN 'text' END AS errors FROM documents")
 def k3_split_sink(spark, d):
     path = shared_path(spark, "k3")
     passed, rejected = validation.split(load(spark, d, "documents").select("doc_id", "text"), {"text": F.length("text") >= 60})
-    n = sinks.write_split(passed, rejected, f"{path}/passed", f"{path}/rejected")
-    out = spark.read.schema("doc_id bigint").json(f"{path}/passed").select("doc_id", F.lit(False).alias("rejected"), F.lit(None).cast("string").alias("errors"))
+    n = sinks.write_split(passed, rejected, path)
+    out = sinks.current(spark, path).select("doc_id", F.lit(False).alias("rejected"), F.lit(None).cast("string").alias("errors"))
     if not n:  # nothing was rejected, so no such table was written
         return out
-    return out.unionByName(spark.read.schema("doc_id bigint, _validation_errors array<string>").json(f"{path}/rejected").select("doc_id", F.lit(True).alias("rejected"), F.array_join("_validation_errors", ",").alias("errors")))
+    return out.unionByName(sinks.current(spark, path, "rejected").select("doc_id", F.lit(True).alias("rejected"), F.array_join("_validation_errors", ",").alias("errors")))
+
+
+@query("SELECT doc_id, min(batch) AS batch FROM (SELECT doc_id, 0 AS batch FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2 FROM labels) GROUP BY doc_id")
+def k1_append_indexed(spark, d):
+    """Three batches of overlapping keys appended to a table with a key index: the first that has a key brings its row."""
+    docs, labels = load(spark, d, "documents", "labels")
+    table = KeyedTable(spark, shared_path(spark, "k1"), "doc_id bigint, batch int", "doc_id")
+    for batch, rows in enumerate([docs.where("doc_id % 3 > 0"), docs.where("doc_id % 2 = 0"), labels]):
+        table.append(rows.select("doc_id", F.lit(batch).alias("batch")))
+    return table.read()
 
 
 @query("SELECT lpad(source, 8, ' ') || ' | ' || lpad(CAST(count(*) AS VARCHAR), 6, ' ') || ' | ' || rpad(CAST(sum(n_chars) AS VARCHAR), 10, ' ') AS line FROM documents GROUP BY source")

@@ -1,60 +1,33 @@
-"""Writers. Each writes whole tables through Spark's committers; replacing goes by a staging directory and a rename."""
+"""Writers. Each writes whole tables through Spark's committers; replacing is a commit of versions, adding goes by an index of keys."""
 
 from __future__ import annotations
 
-import uuid
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import new_rows
-from .files import exists
-
+from .keyindex import Appended, KeyedTable
+from .versions import Versions
 
-def append_new(batch: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key the JSON-lines table at path doesn't have yet; of equal keys one."""
-    spark = batch.sparkSession
-    fresh = new_rows(batch, spark.read.schema(batch.schema).json(path), key) if exists(spark, path) else batch.dropDuplicates([key])
-    fresh.write.mode("append").json(path)
 
+def append_new(batch: DataFrame, path: str, key: str) -> Appended:
+    """Appends the rows whose key the JSON-lines table at path doesn't have yet; of equal keys one. Only files that may hold one of the keys are read."""
+    return KeyedTable(batch.sparkSession, path, batch.schema, key, "json").append(batch)
 
-def _swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Puts the table at `staged` in the place of the one at path, which stands beside it until that is done. A rename that fails is an error, and the old table is put back."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    new, to, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path, f"{path}.old-{uuid.uuid4().hex}"))
-    fs = to.getFileSystem(jsc.hadoopConfiguration())
-    had = fs.exists(to)
 
-    def renamed(a, b) -> bool:
-        try:
-            return fs.rename(a, b)
-        except Py4JJavaError:
-            return False
+def replace(df: DataFrame, path: str, format: str = "json") -> None:
+    """Replaces the versioned table at path in one step (see versions.py). Readers, by current(), see the old table or the new one."""
+    Versions(df.sparkSession, path).commit({"data": df}, format)
 
-    if had and not renamed(to, old):
-        raise OSError(f"can't rename {path}")
-    if not renamed(new, to):
-        if had:
-            fs.rename(old, to)
-        raise OSError(f"can't rename {staged} to {path}")
-    if had:
-        fs.delete(old, True)
 
+def current(spark: SparkSession, path: str, table: str = "data") -> DataFrame:
+    """What replace(), write_split() or write_changed() last put at a path."""
+    return Versions(spark, path).read(table)
 
-def replace(df: DataFrame, path: str, format: str = "json") -> None:
-    """Replaces the table at path at once: written beside it, then renamed. A reader sees the old table or the new one."""
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
-    df.write.format(format).save(staged)
-    _swap(df.sparkSession, staged, path)
 
-
-def write_split(passed: DataFrame, rejected: DataFrame, path: str, rejected_path: str) -> int:
-    """Replaces the passed table, and writes the rejected one only if there are rejects; returns their number."""
-    replace(passed, path)
+def write_split(passed: DataFrame, rejected: DataFrame, path: str) -> int:
+    """Replaces the tables `data` and, only if there are rejects, `rejected`, both in one step; returns the number of rejects."""
     n = rejected.count()
-    if n:
-        replace(rejected, rejected_path)
+    Versions(passed.sparkSession, path).commit({"data": passed} | ({"rejected": rejected} if n else {}), "json")
     return n
 
 
@@ -65,12 +38,19 @@ def write_changed(new: DataFrame, path: str, flags: DataFrame, key: str, partiti
     """
     counts = {r["change"]: r["n"] for r in flags.groupBy("change").agg(F.count("*").alias("n")).collect()}
     if any(k != "none" for k in counts):
-        staged = f"{path}.staged-{uuid.uuid4().hex}"
-        new.write.partitionBy(partition).parquet(staged)
-        _swap(new.sparkSession, staged, path)
+        Versions(new.sparkSession, path).commit({"data": new}, partition=partition)
     return counts
 
 
+def commit_checked(batches: dict[str, DataFrame], path: str, status: str = "status") -> int:
+    """Replaces several tables in one step if no row of any is an error; else writes nothing and returns the number of errors."""
+    errors = sum(df.where(F.col(status) == "error").count() for df in batches.values())
+    if not errors:
+        spark = next(iter(batches.values())).sparkSession
+        Versions(spark, path).commit({name: df.drop(status) for name, df in batches.items()})
+    return errors
+
+
 def table_lines(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     """(line): fixed-width lines of a report, numbers to the right."""
     numbers = {c for c, t in df.dtypes if t in ("int", "bigint", "double")}
@@ -79,10 +59,10 @@ def table_lines(df: DataFrame, widths: dict[str, int]) -> DataFrame:
 
 
 def purge(spark: SparkSession, path: str, id: str, prefix: str, confirm: bool = False) -> int:
-    """Removes a source's rows from a parquet table and returns their number; without confirm it only counts."""
-    rows = spark.read.parquet(path)
-    gone = F.col(id).startswith(f"{prefix}_")
+    """Removes a source's rows from a versioned table and returns their number; without confirm it only counts."""
+    rows = current(spark, path)
+    gone = F.coalesce(F.col(id).startswith(f"{prefix}_"), F.lit(False))
     n = rows.where(gone).count()
     if confirm and n:
-        replace(rows.where(~F.coalesce(gone, F.lit(False))), path, "parquet")
+        replace(rows.where(~gone), path, "parquet")
     return n

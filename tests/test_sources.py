@@ -77,11 +77,17 @@ def test_sinks(spark, tmp_path):
     sinks.append_new(df, path, "id")
     sinks.append_new(spark.createDataFrame([("a_1", 9), ("c_1", 3)], "id string, v int"), path, "id")
     assert sorted((r["id"], r["v"]) for r in spark.read.schema("id string, v int").json(path).collect()) == [("a_1", 1), ("b_1", 2), ("c_1", 3)]
+    path = str(tmp_path / "r")
     sinks.replace(df.limit(1), path, "parquet")
     sinks.replace(df.dropDuplicates(), path, "parquet")
-    assert sinks.purge(spark, path, "id", "a") == 1 and spark.read.parquet(path).count() == 2
-    assert sinks.purge(spark, path, "id", "a", confirm=True) == 1 and [r["id"] for r in spark.read.parquet(path).collect()] == ["b_1"]
-    assert sinks.write_split(df, df.where("v > 5"), str(tmp_path / "ok"), str(tmp_path / "no")) == 0 and not (tmp_path / "no").exists()
+    assert sinks.purge(spark, path, "id", "a") == 1 and sinks.current(spark, path).count() == 2
+    assert sinks.purge(spark, path, "id", "a", confirm=True) == 1 and [r["id"] for r in sinks.current(spark, path).collect()] == ["b_1"]
+    split = str(tmp_path / "split")
+    assert sinks.write_split(df, df.where("v > 5"), split) == 0 and sinks.current(spark, split).count() == 3
+    with pytest.raises(KeyError):
+        sinks.current(spark, split, "rejected")
+    assert sinks.write_split(df.where("v < 2"), df.where("v > 1"), split) == 1
+    assert sinks.current(spark, split).count() == 2 and sinks.current(spark, split, "rejected").first()["id"] == "b_1"
     lines = sinks.table_lines(spark.createDataFrame([("x", 5), (None, None)], "s string, n int"), {"s": 3, "n": 4})
     assert [r[0] for r in lines.collect()] == ["x   |    5", "-   |    -"]
 
@@ -91,11 +97,11 @@ def test_write_changed_moves_rows(spark, tmp_path):
 
     path = str(tmp_path / "cases")
     old = spark.createDataFrame([(1, "a", "clean"), (2, "b", "clean")], "id int, v string, state string")
-    old.write.partitionBy("state").parquet(path)
+    sinks.replace(old, path, "parquet")
     new = spark.createDataFrame([(1, "a", "dirty"), (2, "b", "clean")], "id int, v string, state string")
-    flags = change_flags(spark.read.parquet(path), new, "id", ["v"], "state").persist()
+    flags = change_flags(sinks.current(spark, path), new, "id", ["v"], "state").persist()
     assert sinks.write_changed(new, path, flags, "id", "state") == {"M": 1, "none": 1}
-    assert {r["id"]: r["state"] for r in spark.read.parquet(path).collect()} == {1: "dirty", 2: "clean"}
+    assert {r["id"]: r["state"] for r in sinks.current(spark, path).collect()} == {1: "dirty", 2: "clean"}
     assert sinks.write_changed(new, path, flags.withColumn("change", F.lit("none")), "id", "state") == {"none": 2}
 
 
@@ -163,12 +169,20 @@ def test_calls_keep_to_their_rate(spark, tmp_path):
     assert time.time() - began >= 0.5
 
 
-def test_a_failed_rename_keeps_the_old_table(spark, tmp_path):
+def test_a_failed_write_keeps_the_old_table(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.replace(spark.range(3).toDF("v"), path, "parquet")
-    with pytest.raises(OSError, match="can't rename"):
-        sinks._swap(spark, str(tmp_path / "missing"), path)
-    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(Exception, match="no value"):
+        sinks.replace(spark.range(3).select(F.raise_error(F.lit("no value")).cast("long").alias("v")), path, "parquet")
+    assert sinks.current(spark, path).count() == 3
+
+
+def test_all_tables_or_none(spark, tmp_path):
+    path = str(tmp_path / "t")
+    good, bad = (spark.createDataFrame([(1, s)], "v int, status string") for s in ("ok", "error"))
+    assert sinks.commit_checked({"a": good, "b": good}, path) == 0
+    assert sinks.commit_checked({"a": good.withColumn("v", F.lit(2)), "b": bad}, path) == 1
+    assert [sinks.current(spark, path, t).first()["v"] for t in "ab"] == [1, 1] and sinks.current(spark, path, "a").columns == ["v"]
 
 
 def test_stored_tables_go_with_the_session(tmp_path):
