@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import longest_prefix
+from .scans import asof
 
 # Roles of chat messages, error codes of broken connections.
 ROLES = ("system", "user", "assistant", "function")
@@ -138,20 +139,12 @@ def live_until(issued: Column, seconds: int, margin: int = 120) -> Column:
 def with_tokens(calls: DataFrame, tokens: DataFrame, by: str, at: str, seconds: int, margin: int = 120) -> DataFrame:
     """calls with `issued`: when the newest token (by, issued) that serves the call was issued, null if a new one is due.
 
-    A token serves from its issue until `margin` seconds before its end. It is looked up in the two
-    stretches of time, as long as it serves, that it reaches into, so that an owner of any number of
-    calls is no single group. Calls of one owner and time with no token wait for one fetch.
+    A token serves from its issue until `margin` seconds before its end, so the newest one serves if any does. Calls and
+    tokens are put in one order and each token is carried along, over ranges that split an owner of any number
+    of calls (see scans.asof). Calls of one owner and time with no token wait for one fetch.
     """
-    life = (seconds - margin) * 1_000_000
-
-    def stretch(c: str) -> Column:
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / life)
-
-    reach = tokens.select(by, "issued", F.explode(F.array(stretch("issued"), stretch("issued") + 1)).alias("__stretch"))
-    known = reach.groupBy(by, "__stretch").agg(F.collect_set("issued").alias("__issued"))
-    joined = calls.withColumn("__stretch", stretch(at)).join(known, [by, "__stretch"], "left")
-    serves = F.filter("__issued", lambda i: (i <= F.col(at)) & (F.col(at) < live_until(i, seconds, margin)))
-    return joined.withColumn("issued", F.array_max(serves)).select(*calls.columns, "issued")
+    met = asof(calls, tokens, by, at, "issued", ["issued"])
+    return met.withColumn("issued", F.when(F.col(at) < live_until(F.col("issued"), seconds, margin), F.col("issued")))
 
 
 def file_ids(uploads: DataFrame, cache: DataFrame, content: str, at: str, hours: int = 24) -> DataFrame:

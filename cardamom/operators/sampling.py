@@ -75,8 +75,3 @@ def numbered(rows: DataFrame, by: str, base: Column, order: list[Column | str])
     starts = whole.groupBy(F.col(by).alias("__by")).agg(F.min("place").alias("__from"))
     joined = whole.join(starts, F.col(by).eqNullSafe(F.col("__by")))
     return joined.withColumn("number", F.col("place") - F.col("__from") + 1 + base).select(*rows.columns, "number")
-
-
-def segments(rows: DataFrame, by: str, order: str, starts: Column) -> DataFrame:
-    """rows with the number of their segment: a row that starts one raises it; 0 before the first."""
-    return rows.withColumn("segment", F.sum(starts.cast("int")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

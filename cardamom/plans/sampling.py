@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, sampling
+from ..operators import audit, sampling, scans
 from .audit import AUDIT_SQL, _audit
 from .registry import load, query
 
@@ -46,7 +46,24 @@ def w5_positions(spark, d):
 
 @query("SELECT conv_id, turn, CAST(sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM conversations")
 def w6_segments(spark, d):
-    return sampling.segments(load(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "segment")
+    return scans.segments(load(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], F.col("role") == "user").select("conv_id", "turn", "segment")
+
+
+@query("""WITH s AS (SELECT *, greatest(1, sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS segment FROM conversations)
+SELECT conv_id, CAST(segment AS BIGINT) AS segment, left(max(text) FILTER (role = 'user'), 120) AS title, left(coalesce(string_agg(text, ' | ' ORDER BY turn) FILTER (role <> 'user' AND length(text) >= 3), ''), 4000) AS body
+FROM s GROUP BY conv_id, segment HAVING count(*) FILTER (role = 'user') > 0""")
+def w6_segment_texts(spark, d):
+    """Turns of a user with what follows them, as titles and bodies."""
+    return scans.segment_texts(load(spark, d, "conversations"), "conv_id", "turn", F.col("text"), F.col("role") == "user")
+
+
+@query("""SELECT event_id, sum(value) OVER w AS spent, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS purchase
+FROM (SELECT event_id, event_type, user_id, ts, CAST(floor(value) AS BIGINT) AS value FROM events) WINDOW w AS (PARTITION BY user_id % 5 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def w6_running(spark, d):
+    """Running sum and last purchase of five owners of all events."""
+    events = load(spark, d, "events").select("event_id", "ts", "event_type", (F.col("user_id") % 5).alias("owner"), F.floor("value").alias("value"))
+    values = {"spent": scans.Running("sum", F.col("value")), "purchase": scans.Running("last", F.when(F.col("event_type") == "purchase", F.col("event_id")))}
+    return scans.scan(events, "owner", ["ts", "event_id"], values).select("event_id", "spent", "purchase")
 
 
 @query(f"SELECT doc_id, source, first FROM (SELECT doc_id, source, {MIX} AS m, row_number() OVER (PARTITION BY source ORDER BY {MIX}, doc_id) <= 2 AS first FROM documents) QUALIFY row_number() OVER (ORDER BY first DESC, m, doc_id) <= 60")
