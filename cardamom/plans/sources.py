@@ -8,7 +8,7 @@ from ..functions import web
 from ..operators import audit
 from ..operators.provider import mock_calls
 from ..session import shared_path
-from ..sources import crawl, fetch, files
+from ..sources import crawl, fetch, files, robots
 from .registry import load, query
 
 
@@ -162,6 +162,21 @@ def s13_robots(spark, d):
     return crawl.allowed(pages, robots).select("page_id", "allowed")
 
 
+@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(path, '^/fr/.*page=2') THEN true WHEN regexp_matches(path, '^/de/.*5$') THEN false WHEN regexp_matches(path, '^/de/1') THEN true
+WHEN host LIKE '%.net' AND regexp_matches(path, '^/en/') THEN false WHEN regexp_matches(path, '^/.*\?') THEN false ELSE true END AS allowed, CASE WHEN host LIKE '%.net' THEN 7.5 ELSE 2.0 END::DOUBLE AS delay FROM p""")
+def s13_robots_texts(spark, d):
+    """Pages against robots texts of their hosts: groups of agents, patterns with * and $, delays."""
+    own = F.regexp_replace("url", "#.*$", "")
+    pages = load(spark, d, "pages").select("page_id", web.host(F.col("url")).alias("host"), F.regexp_replace(own, "^[a-z]+://[^/?]*", "").alias("path"))
+    some = ["User-agent: other", "Disallow: /", "Crawl-delay: 60", "", "User-agent: *", "Disallow: /fr/", "", "user-agent: Somebot/1.0 # and", "User-Agent: Cardamom", "Disallow: /*? # any query", "Allow: /fr/*page=2", "Disallow: /de/*5$", "Allow:/de/1", "Disallow:", "Sitemap: https://x/y", "Crawl-delay: 1"]
+    more = ["", "User-agent: cardamom", "Disallow: /en/", "Crawl-delay: 9"]
+    slow = [x.replace("Crawl-delay: 1", "Crawl-delay: 7.5") if x.endswith(": 1") else x for x in some] + more
+    texts = pages.select("host").distinct().select("host", F.when(F.col("host").endswith(".net"), F.lit("\r\n".join(slow))).otherwise(F.lit("\n".join(some))).alias("body"))
+    met = robots.permitted(pages, robots.robots_rules(texts, "Cardamom/2.0"))
+    return met.join(robots.crawl_delays(texts, "Cardamom/2.0"), "host", "left").select("page_id", "allowed", "delay")
+
+
 @query("SELECT page_id AS image_id, 'png' AS ext, length(html) > 5000 AS oversize FROM pages WHERE page_id % 3 <> 0")
 def s14_images(spark, d):
     from ..functions.text import extension

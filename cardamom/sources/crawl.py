@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
+from .robots import permitted
 
 DEPTH = 4
 
@@ -40,10 +41,7 @@ def cached(requests: DataFrame, cache: DataFrame, now: Column, days: int = 7) ->
 
 def allowed(requests: DataFrame, robots: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
     """requests with `allowed`, by the longest robots rule (host, prefix, allow) that the path begins with; of equals the allowing one."""
-    lengths = F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1)))
-    keys = requests.select(host, path).distinct().select(host, path, F.explode(F.transform(lengths, lambda n: F.left(F.col(path), n))).alias("prefix"))
-    best = keys.join(robots, [host, "prefix"]).groupBy(host, path).agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("allowed"))
-    return requests.join(best, [host, path], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    return permitted(requests, robots.select(F.col(host).alias("host"), F.col("prefix").alias("pattern"), "allow"), host, path)
 
 
 def schedule(requests: DataFrame, host: str, order: str, delays: DataFrame | None = None, seconds: float = 2.0) -> DataFrame:
