@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit
+from ..operators import audit, incremental
+from ..session import shared_path, stored
 from .base import DEFAULTS, HITS_SQL, OVERRIDES, QUOTA_SQL, RULES_SQL, hits, rules
 from .registry import load, query
 
@@ -26,6 +27,31 @@ def a1_hits_by_origin(spark, d):
     return audit.hits_by_rule(hits(spark, d))
 
 
+@query("""SELECT CASE WHEN doc_id % 4 = 0 AND doc_id % 10 <= 7 THEN 'src0' ELSE source END AS source, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN doc_id % 3 = 0 AND doc_id % 10 <= 8 THEN 1 - toxic ELSE toxic END) AS BIGINT) AS hits, CAST(sum(quality) AS BIGINT) AS clean
+FROM documents JOIN labels USING (doc_id) WHERE NOT (doc_id % 5 = 0 AND doc_id % 10 <= 6) GROUP BY 1""")
+def a1_incremental(spark, d):
+    """Rows, hits and clean rows of each source after ten batches of inserts, updates, moves and deletes, one of which comes twice."""
+    docs, labels = load(spark, d, "documents", "labels")
+    row = docs.select("doc_id", "source").join(labels.select("doc_id", "toxic", "quality"), "doc_id")
+    born, id = F.col("doc_id") % 10, F.col("doc_id")
+    fields = ["doc_id", "source", "toxic", "quality"]
+
+    def image(source, toxic):
+        return F.struct(id.alias("doc_id"), source.alias("source"), toxic.alias("toxic"), F.col("quality"))
+
+    source, toxic = F.col("source"), F.col("toxic")
+    turned = F.when(id % 3 == 0, 1 - toxic).otherwise(toxic)
+    moved = F.when(id % 4 == 0, F.lit("src0")).otherwise(source)
+    none = F.lit(None).cast(row.select(F.struct(*fields).alias("x")).schema["x"].dataType)
+    life = [(born, none, image(source, toxic), F.lit(True)), (born + 1, image(source, toxic), image(source, turned), id % 3 == 0), (born + 2, image(source, turned), image(moved, turned), id % 4 == 0), (born + 3, image(moved, turned), none, id % 5 == 0)]
+    log = row.select(F.explode(F.array(*[F.struct(batch.cast("int").alias("batch"), before.alias("before"), after.alias("after"), there.alias("there")) for batch, before, after, there in life])).alias("x")).select("x.*").where("there and batch <= 9")
+    log = stored(log.drop("there"), "log")
+    kept = incremental.Audit(spark, shared_path(spark, "a1"), ["source"], {"hits": lambda r: r["toxic"], "clean": lambda r: r["quality"]})
+    for batch in [*range(5), 4, *range(5, 10)]:
+        kept.apply(log.where(F.col("batch") == batch), batch)
+    return kept.totals()
+
+
 @query(f"WITH {AUDIT_SQL} SELECT rule_id, severity, real, synthetic, total, quota, delta FROM audit")
 def a2_coverage_audit(spark, d):
     return _audit(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import audit, joins, jsonschema, sampling, validation
+from ..operators import audit, joins, jsonschema, leaves, sampling, validation
 from .registry import load, query
 
 
@@ -121,6 +121,26 @@ def p26_leaf_flatten(spark, d):
     return validation.flatten(_cards(spark, d), "card", ["o_orderkey"])
 
 
+@query("""WITH l AS (SELECT l_orderkey AS k, l_returnflag AS f, l_linestatus AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) - 1 AS i FROM lineitem SEMI JOIN orders ON o_orderkey = l_orderkey)
+SELECT o_orderkey, 'title' AS path, o_orderpriority AS text FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT k, 'lines[' || i || '].flag', f FROM l WHERE k % 3 = 0
+UNION ALL SELECT k, 'lines[' || i || '].more.status', s FROM l WHERE k % 3 = 0
+UNION ALL SELECT o_orderkey, 'a.b[1][0].c.d', o_orderstatus FROM orders WHERE o_orderkey % 3 = 1
+UNION ALL SELECT o_orderkey, 'a.e', o_orderpriority FROM orders WHERE o_orderkey % 3 = 1
+UNION ALL SELECT o_orderkey, '', o_orderpriority FROM orders WHERE o_orderkey % 3 = 2""")
+def p26_json_leaves(spark, d):
+    """Orders as cards of three shapes in one table, with nothing told about any of them."""
+    orders, lines = load(spark, d, "orders", "lineitem")
+    line = F.struct("l_linenumber", "l_returnflag", "l_linestatus")
+    of_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    key, status, title = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    made = F.transform("l", lambda x: F.struct(x["l_linenumber"].alias("no"), x["l_returnflag"].alias("flag"), F.struct(x["l_linestatus"].alias("status"), F.lit(True).alias("ok")).alias("more")))
+    deep = F.struct(F.struct(F.array(F.array(), F.array(F.struct(F.struct(status.alias("d")).alias("c")))).alias("b"), title.alias("e")).alias("a"), key.alias("n"))
+    card = F.when(key % 3 == 0, F.to_json(F.struct(title.alias("title"), made.alias("lines")))).when(key % 3 == 1, F.to_json(deep)).otherwise(F.concat(F.lit('"'), title, F.lit('"')))
+    cards = orders.join(of_order, "o_orderkey", "left").select("o_orderkey", card.alias("card"))
+    return leaves.flatten_json(cards, "card", ["o_orderkey"])
+
+
 @query(f"""WITH {CARDS}, claims AS (SELECT o_orderkey, CASE o_orderkey // 10 % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'program_items[1].title' WHEN 2 THEN 'program_items[9].title' ELSE 'location' END AS path, CASE WHEN o_orderkey % 30 = 0 THEN 'i' ELSE 'e' END AS quote FROM orders)
 SELECT c.o_orderkey, c.path, c.quote, coalesce(contains(text, quote), false) AS found FROM claims c LEFT JOIN leaves USING (o_orderkey, path)""")
 def p25_quote_check(spark, d):
