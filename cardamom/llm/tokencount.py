@@ -84,9 +84,9 @@ class TokenTree:
     """The token count of a text under edits. `encoded` adds up the characters that were encoded."""
 
     def __init__(self, bpe: ByteBPE, text: str, leaves: Sequence[tuple[int, int]] | None = None) -> None:
-        """`leaves`, if known, has the characters and tokens of each segment."""
+        """`leaves`, if known, has the characters and tokens of each segment; leaves that don't add up to the text are made anew."""
         self.bpe, self.encoded = bpe, 0
-        if leaves is None:
+        if leaves is None or any((c or 0) <= 0 or t is None for c, t in leaves) or sum(c for c, _ in leaves) != len(text):
             self.root = _build(self._segments(text))
             return
         kept, at = [], 0
@@ -167,7 +167,8 @@ def count(docs: DataFrame, vocabulary: bytes, pattern: str, text: str = "text",
 def edited(trees: DataFrame, vocabulary: bytes, pattern: str, edits: str = "edits", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """A table of count(), or of this function, after the edits of each text: its columns, and n_reencoded long.
 
-    `edits` is as in count_edited(). Only segments that the edits touch are encoded; null leaves are made anew.
+    `edits` is as in count_edited(). Only segments that the edits touch are encoded; null leaves, and those that
+    don't add up to their text, are made anew.
     """
 
     def factory():

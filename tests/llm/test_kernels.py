@@ -225,6 +225,31 @@ def test_broken_pages_do_not_fail(page):
     htmltext.lines(page)
 
 
+@pytest.mark.parametrize("c", ["é", "я", "日", "ß", "ª", "1", " ", "-", "_", "/", "<", "!", "?", "\x00", "\u2028", "\U0001f600", ""])
+def test_end_tags_of_any_character(c):
+    found = htmltext.lines(f"<article><p>a</{c}>b</p><p>c</p></article>")
+    assert found[-1] == ("c", htmltext.IN) and found[0][0].startswith("a") and "b" in " ".join(t for t, _ in found)
+    htmltext.lines(f"<article><p>a</{c}")
+    htmltext.lines(f"<{c}><p>a</{c}x='>")
+    if c.isalpha():
+        assert found[0][0] == "ab"
+
+
+def test_random_markup_does_not_fail():
+    rng = random.Random(6)
+    for _ in range(3000):
+        htmltext.lines("".join(rng.choice(["<", ">", "/", "</", "é", "p", "li", "script", "=", '"', "'", " ", "!--", "-->", "&", ";", "x", "ª", "K", "\n"]) for _ in range(rng.randint(0, 25))))
+
+
+@pytest.mark.parametrize("leaves", [[(6, 1)], [], [(24, 1)], [(0, 1), (21, 4)], [(21, None)], [(None, 1)]])
+def test_leaves_that_do_not_fit_are_made_anew(leaves):
+    data, pattern = byte_vocabulary()
+    coder = bpe.ByteBPE(bpe.read_ranks(data), pattern)
+    text = "hello brave new world"
+    tree = tokencount.TokenTree(coder, text, leaves)
+    assert tree.text() == text and tree.tokens == len(coder.encode(text))
+
+
 @pytest.mark.parametrize("bits", [1 << 28, 8])
 def test_shared_lines(monkeypatch, bits):
     monkeypatch.setattr(htmltext, "ALIGNED_BITS", bits)
