@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -176,6 +177,94 @@ def heading_list(page: Column, wanted: str, reach: int = 5) -> Column:
     return run(page)
 
 
+class _Tree(HTMLParser):
+    """A page as nested lists [tag, children], whose children are such lists or texts."""
+
+    CLOSES = {"li": ("li", "p"), "p": ("p",), "ul": ("p",), "ol": ("p",), "h2": ("p",), "h3": ("p",), "h4": ("p",), "div": ("p",), "section": ("p",), "table": ("p",)}
+    STOPS = ("ul", "ol", "div", "section", "article", "body", "td", "nav")
+    VOID = ("br", "hr", "img", "input", "meta", "link", "wbr", "source")
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root: list = ["", []]
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] in self.CLOSES.get(tag, ()):
+                del self.open[k:]
+                break
+            if self.open[k][0] in self.STOPS:
+                break
+        node = [tag, []]
+        self.open[-1][1].append(node)
+        if tag not in self.VOID:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        self.open[-1][1].append(data)
+
+
+def _nodes(root: list):
+    """(children of the same parent, place among them) of every element, in page order."""
+    stack = [(root[1], 0)]
+    while stack:
+        children, i = stack.pop()
+        while i < len(children) and isinstance(children[i], str):
+            i += 1
+        if i < len(children):
+            yield children, i
+            stack += [(children, i + 1), (children[i][1], 0)]
+
+
+def _text(node) -> str:
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            stack += reversed(x[1])
+    return " ".join("".join(out).split())
+
+
+def headed_lists(page: Column, wanted: str, other: str, labels: tuple[str, str] = ("included", "extra"), reach: int = 5, least: int = 2) -> Column:
+    """array<struct<label, heading, item>>: the items of the first list among the `reach` elements after every heading that a pattern finds.
+
+    Headings are h2, h3 and h4 that `wanted` finds in; those that `other` finds in too have the second label. Patterns are
+    Python's and ignore case. Items are all <li> of the list, nested ones as well, of `least` characters or more. A null page has none.
+    """
+    ship(SparkSession.active())
+
+    @F.pandas_udf("array<struct<label: string, heading: string, item: string>>")
+    def run(pages: pd.Series) -> pd.Series:
+        want, extra = re.compile(wanted, re.I), re.compile(other, re.I)
+
+        def lists(p: str) -> list[dict]:
+            parser, found = _Tree(), []
+            parser.feed(p)
+            parser.close()
+            for siblings, i in _nodes(parser.root):
+                if siblings[i][0] not in ("h2", "h3", "h4") or not want.search(heading := _text(siblings[i])):
+                    continue
+                after = [x for x in siblings[i + 1 :] if not isinstance(x, str)][:reach]
+                block = next((x for x in after if x[0] in ("ul", "ol")), None)
+                items = [_text(c[j]) for c, j in _nodes(block) if c[j][0] == "li"] if block else []
+                label = labels[bool(extra.search(heading))]
+                found += [{"label": label, "heading": heading, "item": x} for x in items if len(x) >= least]
+            return found
+
+        return pd.Series([lists(p) if p else [] for p in pages])
+
+    return run(page)
+
+
 def day_groups(lines: Column, is_title: str) -> Column:
     """Program days: a line that matches begins a day, the lines after it are joined by ' | ', cut at 4000 characters.
 

@@ -39,10 +39,10 @@ def x_slogan_repetition(spark, d):
 EMOJI = r"[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]"
 
 
-@query(r"SELECT doc_id, emoji, round(emoji / greatest(length(text), 1), 6) AS density, emoji >= 3 AND emoji > 0.02 * length(text) AS dense FROM (SELECT doc_id, t AS text, CAST(length(regexp_replace(t, '[^\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]', '', 'g')) AS BIGINT) AS emoji FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN left(text, 100) || '🎉🔥✨🎉' ELSE text END AS t FROM documents))")
+@query(r"SELECT doc_id, emoji, round(emoji / greatest(length(text), 1), 6) AS density, emoji >= 3 AND emoji > 0.02 * length(text) AS dense FROM (SELECT doc_id, t AS text, CAST(length(regexp_replace(t, '[^\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]', '', 'g')) AS BIGINT) AS emoji FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || repeat('🎉🔥✨🎉', (length(text) // 200 + 1)::INT) ELSE text END AS t FROM documents))")
 def x_emoji_density(spark, d):
     # the tables have no pictographs: every tenth text gets some
-    text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.left("text", F.lit(100)), F.lit("🎉🔥✨🎉"))).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.repeat(F.lit("🎉🔥✨🎉"), F.floor(F.length("text") / 200).cast("int") + 1))).otherwise(F.col("text"))
     n = F.length(F.regexp_replace("text", EMOJI.replace("[", "[^", 1), "")).cast("long")
     counted = load(spark, d, "documents").select("doc_id", text.alias("text")).withColumn("emoji", n)
     return counted.select("doc_id", "emoji", F.round(F.col("emoji") / F.greatest(F.length("text"), F.lit(1)), 6).alias("density"), ((F.col("emoji") >= 3) & (F.col("emoji") > 0.02 * F.length("text"))).alias("dense"))

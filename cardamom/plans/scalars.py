@@ -144,6 +144,17 @@ def p18_nav_items(spark, d):
     return load(spark, d, "pages").select("page_id", F.size(web.heading_list(page, "included")).cast("long").alias("items"))
 
 
+@query(r"""WITH n AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a[^>]*>([^<]*)</a>', 1)) AS item FROM pages)
+SELECT page_id, 'included' AS label, 'What is included' AS heading, item FROM n WHERE length(item) >= 2
+UNION ALL SELECT page_id, 'extra', 'Not included: paid apart', 'Other thing' FROM pages""")
+def p18_services(spark, d):
+    """Lists after every matching heading, with their labels; pages get such headings, as the tables have none."""
+    nav = F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1)
+    more = "<h3>Not included: <i>paid</i> apart</h3><p>y</p><ol><li>Other <b>thing</b><li>x</ol><h2>About</h2><ul><li>no</li></ul><h4>Also included</h4><p>1<p>2<p>3<p>4<p>5<ul><li>too far</li></ul>"
+    page = F.concat(F.lit("<h2>What is included</h2><p>x</p>"), nav, F.lit(more))
+    return load(spark, d, "pages").select("page_id", F.explode(web.headed_lists(page, "included", "not included|apart")).alias("x")).select("page_id", "x.*")
+
+
 @query("""WITH d AS (SELECT conv_id, seen, regexp_replace(string_agg(CASE role WHEN 'assistant' THEN regexp_replace(text, '^Day', 'day') ELSE '' END, ' | ' ORDER BY turn) FILTER (role <> 'user'), '^( \\| )+', '') AS text
 FROM (SELECT *, sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations) WHERE seen > 0 GROUP BY conv_id, seen)
 SELECT conv_id, count(*) AS days, CAST(nullif(sum(length(replace(left(coalesce(text, ''), 4000), ' | ', ''))), 0) AS BIGINT) AS chars FROM d GROUP BY conv_id""")

@@ -9,26 +9,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
+from ..session import stored
 from .robots import permitted
 
 DEPTH = 4
+#: What a sitemap and a sitemap index say, by the names of their elements in any namespace.
+SITEMAP = "sitemap array<struct<loc: string>>, url array<struct<loc: string>>"
 
 
-def locations(xml: Column) -> Column:
-    """The trimmed <loc> values of a sitemap or a sitemap index."""
-    found = F.regexp_extract_all(xml, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"))
-    return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+def _trimmed(entries: Column) -> Column:
+    locs = F.transform(F.coalesce(entries, F.array().cast("array<struct<loc: string>>")), lambda e: F.regexp_replace(e["loc"], r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+$", ""))
+    return F.filter(locs, lambda x: x.isNotNull() & (x != ""))
 
 
 def sitemap_urls(maps: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(url): the pages of all sitemaps below the roots. maps has (url, xml); an index leads on, `depth` levels at most."""
-    parsed = maps.select("url", F.contains("xml", F.lit("<sitemapindex")).alias("is_index"), locations(F.col("xml")).alias("locs"))
-    front, pages = roots.select("url"), None
-    for _ in range(depth + 1):
-        got = parsed.join(front, "url", "left_semi").select("is_index", F.explode("locs").alias("url"))
-        leaf = got.where("not is_index").select("url")
-        pages = leaf if pages is None else pages.unionAll(leaf)
-        front = got.where("is_index").select("url").distinct()
+    """(url): the pages of all sitemaps below the roots. maps has (url, xml); an index leads on, `depth` levels at most.
+
+    XML is read by its structure: entries in comments don't count, CDATA, references and namespaces do. Broken XML has no
+    entries. Each round follows the maps that the round before it found and no round has seen, so indexes that lead to
+    each other come to an end, and each map is read once.
+    """
+    spark = maps.sparkSession
+    read = F.from_xml("xml", SITEMAP, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    parsed = stored(maps.select("url", read.alias("r")).select("url", _trimmed(F.col("r.sitemap")).alias("maps"), _trimmed(F.col("r.url")).alias("pages")), "maps")
+    front = stored(roots.select("url").distinct(), "front")
+    seen, pages = front, spark.createDataFrame([], "url string")
+    for level in range(depth + 1):
+        met = parsed.join(front, "url", "left_semi")
+        pages = pages.unionAll(met.select(F.explode("pages").alias("url")))
+        if level == depth:
+            break
+        front = stored(met.select(F.explode("maps").alias("url")).distinct().join(seen, "url", "left_anti"), "front")
+        if not front.limit(1).count():
+            break
+        seen = seen.unionAll(front)
     return pages.distinct()
 
 

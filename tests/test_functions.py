@@ -208,3 +208,14 @@ def test_numbers_of_a_large_group(spark):
         seen[r["g"]] = seen.get(r["g"], 3) + 1
         assert r["number"] == seen[r["g"]]
     assert len(got) == 3000 and seen["hot"] == 2403 and seen[None] == 303
+
+
+def test_lists_after_every_heading(spark):
+    page = """<h1>Included</h1><ul><li>no</li></ul><div><h2>What is <b>included</b></h2>text<p>x<ul><li>one<li>two <i>and</i>
+     <ol><li>inner</li></ol></li><li>z</li></ul><ul><li>second list</li></ul></div>
+     <h3>NOT included</h3><div><ul><li>in a div</li></ul></div><ol><li>paid &amp; extra</li></ol><h4>Included too</h4><p>1</p><p>2</p><p>3</p><p>4</p><p>5</p><ul><li>far</li></ul><h2>Included last"""
+    df = spark.createDataFrame([(page,), (None,), ("",), ("<h2>included</h2>",)], "c string")
+    got = [[tuple(x) for x in r["r"]] for r in df.select(web.headed_lists(F.col("c"), "included", "not").alias("r")).collect()]
+    first = "What is included"
+    assert got[0] == [("included", first, "one"), ("included", first, "two and inner"), ("included", first, "inner"), ("extra", "NOT included", "paid & extra")]
+    assert got[1:] == [[], [], []]

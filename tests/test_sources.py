@@ -115,6 +115,27 @@ def test_crawl_tables(spark):
     assert {r["n"]: r["start"] for r in crawl.schedule(req, "host", "n", delays).collect()} == {1: 0.0, 2: 5.0, 3: 0.0}
 
 
+def test_sitemaps_by_structure(spark):
+    head = "<?xml version='1.0'?>"
+    maps = [
+        ("r", f"{head}<sm:sitemapindex xmlns:sm='s'><sm:sitemap><sm:loc>\n a </sm:loc></sm:sitemap><!-- <sm:sitemap><sm:loc>no</sm:loc></sm:sitemap> --><sm:sitemap><sm:loc>b</sm:loc></sm:sitemap></sm:sitemapindex>"),
+        ("a", "<sitemapindex><sitemap><loc>b</loc></sitemap><sitemap><loc>r</loc></sitemap><sitemap><loc>a</loc></sitemap></sitemapindex>"),
+        ("b", f"{head}<urlset xmlns:i='i'><url><loc><![CDATA[p?x=1&y=2]]></loc><i:image><i:loc>img</i:loc></i:image></url><!-- <url><loc>hidden</loc></url> --><url><loc>q&amp;z</loc></url><url/><url><loc> </loc></url></urlset>"),
+        ("no", "<urlset><url><loc>unseen</loc></url></urlset>"),
+        ("c1", "<sitemapindex><sitemap><loc>c2</loc></sitemap></sitemapindex>"), ("c2", "<sitemapindex><sitemap><loc>c3</loc></sitemap></sitemapindex>"), ("c3", "<urlset><url><loc>deep</loc></url></urlset>"),
+        ("broken", "<urlset><url><loc>x</loc>"), ("null", None),
+    ]
+    df = spark.createDataFrame(maps, "url string, xml string")
+
+    def found(roots, depth=4):
+        return sorted(r[0] for r in crawl.sitemap_urls(df, spark.createDataFrame([(x,) for x in roots], "url string"), depth).collect())
+
+    # the indexes r and a lead to each other and to themselves
+    assert found(["r"]) == found(["r"], 50) == ["p?x=1&y=2", "q&z"]
+    assert found(["c1"]) == ["deep"] and found(["c1"], 1) == [] and found(["c1", "c3"], 0) == ["deep"]
+    assert found(["broken", "null", "missing"]) == []
+
+
 def test_streams(spark, tmp_path):
     rows = [(i % 50, f"2024-01-01 00:{i % 60:02d}:00", i % 3, "view" if i % 2 else "click", 1.0, "{}") for i in range(120)] + [(999, "2024-01-02 00:00:00", 0, "view", 1.0, "{}")]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts"))
