@@ -97,10 +97,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, above: flo
             own = grams.where("side = 0").select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
             inter = own.join(F.broadcast(theirs), "g").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
             return _similar(inter, above)
-    digest = F.struct(F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i"))
-    sets = stored(sets.select("id", "side", F.array_sort("s").alias("s")).withColumn("digest", digest), "sets")
-    classes = sets.groupBy("digest").agg(F.any_value("s").alias("s")).select("digest", F.col("digest.n").alias("n"), "s")
-    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    sets, classes = _classes(sets)
     pairs = _near_classes(classes, above)
     members = sets.select("digest", "id", "side").join(classes.select("digest", "class"), "digest")
     a, b = (members.select(F.col("class").alias(f"c{x}"), F.col("id").alias(x), F.col("side").alias(f"s{x}")) for x in "ab")
@@ -114,6 +111,35 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, above: flo
     return every.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
 
 
+def near_duplicate_links(docs: DataFrame, key: str, text: str, k: int = 5, above: float = 0.7) -> DataFrame:
+    """key, class, links: of each text the smallest key that has its very set of shingles, and how many other texts near_duplicates() pairs it with.
+
+    One row for each row of docs, however many copies a text has: copies are counted, and no pair of them is made.
+    Texts without shingles have no class and no links. Equal keys are rows of their own.
+    """
+    own = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", F.lit(0).alias("side"), shingle_hashes(tokens(F.col("text")), k).alias("s"))
+    own = stored(own, "shingles")
+    some = F.coalesce(F.size("s") > 0, F.lit(False))
+    sets, classes = _classes(own.where(some))
+    pairs = _near_classes(classes, above)
+    members = stored(sets.select("id", "digest").join(classes.select("digest", "class"), "digest").select("id", "class"), "members")
+    sizes = stored(members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("least")), "sizes")
+    turned = pairs.select("ca", "cb").unionByName(pairs.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+    near = turned.join(sizes.select(F.col("class").alias("cb"), "n"), "cb").groupBy(F.col("ca").alias("class")).agg(F.sum("n").alias("others"))
+    of_class = stored(sizes.join(near, "class", "left").select("class", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links")), "links")
+    linked = members.join(of_class, "class").select(F.col("id").alias(key), F.col("least").alias("class"), "links")
+    alone = own.where(~some).select(F.col("id").alias(key), F.lit(None).cast(linked.schema["class"].dataType).alias("class"), F.lit(0).cast("long").alias("links"))
+    return linked.unionByName(alone)
+
+
+def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: sets (id, side, s) with the digest of their set, and (digest, n, s, class) of each different set."""
+    digest = F.struct(F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i"))
+    sets = stored(sets.select("id", "side", F.array_sort("s").alias("s")).withColumn("digest", digest), "sets")
+    classes = sets.groupBy("digest").agg(F.any_value("s").alias("s")).select("digest", F.col("digest.n").alias("n"), "s")
+    return sets, stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+
+
 def _near_classes(classes: DataFrame, above: float) -> DataFrame:
     """(ca, cb, similarity) of a stored table (class, n, s): pairs of different classes above the bound."""
     n = F.col("n")

@@ -112,6 +112,15 @@ def j12_near_dup(spark, d):
     return joins.near_duplicates(load(spark, d, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
+@query(f"""WITH src AS (SELECT doc_id AS id, text FROM documents), {_SHINGLES}, pairs AS (
+  SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) > 0.7
+), classes AS (SELECT id, CASE WHEN len(s) > 0 THEN min(id) OVER (PARTITION BY list_sort(s)) END AS class FROM s)
+SELECT id AS doc_id, class, count(b) AS links FROM classes LEFT JOIN pairs ON a = id GROUP BY id, class""")
+def j12_near_dup_links(spark, d):
+    """Each document's class of equal shingle sets and number of near-duplicates, without a pair of copies being made."""
+    return joins.near_duplicate_links(load(spark, d, "documents"), "doc_id", "text")
+
+
 @query(f"""WITH src AS (SELECT -1 - item_id AS id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents), {_SHINGLES}
 SELECT a.id AS a, -1 - b.id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS similarity FROM g a JOIN g b ON a.g = b.g AND a.id >= 0 AND b.id < 0 GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) > 0.1""")
 def v10_benchmark_overlap(spark, d):

@@ -219,3 +219,20 @@ def test_lists_after_every_heading(spark):
     first = "What is included"
     assert got[0] == [("included", first, "one"), ("included", first, "two and inner"), ("included", first, "inner"), ("extra", "NOT included", "paid & extra")]
     assert got[1:] == [[], [], []]
+
+
+def test_links_of_near_duplicates_count_copies(spark):
+    from collections import Counter
+
+    base = [f"w{i}" for i in range(40)]
+    near = [*base[:-1], "other"]
+    rows = [(i, " ".join(base)) for i in range(300)] + [(i, " ".join(near)) for i in range(300, 350)] + [(900, "one two three four five six"), (901, "too short"), (902, None), (903, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r["id"]: (r["class"], r["links"]) for r in joins.near_duplicate_links(df, "id", "t").collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (0, 349) for i in range(300)) and all(got[i] == (300, 349) for i in range(300, 350))
+    assert got[900] == (900, 0) and all(got[i] == (None, 0) for i in (901, 902, 903))
+    some = df.where("id between 290 and 310")
+    ends = Counter(x for r in joins.near_duplicates(some, "id", "t").collect() for x in (r["a"], r["b"]))
+    assert {r["id"]: r["links"] for r in joins.near_duplicate_links(some, "id", "t").collect()} == dict(ends)
+    assert joins.near_duplicate_links(df.limit(0), "id", "t").count() == 0
