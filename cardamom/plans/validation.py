@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import audit, joins, jsonschema, leaves, sampling, validation
+from ..operators import audit, blocklist, joins, jsonschema, leaves, sampling, validation
 from .registry import load, query
 
 
@@ -184,6 +184,18 @@ def v7_length_outliers(spark, d):
     return validation.outside(rows, "len", audit.percentile_bounds(rows, ["lang"], "len"), ["lang"]).select("doc_id", "lang", "len")
 
 
+@query(r"""WITH p AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{4,}')) || '[a-z]* [a-z]' AS re FROM benchmark WHERE regexp_matches(text, '[A-Za-z]{4,}'))
+SELECT doc_id, CAST(item_id AS VARCHAR) AS pattern, regexp_extract(text, re, 0, 'i') AS match FROM documents CROSS JOIN p WHERE regexp_extract(text, re, 0, 'i') <> ''""")
+def v8_long_blocklist(spark, d):
+    """A pattern for each item of the benchmark: its first word of four letters, whatever ends it, and the letter after it."""
+    docs, items = load(spark, d, "documents", "benchmark")
+    word = F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0))
+    listed = items.select(F.col("item_id").cast("string").alias("id"), word.alias("word")).where("word != ''")
+    # the list is as long as the benchmark
+    patterns = [(r["id"], r["word"] + "[a-z]* [a-z]") for r in listed.orderBy("id").collect()]
+    return blocklist.blocked(docs.select("doc_id", "text"), "text", patterns)
+
+
 @query(r"SELECT doc_id, pattern, regexp_extract(text, re) AS match FROM documents CROSS JOIN (VALUES ('shout', '!!+'), ('guarantee', '100\s*%'), ('worst', '(worthless|pathetic)[a-z]*')) p(pattern, re) WHERE regexp_extract(text, re) <> ''")
 def v8_blocklist(spark, d):
     return joins.pattern_hits(load(spark, d, "documents").select("doc_id", "text"), "text", {"shout": "!!+", "guarantee": r"100\s*%", "worst": "(worthless|pathetic)[a-z]*"})
