@@ -231,6 +231,19 @@ def test_topk(spark, monkeypatch, few):
     assert collected(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
+def test_lines_around_an_article(spark):
+    def page(i):
+        return f"<html><body><div>Site name</div><main><h1>Title {i}</h1><article><p>Body {i}</p></article><p>tail {i}</p></main><div>All rights reserved</div></body></html>"
+
+    rows = [(i, f"https://h.example/a/{i}", page(i)) for i in range(4)]
+    # a teaser that is marked, beside a text that isn't; and a host of one page, which has nothing to compare with
+    rows += [(4, "https://h.example/a/4", "<div>Site name</div><div id=content><p>Long main text</p></div><article><h3>Other story</h3></article><div>All rights reserved</div>"), (5, "https://one.example/x", page(5)), (6, None, page(6))]
+    got = {r["page_id"]: r for r in htmltext.extract(with_clashes(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    assert [got[i]["text"] for i in range(4)] == [f"Title {i}\nBody {i}\ntail {i}" for i in range(4)]
+    assert got[4]["text"] == "Long main text\nOther story" and got[5]["text"] == "Body 5" and got[6]["text"] == "Body 6"
+    assert {r["decided_by"] for r in got.values()} == {"markup"} and all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
