@@ -8,7 +8,7 @@ from ..functions import web
 from ..operators import audit
 from ..operators.provider import mock_calls
 from ..session import shared_path
-from ..sources import crawl, fetch, files, robots
+from ..sources import crawl, fetch, files, polite, robots
 from .registry import load, query
 
 
@@ -211,6 +211,45 @@ def s15_schedule(spark, d):
     return crawl.schedule(pages, "host", "page_id").select("page_id", "start")
 
 
+class _Skipping(polite.Clock):
+    """A clock that needn't be waited for."""
+
+    def __init__(self):
+        self._at = 1_700_000_000.0
+
+    def now(self):
+        return self._at
+
+    def sleep(self, seconds):
+        self._at += seconds
+
+
+def _site_client():
+    """A stand-in for hosts: some pages are gone, some fail, some tell their length and some don't."""
+
+    def client(url):
+        if len(url) % 7 == 0:
+            raise ConnectionError("reset")
+        body = url.encode()
+        return {"status": 404 if len(url) % 5 == 0 else 200, "content_type": "text/html", "length": len(body) if len(url) % 2 else None, "chunks": (body[i : i + 8] for i in range(0, len(body), 8))}
+
+    return client
+
+
+@query(r"""WITH p AS (SELECT page_id, url, length(url) AS n, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages),
+s AS (SELECT *, CASE WHEN host LIKE '%.net' THEN 7.5 ELSE 2.0 END::DOUBLE AS pace FROM p), t AS (SELECT *, (row_number() OVER (PARTITION BY host, page_id % 3 = 0 ORDER BY page_id) - 1) * pace AS start FROM s)
+SELECT page_id, CAST(floor(start / 60) AS INT) AS round, start - 60 * floor(start / 60) + pace AS began, CASE WHEN n % 7 > 0 THEN CASE WHEN n % 5 = 0 THEN 404 ELSE 200 END END AS status,
+CASE WHEN n % 7 > 0 THEN n > 40 END AS oversize, CASE WHEN n % 7 > 0 AND n <= 40 THEN url END AS body, CASE WHEN n % 7 = 0 THEN 'ConnectionError: reset' END AS error FROM t""")
+def s15_polite_crawl(spark, d):
+    """A crawl at the hosts' paces that stopped after a third of the pages, and went on."""
+    pages = load(spark, d, "pages").select("page_id", "url", web.host(F.col("url")).alias("host"))
+    delays = pages.where(F.col("host").endswith(".net")).select("host", F.lit(7.5).alias("delay")).distinct()
+    path = shared_path(spark, "crawl")
+    for part in (pages.where("page_id % 3 = 0"), pages):
+        got = polite.fetch_pages(part, path, _site_client, "r1", "page_id", delays, round_seconds=60.0, most_bytes=40, clock=_Skipping)
+    return pages.select("page_id", "url").join(got, "url").select("page_id", "round", "began", "status", "oversize", F.decode("body", "UTF-8").alias("body"), "error")
+
+
 @query("SELECT doc_id, 'approve' AS verdict, round((ceil(length(text) / 4) + 10) * 0.2 / 1000, 9) AS cost FROM documents")
 def s16_mock_provider(spark, d):
     called = mock_calls(load(spark, d, "documents").select("doc_id", "text"), "text")
