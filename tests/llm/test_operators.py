@@ -340,6 +340,25 @@ def test_pages_without_an_article(spark):
     assert all("of one story" in r["text"] for r in got)
 
 
+def test_short_stories_lose_a_long_menu(spark):
+    """Pages that share nearly all of their characters aren't copies if it is the host's menu that they share; near copies among them keep their story."""
+    menu = "".join(f"<div>menu entry number {k:02} of the site</div>" for k in range(20))
+
+    def page(*lines):
+        return f"<html><body>{menu}{''.join(f'<p>{x}</p>' for x in lines)}</body></html>"
+
+    want = {i: f"Story {i}, in one sentence." for i in range(9)}
+    rows = [(i, f"https://h.example/s/{i}", page(t)) for i, t in want.items()]
+    rows.append((20, "https://h.example/s/95", page()))
+    want[20] = ""
+    long = " ".join(["a story of two mirrors"] * 9)
+    for k in range(3):
+        rows.append((30 + k, f"https://h.example/s/4-{k}", page(long, f"seen {k}")))
+        want[30 + k] = f"{long}\nseen {k}"
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+
+
 def test_long_pages(spark):
     rows = [(i, f"https://h.example/{i}", f"<div>site</div>{'<p>same</p>' * 4000}" + "".join(f"<p>text {i} {k}</p>" for k in range(4000))) for i in range(2)]
     got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
