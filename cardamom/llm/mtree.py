@@ -6,8 +6,10 @@ Euclidean distance is |q|^2 + M^2 - 2 <q, x>: the nearest vectors have the highe
 
 A query begins at the leaf whose routing vector is nearest, which gives its k-th score a lower
 bound; a bound from other shards may be known already. Pages, their entries and their vectors
-out of its reach are then left out without computing their distances. How many these are
-depends on the vectors: in clusters most, in directions drawn at random none.
+out of its reach are then left out without computing their distances. Which tree a vector is in
+goes by the nearest of some means, and a tree's vectors reach so far from their mean at most:
+a query enters the nearest cells first, and then those that its k-th score can't rule out. How
+much is left out depends on the vectors: in clusters most, in directions drawn at random none.
 """
 
 from __future__ import annotations
@@ -23,15 +25,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import stored
+from .common import discard, stored
 
 #: Vectors of a leaf page, entries of an inner page.
 PAGE, FANOUT = 64, 16
 #: Vectors in one tree; queries that meet it in one task, at most, and at least where a round has fewer shards than the cluster has cores; queries
 #: searched together. The first and the last bound a task's memory, the others its time.
 SHARD_ROWS, TASK_QUERIES, FEW_QUERIES, BLOCK = 20_000, 1_000_000, 20_000, 1024
-#: Leaves at which a query begins; each round of shards has so many times more of them than the rounds before; tasks of a round at most.
-BEGINNINGS, ROUND, TASKS = 2, 4, 10_000
+#: Leaves at which a query begins; cells that a query enters before its k-th score rules out others; tasks of a round at most.
+BEGINNINGS, ENTERED, TASKS = 2, 2, 10_000
+#: Cells at most, and how many vectors, of how many numbers together, their means are found from: a sample on the driver, which decides
+#: the tree that a vector is in, and no result.
+CELLS, SAMPLE_ROWS, SAMPLE_VALUES = 4096, 32_768, 1 << 22
+#: Rows of a batch that goes to cells.
+SENT = 4096
 
 
 @dataclass
@@ -51,16 +58,27 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((x - c) ** 2).sum(1), 0))
 
 
-def _parts(x: np.ndarray, k: int, turns: int = 5) -> np.ndarray:
-    """The part, of k at most, that each row belongs to: that of the nearest mean, after some turns of moving the means."""
+def _nearest(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """The number of each row's nearest mean; a block of rows at a time."""
+    norms = (means**2).sum(1)
+    return np.concatenate([np.empty(0, np.int64), *((norms - 2 * (x[at : at + BLOCK] @ means.T)).argmin(1) for at in range(0, len(x), BLOCK))])
+
+
+def _moved(x: np.ndarray, k: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """k means after some turns of moving them, and the nearest of each row before the last."""
     means = x[np.random.default_rng(len(x)).choice(len(x), k, replace=False)]
     for _ in range(turns):
-        owner = ((means**2).sum(1) - 2 * (x @ means.T)).argmin(1)
+        owner = _nearest(x, means)
         size = np.bincount(owner, minlength=k)
         total = np.zeros((k, x.shape[1]))
         np.add.at(total, owner, x)
         means = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], means)
-    return owner
+    return means, owner
+
+
+def _parts(x: np.ndarray, k: int, turns: int = 5) -> np.ndarray:
+    """The part, of k at most, that each row belongs to."""
+    return _moved(x, k, turns)[1]
 
 
 class MTree:
@@ -230,41 +248,157 @@ def _searched(k: int):
     return run
 
 
+class Cells:
+    """Means of space for each length of vectors, numbered from 1. Vectors of a length without means are in cell 0.
+
+    What the cells hold is set when it is known: `held` maps a cell to (vectors, the farthest one's
+    distance to the mean, the largest square norm).
+    """
+
+    def __init__(self, samples: dict[int, np.ndarray], cells: int) -> None:
+        total = sum(map(len, samples.values()))
+        self.means: dict[int, tuple[int, np.ndarray]] = {}
+        at = 1
+        for length, x in sorted(samples.items()):
+            x = np.unique(x, axis=0)
+            k = min(len(x), max(1, cells * len(samples[length]) // max(1, total)))
+            self.means[length] = at, _moved(x, k, 5)[0]
+            at += k
+        self.count, self.radius, self.norm2 = np.zeros(at, np.int64), np.zeros(at), np.zeros(at)
+
+    def hold(self, held: dict[int, tuple[int, float, float]]) -> None:
+        for cell, (count, radius, norm2) in held.items():
+            self.count[cell], self.radius[cell], self.norm2[cell] = count, radius, norm2
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and its distance to the cell's mean."""
+        if x.shape[1] not in self.means:
+            return np.zeros(len(x), np.int64), np.zeros(len(x))
+        first, means = self.means[x.shape[1]]
+        owner = _nearest(x, means)
+        return first + owner, _distances(x, means[owner])
+
+    def visits(self, queries: np.ndarray, floor: np.ndarray, again: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, cell): each query's ENTERED cells of the nearest means, or, `again`, the others that may hold a score of its floor or more.
+
+        With p the mean, r the radius and M the largest norm of a cell, a vector x of it has
+        <q, x> <= <q, p> + |q| r, and 2 <q, x> <= |q|^2 + M^2 - max(0, |q - p| - r)^2.
+        """
+        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+        if queries.shape[1] not in self.means:
+            return nothing if again or not self.count[0] else (np.arange(len(queries)), np.zeros(len(queries), np.int64))
+        first, means = self.means[queries.shape[1]]
+        own = slice(first, first + len(means))
+        full = np.flatnonzero(self.count[own])
+        if not len(full):
+            return nothing
+        means, radius, norm2 = means[full], self.radius[own][full], self.norm2[own][full]
+        inner, q2 = queries @ means.T, (queries**2).sum(1)[:, None]
+        away = np.sqrt(np.maximum(q2 + (means**2).sum(1) - 2 * inner, 0))
+        near = np.argsort(away, 1, kind="stable")[:, :ENTERED]
+        enters = np.zeros(inner.shape, bool)
+        np.put_along_axis(enters, near, True, 1)
+        if again:
+            most = np.minimum(inner + np.sqrt(q2) * radius, (q2 + norm2 - np.maximum(away - radius, 0) ** 2) / 2)
+            enters = ~enters & (most >= floor[:, None] - 0.5)  # scores are whole numbers
+        rows, cells = np.nonzero(enters)
+        return rows, first + full[cells]
+
+
+def _dealt(cells: Cells):
+    """Adds to rows of id, v and q the cell, the distance to its mean and the square norm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, away, norm2 = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for _, same, x in _matrices(batch):
+                cell[same], away[same] = cells.place(x)
+                norm2[same] = (x**2).sum(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away), pa.array(norm2)], names=[*batch.schema.names, "cell", "away", "norm2"])
+
+    return run
+
+
+def _sent(cells: Cells, shards: np.ndarray, groups: int, again: bool):
+    """Sends rows of id, v and floor to a part of each shard of the cells that they visit. Cell c has the shards from shards[c] to before shards[c + 1]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floors = batch.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
+            floors[np.isnan(floors)] = -np.inf
+            mixed = batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            part = ((mixed >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
+            for _, same, x in _matrices(batch):
+                for at in range(0, len(same), BLOCK):
+                    block = same[at : at + BLOCK]
+                    rows, cell = cells.visits(x[at : at + BLOCK], floors[block], again)
+                    many = shards[cell + 1] - shards[cell]
+                    rows = np.repeat(block[rows], many)
+                    shard = np.repeat(shards[cell] - np.cumsum(many) + many, many) + np.arange(len(rows))
+                    for i in range(0, len(rows), SENT):
+                        own = rows[i : i + SENT]
+                        made = [pa.array(shard[i : i + SENT].astype(np.int32)), pa.array(part[own]), pa.array(np.ones(len(own), bool))]
+                        taken = batch.take(pa.array(own))
+                        yield pa.RecordBatch.from_arrays([*made, *(taken.column(c) for c in ("id", "v", "floor"))], names=["shard", "part", "q", "id", "v", "floor"])
+
+    return run
+
+
+_SENT = "shard int, part int, q boolean, id long, v array<long>, floor double"
+
+
+def _cells(clean: DataFrame, wanted: int, longest: int) -> Cells:
+    """Cells of a bounded sample, the rows of the smallest hashes; none if one is enough."""
+    wanted, samples = min(CELLS, wanted), {}
+    rows = min(SAMPLE_ROWS, SAMPLE_VALUES // max(1, longest))
+    if wanted > 1 and rows > 1:
+        sample = clean.select("v").orderBy(F.xxhash64("id", "v")).limit(min(rows, 64 * wanted)).toArrow()
+        for batch in sample.to_batches():
+            for length, _, x in _matrices(batch):
+                samples.setdefault(length, []).append(x)
+    return Cells({n: np.concatenate(x) for n, x in samples.items()}, wanted)
+
+
 def top_k(vectors: DataFrame, query: Column, k: int = 20, id: str = "vec_id", vector: str = "v", shard_rows: int = SHARD_ROWS, task_queries: int = TASK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products among all other rows.
 
     `vector` holds arrays of longs; inner products must stay below 2**53. Rows of null id or vector take
-    no part, equal rows count once, and vectors meet only those of their length. Shards come in rounds,
-    each of a few times as many as before: a query takes the k-th score that it has by then along, so
-    that the trees of later shards leave out what is below it and return little. A task holds one
-    shard's tree, past which queries stream; tasks share a shard if its queries are more than
-    `task_queries`, or if there are idle cores.
+    no part, equal rows count once, and vectors meet only those of their length. Vectors are dealt to
+    the cells of their nearest means, and a cell of more than `shard_rows`, as of a vector that many
+    rows have, to several trees. A query searches the cells nearest to it, then, by the k-th score that
+    it has by then, those that may hold a better one. A task holds one shard's tree, past which queries
+    stream; tasks share a shard if its queries are more than `task_queries`, or if there are idle cores.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     clean = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(query, F.lit(False)).alias("q")).where("id is not null and v is not null")
     clean = stored(clean.distinct(), "vectors")
-    n, m = clean.agg(F.count("*"), F.count_if("q")).first()
-    shards, cores = max(1, math.ceil(n / shard_rows)), vectors.sparkSession.sparkContext.defaultParallelism
-    data = clean.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    asked = clean.where("q").select("id", "v")
+    n, m, longest = clean.agg(F.count("*"), F.count_if("q"), F.max(F.size("v"))).first()
+    cells = _cells(clean, math.ceil(n / shard_rows), longest or 0)
+    dealt = stored(clean.mapInArrow(_dealt(cells), "id long, v array<long>, q boolean, cell int, away double, norm2 double"), "dealt")
+    held = {r["cell"]: (r["n"], r["away"], r["norm2"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("away"), F.max("norm2").alias("norm2")).collect()}
+    cells.hold(held)
+    discard(spark, clean)
+    shards = np.concatenate([[0], np.cumsum(-(-cells.count // shard_rows))])
+    total, cores = max(1, int(shards[-1])), spark.sparkContext.defaultParallelism
+    groups = max(1, math.ceil(m / task_queries), min(math.ceil(m / FEW_QUERIES), cores // total))
+    # a row for each cell, CELLS and one at most
+    begins = spark.createDataFrame([(c, int(shards[c]), int(shards[c + 1] - shards[c])) for c in range(len(cells.count))], "cell int, first int, many int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.greatest("many", F.lit(1)))).cast("int").alias("shard")
+    data = dealt.join(F.broadcast(begins), "cell").select(shard, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(False).alias("q"), "id", "v", F.lit(None).cast("double").alias("floor"))
+    asked, best = dealt.where("q").select("id", "v"), None
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    best, at = None, 0
-    while best is None or at < shards:
-        end = min(shards, at + max(1, ROUND * at))
-        groups = max(1, math.ceil(m / task_queries), min(math.ceil(m / FEW_QUERIES), cores // (end - at)))
+    rounds = (False, True) if any(len(means) > ENTERED for _, means in cells.means.values()) else (False,)
+    for again in rounds:
         floors = asked.withColumn("floor", F.lit(None).cast("double"))
         if best is not None:
             kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
             floors = asked.join(kth, "id", "left")
-        mine = data.where(F.col("shard").between(at, end - 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        mine = mine.select("shard", "part", F.lit(False).alias("q"), "id", "v", F.lit(None).cast("double").alias("floor"))
-        sent = floors.withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(groups)).cast("int"))
-        sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(at), F.lit(end - 1)))).select("shard", "part", F.lit(True).alias("q"), "id", "v", "floor")
-        tasks = mine.unionByName(sent).repartition(min(TASKS, (end - at) * groups), "shard", "part").sortWithinPartitions("shard", "part", "q")
+        sent = floors.select("id", "v", "floor").mapInArrow(_sent(cells, shards, groups, again), _SENT)
+        tasks = data.unionByName(sent).repartition(min(TASKS, total * groups), "shard", "part").sortWithinPartitions("shard", "part", "q")
         found = tasks.mapInArrow(_searched(k), _FOUND)
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         best = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        at = end
-        best = stored(best, "best") if at < shards else best
+        best = stored(best, "best") if again != rounds[-1] else best
     return best.select("query_id", "rank", "vec_id", "score")

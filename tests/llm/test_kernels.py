@@ -160,6 +160,33 @@ def test_mtree_prunes_clusters():
     assert tree.computed < 500 * 10_000 / 4
 
 
+@pytest.mark.parametrize("spread,most", [(0.05, 1 / 3), (0.5, 1)])
+def test_cells_out_of_reach_are_not_visited(spread, most):
+    """No cell that holds one of a query's best is left out; of clustered vectors a query visits less than a third of the cells."""
+    rng = np.random.default_rng(3)
+    center = rng.normal(size=(100, 16))
+    center /= np.linalg.norm(center, axis=1)[:, None]
+    y = center[rng.integers(0, 100, 10_000)] + spread * rng.normal(size=(10_000, 16))
+    x = np.floor(64 * y)
+    cells = mtree.Cells({16: x[:4000]}, 100)
+    cell, away = cells.place(x)
+    assert cell.min() >= 1 and np.allclose(away, np.sqrt(((x - cells.means[16][1][cell - 1]) ** 2).sum(1)))
+    cells.hold({c: ((cell == c).sum(), away[cell == c].max(), (x[cell == c] ** 2).sum(1).max()) for c in np.unique(cell).tolist()})
+    scores = x[:200] @ x.T
+    visited = [set() for _ in range(200)]
+    entered = cells.visits(x[:200], np.full(200, -np.inf), False)
+    for i, c in zip(*entered, strict=True):
+        visited[i].add(c)
+    floor = np.array([np.sort(scores[i][np.isin(cell, list(visited[i]))])[-20:][0] for i in range(200)])
+    for i, c in zip(*cells.visits(x[:200], floor, True), strict=True):
+        assert c not in visited[i]
+        visited[i].add(c)
+    for i in range(200):
+        assert set(cell[scores[i] >= np.sort(scores[i])[-20]].tolist()) <= visited[i]
+    assert sum(map(len, visited)) <= 200 * most * (cells.count > 0).sum()
+    assert [len(a) for a in cells.visits(np.ones((2, 3)), np.zeros(2), False)] == [0, 0]
+
+
 def test_mtree_empty_and_few():
     assert [len(a) for a in mtree.MTree(np.empty((0, 3)), np.empty(0, np.int64)).search(np.ones((2, 3)), np.array([1, 2]), 5)] == [0, 0, 0]
     assert len(mtree.MTree(np.ones((2, 3)), np.array([1, 2])).search(np.ones((1, 3)), np.array([1]), 5)[0]) == 1

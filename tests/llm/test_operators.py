@@ -231,6 +231,21 @@ def test_topk(spark, monkeypatch, few):
     assert collected(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
+def test_topk_of_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-60, 60, (30, 6))[rng.integers(0, 30, 900)] + rng.integers(-3, 4, (900, 6))
+    x[100:300] = x[7]  # a cell of more than a shard
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    got = {}
+    for r in mtree.top_k(df, F.col("vec_id") % 20 == 7, k=12, shard_rows=30).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (-r["score"], r["vec_id"])
+    assert set(got) == set(range(7, 900, 20))
+    for q, found in got.items():
+        assert [found[k + 1] for k in range(len(found))] == sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:12]
+
+
 def test_lines_around_an_article(spark):
     def page(i):
         return f"<html><body><div>Site name</div><main><h1>Title {i}</h1><article><p>Body {i}</p></article><p>tail {i}</p></main><div>All rights reserved</div></body></html>"
