@@ -5,6 +5,8 @@ Fetching itself is a connector's business; these operators decide what to fetch,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,14 @@ def sitemap_urls(maps: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataF
     return pages.distinct()
 
 
-def cached(requests: DataFrame, cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """requests with cache_key = sha1(url) and hit: a page of status 200 that is not older than `days` days."""
-    fresh = cache.where((F.col("status") == 200) & (F.col("fetched_at") >= now - F.make_dt_interval(F.lit(days)))).select("cache_key").distinct().withColumn("__hit", F.lit(True))
+def cached(requests: DataFrame, cache: DataFrame, now: Column, days: int = 7, by: Sequence[str] = ()) -> DataFrame:
+    """requests with cache_key = sha1(url) and hit: a page of status 200 that is not older than `days` days.
+
+    With `by`, columns of both, what one request has kept of a URL serves no other request of that URL.
+    """
+    fresh = cache.where((F.col("status") == 200) & (F.col("fetched_at") >= now - F.make_dt_interval(F.lit(days)))).select("cache_key", *by).distinct().withColumn("__hit", F.lit(True))
     keyed = requests.withColumn("cache_key", F.sha1(F.col("url").cast("binary")))
-    return keyed.join(fresh, "cache_key", "left").withColumn("hit", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    return keyed.join(fresh, ["cache_key", *by], "left").withColumn("hit", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
 def allowed(requests: DataFrame, robots: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
