@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -110,17 +110,22 @@ def kept_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(path)
 
 
+def cache_key(by: Sequence[str] = ()) -> Column:
+    """The key of a request in the table of pages: its URL's, or, with `by`, that of its URL and these columns."""
+    return F.sha1((F.to_json(F.struct("url", *by)) if by else F.col("url")).cast("binary"))
+
+
 def fetch_pages(
     requests: DataFrame, path: str, factory: Callable[[], Client], run: str, order: str = "url", delays: DataFrame | None = None, seconds: float = 2.0, round_seconds: float = 600.0,
-    days: int = 7, most_bytes: int = MOST_BYTES, retries: int = 0, wait: Callable[[int, Exception], float | None] = lambda attempt, error: 0.0, clock: Callable[[], Clock] = Clock, tasks: int | None = None,
+    days: int = 7, most_bytes: int = MOST_BYTES, retries: int = 0, wait: Callable[[int, Exception], float | None] = lambda attempt, error: 0.0, clock: Callable[[], Clock] = Clock, tasks: int | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
     """Calls the URLs of requests (url, host, an order) that have no page yet, adds the results to the table at path, and returns that.
 
     A page is there if this `run` has any result of it, or if any run has got it with status 200 in the last `days` days. Calls
     of a host are one after the other, in their order, its delay after the end of the one before (`delays`: host, delay;
     `seconds` at least). A failure is tried again as `wait` says, `retries` times at most, at the host's pace too. A body
-    of more than `most_bytes` is oversize, and no more of it is read. Equal URLs are called once; rows without a URL or
-    a host aren't called. A stopped run, begun again under its name, calls no page again but those of the tasks that
+    of more than `most_bytes` is oversize, and no more of it is read. Equal URLs are called once, or, with `by`, once for
+    each of these columns' values, which cache_key() tells apart; rows without a URL or a host aren't called. A stopped run, begun again under its name, calls no page again but those of the tasks that
     were at work when it stopped, as do tasks of lost executors. Speculative tasks would call a host twice at a time, so
     they are an error.
     """
@@ -132,8 +137,8 @@ def fetch_pages(
     ship(spark)
     known, since = kept_pages(spark, path), F.timestamp_seconds(F.lit(clock().now() - days * 86400.0))
     done = known.where((F.col("run") == run) | (F.col("error").isNull() & (F.col("status") == 200) & (F.col("fetched_at") >= since))).select("cache_key").distinct()
-    once = requests.where("url is not null and host is not null").groupBy("url").agg(F.min(F.struct(F.col(order).alias("at"), "host")).alias("r"))
-    todo = once.select(F.sha1(F.col("url").cast("binary")).alias("cache_key"), "url", "r.host", "r.at").join(done, "cache_key", "left_anti")
+    once = requests.where("url is not null and host is not null").groupBy(cache_key(by).alias("cache_key"), "url").agg(F.min(F.struct(F.col(order).alias("at"), "host")).alias("r"))
+    todo = once.select("cache_key", "url", "r.host", "r.at").join(done, "cache_key", "left_anti")
     planned = schedule(todo, "host", "at", delays, seconds)
     pace = F.greatest(F.col("delay"), F.lit(seconds)) if delays is not None else F.lit(seconds)
     plan = stored(planned.select("cache_key", "url", "host", F.col("start").cast("double").alias("start"), pace.cast("double").alias("pace")), "plan")

@@ -30,3 +30,7 @@ def test_cache_of_pages_with_one_url(spark, repeated):
 
 def test_fetch_of_pages_with_one_url(spark, repeated):
     same_as_sql(spark, repeated, "s12_fetch")
+
+
+def test_crawl_of_pages_with_one_url(spark, repeated):
+    same_as_sql(spark, repeated, "s15_polite_crawl")
