@@ -132,7 +132,7 @@ def p26_json_leaves(spark, d):
     """Orders as cards of three shapes in one table, with nothing told about any of them."""
     orders, lines = load(spark, d, "orders", "lineitem")
     line = F.struct("l_linenumber", "l_returnflag", "l_linestatus")
-    of_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    of_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(line)).alias("l"))
     key, status, title = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
     made = F.transform("l", lambda x: F.struct(x["l_linenumber"].alias("no"), x["l_returnflag"].alias("flag"), F.struct(x["l_linestatus"].alias("status"), F.lit(True).alias("ok")).alias("more")))
     deep = F.struct(F.struct(F.array(F.array(), F.array(F.struct(F.struct(status.alias("d")).alias("c")))).alias("b"), title.alias("e")).alias("a"), key.alias("n"))

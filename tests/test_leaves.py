@@ -3,6 +3,7 @@
 import json
 
 from cardamom.operators import leaves, validation
+from cardamom.session import stored
 
 
 def plain(value, path=""):
@@ -28,3 +29,12 @@ def test_any_shapes_in_one_table(spark):
 
 def test_empty_table(spark):
     assert leaves.flatten_json(spark.createDataFrame([], "id int, card string"), "card", ["id"]).count() == 0
+
+
+def test_levels_are_taken_off_together(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(leaves, "stored", lambda df, name: kept.append(name) or stored(df, name))
+    rows = spark.createDataFrame([('{"a": {"b": [[], [{"c": {"d": "x"}}]], "e": "y"}, "f": {}, "g": [1, null, true]}',), ('"z"',), ("[[[[[[[[\"deep\"]]]]]]]]",)], "j string")
+    got = leaves.flatten_json(rows, "j", [])
+    assert {tuple(r) for r in got.collect()} == {("a.b[1][0].c.d", "x"), ("a.e", "y"), ("", "z"), ("[0]" * 8, "deep")}
+    assert len(kept) == 3  # nine levels, four in a round
