@@ -10,7 +10,9 @@ key or value that the keyword asks for. They come in the order of the schema's k
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -27,8 +29,8 @@ MESSAGES = {
 }
 _DAY = r"^\d{4}-\d\d-\d\d"
 _TIME = r"([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]\d\d(:?\d\d)?)$"
-#: Kinds of values by what Spark calls the type of a VARIANT.
-_KINDS = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "boolean": "^BOOLEAN$", "null": "^VOID$", "number": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"}
+#: Kinds of values by what Spark calls the type of a VARIANT: its name, or how it begins.
+_KINDS = {"object": ((), ("OBJECT",)), "array": ((), ("ARRAY",)), "string": (("STRING",), ()), "boolean": (("BOOLEAN",), ()), "null": (("VOID",), ()), "number": (("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"), ("DECIMAL",))}
 
 Body = Callable[[Column], Column]
 
@@ -39,12 +41,14 @@ def _none() -> Column:
 
 def _all(parts: Iterable[Column]) -> Column:
     parts = list(parts)
-    return parts[0] if len(parts) == 1 else F.concat(*parts) if parts else _none()
+    # flatten() and concat() would find out the type of all that is below them for each value; most parts are empty
+    joined = lambda found, x: F.when(F.size(x) == 0, found).when(F.size(found) == 0, x).otherwise(F.concat(found, x))
+    return parts[0] if len(parts) == 1 else F.reduce(F.array(*parts), _none(), joined) if parts else _none()
 
 
 def _let(value: Column, body: Body) -> Column:
     """body's errors for a value that is computed once, however often body uses it."""
-    return F.flatten(F.transform(F.array(value), body))
+    return F.reduce(F.array(value), _none(), lambda _, x: body(x))
 
 
 def _pointer(path: Column, key: Column | str) -> Column:
@@ -53,7 +57,17 @@ def _pointer(path: Column, key: Column | str) -> Column:
 
 
 def _is(kind: Column, *names: str) -> Column:
-    return kind.rlike("|".join(_KINDS[n] for n in names))
+    whole, begun = [x for n in names for x in _KINDS[n][0]], [x for n in names for x in _KINDS[n][1]]
+    fits = [kind == whole[0]] if len(whole) == 1 else [kind.isin(whole)] if whole else []
+    return functools.reduce(operator.or_, [*fits, *(kind.startswith(x) for x in begun)])
+
+
+def _kind(value: Column, *opened: Column) -> Column:
+    """What Spark calls the type of a VARIANT. `opened` are the value as a map and as an array, null if it is none: with them nothing below it is looked at."""
+    kind = F.schema_of_variant(value)
+    for as_one, name in zip(opened, ("OBJECT", "ARRAY"), strict=False):
+        kind = F.when(as_one.isNotNull(), F.lit(name)).otherwise(kind)
+    return kind
 
 
 def _date(text: Column) -> Column:
@@ -107,19 +121,30 @@ class Schema:
             raise ValueError(f"unknown keywords: {sorted(unknown)}")
 
         def errors(v: Column, path: Column) -> Column:
-            facts = F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind"))
             named = [k for k in schema if k in _KEYWORDS and k not in _OF_OBJECTS]
             of_keys = [k for k in schema if k in _OF_OBJECTS]
 
+            # an object becomes a map once, for all keywords that bear on its keys, and an array one of values
+            opened = ["map<string, variant>"] if of_keys or "items" in schema else []
+            opened += ["array<variant>"] if "items" in schema else []
+
             def found(x: Column) -> Column:
                 value, kind = x["v"], x["kind"]
                 parts = [_KEYWORDS[k](self, schema, value, kind, path, document, within) for k in named]
-                if of_keys:  # an object becomes a map once, for all keywords that bear on its keys
-                    inside = _let(value.try_cast("map<string, variant>"), lambda m: _all(_OF_OBJECTS[k](self, schema, m, path, document, within) for k in of_keys))
-                    parts.append(F.when(_is(kind, "object"), inside).otherwise(_none()))
+                if of_keys:
+                    inside = _all(_OF_OBJECTS[k](self, schema, x["o0"], path, document, within) for k in of_keys)
+                    parts.append(F.when(x["o0"].isNotNull(), inside).otherwise(_none()))
                 return _all(parts)
 
-            return _let(facts, found)
+            if not named and not of_keys:
+                return _none()
+            if not opened:
+                return _let(F.struct(v.alias("v"), _kind(v).alias("kind")), found)
+            known = F.struct(v.alias("v"), *(v.try_cast(t).alias(f"o{i}") for i, t in enumerate(opened)))
+            if not named:  # keywords of keys alone ask for no kind
+                return _let(F.struct(v.alias("v"), F.lit("").alias("kind"), v.try_cast(opened[0]).alias("o0")), found)
+            with_kind = lambda x: F.struct(x["v"].alias("v"), _kind(x["v"], *(x[f"o{i}"] for i in range(len(opened)))).alias("kind"), *(x[f"o{i}"].alias(f"o{i}") for i in range(len(opened))))
+            return _let(known, lambda x: _let(with_kind(x), found))
 
         return errors
 
@@ -173,8 +198,9 @@ class Schema:
         return self._unless(self._equal(v, kind, s["const"]), path, "const", None, json.dumps(s["const"], ensure_ascii=False))
 
     def _enum(self, s, v, kind, path, document, within):
-        ok = F.lit(False)
-        for value in s["enum"]:
+        texts = [x for x in s["enum"] if isinstance(x, str)]
+        ok = F.coalesce(_is(kind, "string") & v.try_cast("string").isin(texts), F.lit(False)) if texts else F.lit(False)
+        for value in (x for x in s["enum"] if not isinstance(x, str)):
             ok = ok | F.coalesce(self._equal(v, kind, value), F.lit(False))
         return self._unless(ok, path, "enum", None, json.dumps(s["enum"], ensure_ascii=False))
 

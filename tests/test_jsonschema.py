@@ -91,3 +91,12 @@ def test_schemas_that_cannot_be_compiled(spark, schema):
 def test_no_python_in_the_plan(spark):
     plan = validated(spark.createDataFrame([("{}",)], "card string"), "card", Schema(CARD, [OTHER]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_kinds_are_not_matched_as_patterns(spark):
+    """What is asked of every value is cheap: no patterns, and no array is flattened or concatenated for parts that are empty."""
+    rows = spark.createDataFrame([('{"a": "x", "b": [1, "y"]}',)], "j string")
+    schema = Schema({"type": "object", "properties": {"a": {"type": "string"}, "b": {"type": "array", "items": {"type": ["integer", "null"]}}}})
+    checked = validated(rows, "j", schema, "e")
+    assert [(e["path"], e["keyword"]) for e in checked.first()["e"]] == [("/b/1", "type")]
+    assert "RLIKE" not in checked._jdf.queryExecution().optimizedPlan().toString().upper()
