@@ -1,10 +1,10 @@
 """Main text of web pages: marked-up structure, and differences between pages of near URLs.
 
-A page is cut into lines, one for each block. Lines in a marked article are its text; lines
-in marked menus, footers, adverts, forms or comments are not. All other lines are undecided,
-and are settled by differencing: each page is paired with the page of its host whose URL path
+A page is cut into lines, one for each block. Each page is paired with the page of its host whose URL path
 is nearest among those that aren't copies of it (they share nearly all of what isn't on most pages of the host), the lines of both are aligned by a longest
-common subsequence, and undecided lines that both pages share are deleted.
+common subsequence, and lines that both pages share are deleted. Markup then checks what is left: shared lines of a
+marked article come back, and lines of marked menus, footers, adverts, forms or comments go. All other lines are
+undecided by markup, and stay as differencing left them.
 """
 
 from __future__ import annotations
@@ -291,34 +291,34 @@ def copies(a: Sequence[int], a_sizes: Sequence[int], b: Sequence[int], b_sizes:
 
 
 def _parsed(texts, urls):
-    hosts, paths, text, left, alone, every, main, sizes, opens = [], [], [], [], [], [], [], [], []
+    hosts, paths, left, inner, alone, every, main, sizes, opens = [], [], [], [], [], [], [], [], []
     for t, u in zip(texts, urls.to_pylist(), strict=True):
         host, path = parse_url(u)
         found = lines((t or b"").decode("utf-8", "replace"))
-        marked = [x for x, kind in found if kind == IN]
+        marked = any(kind == IN for _, kind in found)
         undecided = [i for i, (_, kind) in enumerate(found) if kind == UNDECIDED]
         inside = [i for i, (_, kind) in enumerate(found) if kind != OUT]
         hosts.append(host)
         paths.append(path)
-        text.append(None if undecided else "\n".join(marked))
-        left.append([found[i][0] for i in inside] if undecided else [])
-        alone.append([bool(marked) and found[i][1] == UNDECIDED for i in inside] if undecided else [])
+        left.append([found[i][0] for i in inside])
+        inner.append([found[i][1] == IN for i in inside])
+        alone.append([marked and found[i][1] == UNDECIDED for i in inside])
         every.append([_line_hash(x) for x, _ in found])
         main.append(inside)
         sizes.append([len(found[i][0]) for i in inside])
         opens.append(undecided)
-    return hosts, paths, text, left, alone, every, main, sizes, opens
+    return hosts, paths, left, inner, alone, every, main, sizes, opens
 
 
 def parse(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
     """A stored table: the kept columns, a number for each row, and what is known of a page by itself.
 
-    __text is null where lines are undecided; then __left are all main lines, and __alone tells which of them go if
-    the page has no other to be compared with: the undecided ones, if an article is marked. For pairing there are the host and the
+    __left are all main lines; __inner tells which of them a marked article has, and __alone which of them go if the page has no other to be
+    compared with: the undecided ones, if an article is marked. For pairing there are the host and the
     path, hashes of all lines, the places of main lines (all but those marked as none) and their
     sizes, and the places of undecided lines. Pages are parsed this once.
     """
-    made = "__host string, __path string, __text string, __left array<string>, __alone array<boolean>, __every array<long>, __main array<int>, __sizes array<int>, __open array<int>"
+    made = "__host string, __path string, __left array<string>, __inner array<boolean>, __alone array<boolean>, __every array<long>, __main array<int>, __sizes array<int>, __open array<int>"
     return stored(map_text(pages, made, lambda: _parsed, "html", keep, ["url"]).withColumn(_ROW, F.monotonically_increasing_id()), "parsed")
 
 
@@ -374,9 +374,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page and neighbour that isn't a copy of it: how long their paths are equal, and which undecided lines the neighbour has too."""
+    """For each page and neighbour that isn't a copy of it: how long their paths are equal, and which main lines the neighbour has too."""
     for b in batches:
-        rows, at, length, drop = [], [], [], []
+        rows, places, length, drop = [], [], [], []
         for r in b.to_pylist():
             if r["__digest"] == r["digest2"] or copies(r["own"], r["sizes"], r["own2"], r["sizes2"]):
                 continue
@@ -386,17 +386,20 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
                 n += 1
             rows.append(r[_ROW])
-            at.append(r["at2"])
+            places.append(r["at2"])
             length.append(n)
-            gone = {r["__open"][i] for i in shared([r["__every"][i] for i in r["__open"]], r["every2"])}
+            # undecided lines are aligned by themselves, so that no order of an article's lines stands against them
+            undecided = set(r["__open"])
+            marked = [i for i in r["__main"] if i not in undecided]
+            gone = {at[i] for at in (r["__open"], marked) for i in shared([r["__every"][j] for j in at], r["every2"])}
             drop.append([i in gone for i in r["__main"]])
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at, pa.int64()), pa.array(length, pa.int32()), pa.array(drop, pa.list_(pa.bool_()))], names=[_ROW, "at", "length", _DROP])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int64()), pa.array(length, pa.int32()), pa.array(drop, pa.list_(pa.bool_()))], names=[_ROW, "at", "length", _DROP])
 
 
 def pair_lines(parsed: DataFrame) -> DataFrame:
-    """(__row, __drop array<boolean>): whether each of a page's main lines is undecided, and shared by the page of the nearest URL.
+    """(__row, __drop array<boolean>): whether each of a page's main lines is shared by the page of the nearest URL.
 
-    The pages of hosts with undecided lines are put in one order by host and path, in range
+    The pages of all hosts are put in one order by host and path, in range
     partitions that split a host of any size, and numbered. Neighbours of a host that are copies
     share all of their text, beside the lines of the template (see template_lines()): they make one run and are not paired with each
     other. A page's nearest URL is the last of the run before its own or the first of the run
@@ -404,9 +407,8 @@ def pair_lines(parsed: DataFrame) -> DataFrame:
     of lines travel.
     """
     spark = parsed.sparkSession
-    hosts = parsed.where((F.size("__open") > 0) & F.col("__host").isNotNull()).select("__host").distinct()
     digest = F.xxhash64(F.transform("__main", lambda i: F.get("__every", i))).alias("__digest")
-    light = parsed.select(_ROW, "__host", "__path", digest, "__every", "__main", "__sizes", "__open").join(hosts, "__host", "left_semi")
+    light = parsed.select(_ROW, "__host", "__path", digest, "__every", "__main", "__sizes", "__open").where(F.col("__host").isNotNull())
     ranged = light.join(template_lines(light), ["__host", "__digest"], "left")
     ranged = ranged.repartitionByRange("__host", "__path", _ROW).sortWithinPartitions("__host", "__path", _ROW).withColumn("part", F.spark_partition_id())
     carried = [ranged.schema[c] for c in _CARRIED]
@@ -429,9 +431,9 @@ def pair_lines(parsed: DataFrame) -> DataFrame:
         *_CARRIED[:-1], "own", "sizes", (F.col("at0") + F.col("at")).alias("at"), (F.col("run0") + F.col("run")).alias("run"),
         (F.col("head") & ~((F.col("run") == 0) & F.col("begun"))).alias("head"), (F.col("tail") & (F.col("run") != F.col("going"))).alias("tail"),
     )
-    # pages with undecided lines ask the ends of the two runs beside their own
+    # pages with main lines ask the ends of the two runs beside their own
     asked = F.explode(F.array(F.struct((F.col("run") - 1).alias("run"), F.lit("tail").alias("end")), F.struct((F.col("run") + 1).alias("run"), F.lit("head").alias("end"))))
-    asks = placed.where(F.size("__open") > 0).drop("at", "head", "tail").withColumn("asked", asked).drop("run").select("*", "asked.run", "asked.end").drop("asked")
+    asks = placed.where(F.size("__main") > 0).drop("at", "head", "tail").withColumn("asked", asked).drop("run").select("*", "asked.run", "asked.end").drop("asked")
     named = F.array_compact(F.array(F.when(F.col("head"), F.lit("head")), F.when(F.col("tail"), F.lit("tail"))))
     others = placed.where("head or tail").select("run", F.explode(named).alias("end"), F.col("at").alias("at2"), F.col("__host").alias("host2"), F.col("__path").alias("path2"), F.col("__digest").alias("digest2"), F.col("__every").alias("every2"), F.col("own").alias("own2"), F.col("sizes").alias("sizes2"))
     near = asks.join(others, ["run", "end"]).where("__host = host2").drop("host2", "end")
@@ -440,21 +442,20 @@ def pair_lines(parsed: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
-    """Kept columns, text string, n_chars long (code points), decided_by string: 'markup' if the page marks an article, else 'difference', null if neither had to decide.
+    """Kept columns, text string, n_chars long (code points), decided_by string: 'markup' if the page marks an article, else 'difference', null if neither had to decide, n_shared long: how many
+    lines, but those that markup says are none of the text, the page of the nearest URL has too (null without such a page).
 
-    Null and empty pages, and pages without main text, get an empty text. A text is the marked
+    Every page is differenced, and markup checks the result. Null and empty pages, and pages without main text, get an empty text. A text is the marked
     articles and, in page order, the undecided lines around them that the page of the nearest URL doesn't
     share: a title above an article, a text beside the teaser of another. A page whose host has no other
     page but copies, or whose URL is null, keeps its articles alone if it marks any, and all undecided lines if not. Equal rows get equal results. A page that is all template
     has no text. On a host of two different pages that share nearly all of their text, nothing tells a template from a story: both keep theirs.
     """
-    keep = [c for c in keep if c not in ("text", "n_chars", "decided_by")]
+    keep = [c for c in keep if c not in ("text", "n_chars", "decided_by", "n_shared")]
     parsed = parse(pages, keep)
-    alone = parsed.where(F.col("__text").isNotNull()).select(*keep, F.col("__text").alias("text"), F.when(F.col("__text") != "", F.lit("markup")).alias("decided_by"))
-    open_ = parsed.where(F.col("__text").isNull())
-    if open_.limit(1).count():
-        pairs = pair_lines(parsed)
-        kept = F.filter("__left", lambda x, i: ~F.coalesce(F.get(_DROP, i), F.get("__alone", i)))
-        joined = open_.join(pairs, _ROW, "left").select(*keep, F.array_join(kept, "\n").alias("text"), F.when(F.exists("__alone", lambda x: x), F.lit("markup")).when(F.col(_DROP).isNotNull(), F.lit("difference")).alias("decided_by"))
-        alone = alone.unionByName(joined)
-    return alone.select(*keep, "text", F.length("text").cast("long").alias("n_chars"), "decided_by")
+    # markup checks what differencing left: an article's lines stay even if the nearest page has them too
+    kept = F.filter("__left", lambda x, i: F.get("__inner", i) | ~F.coalesce(F.get(_DROP, i), F.get("__alone", i)))
+    decided = F.when(F.exists("__inner", lambda x: x), F.lit("markup")).when(F.col(_DROP).isNotNull(), F.lit("difference"))
+    n_shared = F.size(F.filter(_DROP, lambda x: x)).cast("long")
+    texts = parsed.join(pair_lines(parsed), _ROW, "left").select(*keep, F.array_join(kept, "\n").alias("text"), decided.alias("decided_by"), F.when(F.col(_DROP).isNotNull(), n_shared).alias("n_shared"))
+    return texts.select(*keep, "text", F.length("text").cast("long").alias("n_chars"), "decided_by", "n_shared")
