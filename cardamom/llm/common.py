@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql.types import StructType
 from ..session import ship, spread, stored
 from .wordhash import binary
 
-__all__ = ["BROADCAST_BYTES", "PACK", "discard", "map_text", "parts", "small", "stored", "table"]
+__all__ = ["BROADCAST_BYTES", "PACK", "discard", "map_text", "parts", "returning", "small", "stored", "table"]
 
 #: Bytes of text handed to an operator's kernel at once (one longer text goes alone).
 PACK = 4 << 20
@@ -42,6 +45,32 @@ def parts(batch: pa.RecordBatch, columns: Sequence[int | str], limit: int = PACK
         at, before = end, int(total[end - 1])
 
 
+def _trim() -> None:
+    """Gives memory that this process has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker keeps nothing of what its task had allocated.
+
+    Spark keeps workers for later tasks. Without this, one that has held a vocabulary or a large batch keeps that memory beside the
+    JVM's through all steps that follow.
+    """
+
+    @functools.wraps(run)
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return returned
+
+
 def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: str = "text", keep: Sequence[str] = ("doc_id",), also: Sequence[str] = ()) -> DataFrame:
     """Adds the columns of the DDL string `outputs`, computed from whole texts and the columns of `also`, to the kept columns.
 
@@ -67,7 +96,7 @@ def map_text(df: DataFrame, outputs: str, factory: Callable[[], Kernel], text: s
                 new = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(kernel(binary(part.column(own)), *more), into, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=[*keep, *made.names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(returning(run), schema)
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:

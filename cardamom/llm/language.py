@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import map_text
+from .common import map_text, returning
 from .wordhash import binary, packs
 
 #: First code points of blocks, and the script that their letters belong to.
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, train: Column, per_lang: int = TRAIN_DOCS, text: str =
         i, j = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(both[i, j], pa.int64())], names=["lang", "bucket", "n"])
 
-    found = picked.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(count, "lang int, bucket int, n long")
+    found = picked.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(returning(count), "lang int, bucket int, n long")
     both = np.zeros((n, BUCKETS + len(SCRIPTS)))
     got = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     both[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()

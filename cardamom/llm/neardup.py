@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_text, parts, small, stored
+from .common import discard, map_text, parts, returning, small, stored
 from .components import connected
 from .wordhash import U64, binary, many, packs, windows
 
@@ -122,7 +122,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, n: int, si
                     keep.append(100 * shared >= similar * (len(x) + len(y) - shared) and shared > 0)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(returning(run), pairs.select("a", "b").schema)
 
 
 def _last_round(left: DataFrame, docs: DataFrame, id: str, text: str, n: int, similar: int) -> DataFrame:

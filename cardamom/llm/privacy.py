@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import discard, map_text, parts, small, stored
+from .common import discard, map_text, parts, returning, small, stored
 from .wordhash import U64, binary, byte_class, many, packs, windows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -229,7 +229,7 @@ def occurrences(docs: DataFrame, grams: DataFrame, text: str = "text") -> DataFr
             keys, n = np.unique(np.concatenate(found) if found else np.empty(0, U64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    counted = docs.select(docs[text].cast("string")).mapInArrow(run, "gram long, n long")
+    counted = docs.select(docs[text].cast("string")).mapInArrow(returning(run), "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("total")).join(grams, "gram")
 
 

@@ -63,3 +63,30 @@ def test_small_counts_rows_and_bytes(spark):
     assert common.small(df, 10) and not common.small(df, 9)
     assert not common.small(df, 10, F.size("a").cast("long") * common.BROADCAST_BYTES)
     assert common.small(df.where("false"), 0, F.size("a"))
+
+
+def test_workers_give_memory_back(spark):
+    """What a task freed is the machine's again when the next task of the same worker begins, even if something small stays behind it."""
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+
+    def large():
+        def kernel(texts):
+            import builtins
+
+            before, held = resident(), [bytes(700) for _ in range(300_000)]
+            builtins.kept_by_test, after = held[-1], resident()
+            return [[os.getpid()] * len(texts), [before] * len(texts), [after] * len(texts)]
+
+        return kernel
+
+    def small():
+        return lambda texts: [[os.getpid()] * len(texts), [resident()] * len(texts), [0.0] * len(texts)]
+
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    made = "pid long, mb double, most double"
+    first = common.map_text(docs.coalesce(1), made, large).collect()[0]
+    assert first["most"] > first["mb"] + 150
+    then = [r["mb"] for r in common.map_text(docs.repartition(16), made, small).collect() if r["pid"] == first["pid"]]
+    assert then and max(then) < first["mb"] + 50
