@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections import deque
 from collections.abc import Iterator, Sequence
 from urllib.parse import urlsplit
@@ -20,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import map_text, stored
+from .common import map_text, parts, returning, stored
 
 # Element and class names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -278,7 +279,7 @@ def _line_hash(line: str) -> int:
 UNLIKE = 0.1
 #: A line on so many different pages of a host, and on more than this share of the pages that the page's most widespread line is on, is of the template.
 WIDESPREAD, SHARE = 3, 0.75
-_ROW, _DROP = "__row", "__drop"
+_ROW, _KEY, _DROP = "__row", "__key", "__drop"
 
 
 def _chars_shared(mine: Sequence[int], sizes: Sequence[int], other: Sequence[int]) -> int:
@@ -290,36 +291,74 @@ def copies(a: Sequence[int], a_sizes: Sequence[int], b: Sequence[int], b_sizes:
     return _chars_shared(a, a_sizes, b) > (1 - UNLIKE) * min(sum(a_sizes), sum(b_sizes))
 
 
-def _parsed(texts, urls):
-    hosts, paths, left, inner, alone, every, main, sizes, opens = [], [], [], [], [], [], [], [], []
+def _key(text: bytes | None, url: str | None) -> int:
+    """The same for equal pages of equal URLs, whose results are the same."""
+    return int.from_bytes(hashlib.blake2b((url or "").encode("utf-8", "replace") + b"\0" + (text or b""), digest_size=8).digest(), "little", signed=True)
+
+
+def _lines(text: bytes | None) -> list[tuple[str, int]]:
+    return lines((text or b"").decode("utf-8", "replace"))
+
+
+def _outlined(texts, urls):
+    keys, hosts, paths, every, main, sizes, opens = [], [], [], [], [], [], []
     for t, u in zip(texts, urls.to_pylist(), strict=True):
         host, path = parse_url(u)
-        found = lines((t or b"").decode("utf-8", "replace"))
-        marked = any(kind == IN for _, kind in found)
-        undecided = [i for i, (_, kind) in enumerate(found) if kind == UNDECIDED]
+        # without a host there is nothing to compare with
+        found = _lines(t) if host is not None else []
         inside = [i for i, (_, kind) in enumerate(found) if kind != OUT]
+        keys.append(_key(t, u))
         hosts.append(host)
         paths.append(path)
-        left.append([found[i][0] for i in inside])
-        inner.append([found[i][1] == IN for i in inside])
-        alone.append([marked and found[i][1] == UNDECIDED for i in inside])
         every.append([_line_hash(x) for x, _ in found])
         main.append(inside)
         sizes.append([len(found[i][0]) for i in inside])
-        opens.append(undecided)
-    return hosts, paths, left, inner, alone, every, main, sizes, opens
+        opens.append([i for i, (_, kind) in enumerate(found) if kind == UNDECIDED])
+    return keys, hosts, paths, every, main, sizes, opens
 
 
-def parse(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """A stored table: the kept columns, a number for each row, and what is known of a page by itself.
+def outlines(pages: DataFrame) -> DataFrame:
+    """A stored table, without texts, of what pairing needs of each page that has a host: a number for each row, the page's key, host and
+    path, hashes of all lines, the places of main lines (all but those marked as none) and their sizes, and the places of undecided lines."""
+    made = f"{_KEY} long, __host string, __path string, __every array<long>, __main array<int>, __sizes array<int>, __open array<int>"
+    found = map_text(pages, made, lambda: _outlined, "html", [], ["url"]).where(F.col("__host").isNotNull())
+    return stored(found.withColumn(_ROW, F.monotonically_increasing_id()), "outlines")
 
-    __left are all main lines; __inner tells which of them a marked article has, and __alone which of them go if the page has no other to be
-    compared with: the undecided ones, if an article is marked. For pairing there are the host and the
-    path, hashes of all lines, the places of main lines (all but those marked as none) and their
-    sizes, and the places of undecided lines. Pages are parsed this once.
-    """
-    made = "__host string, __path string, __left array<string>, __inner array<boolean>, __alone array<boolean>, __every array<long>, __main array<int>, __sizes array<int>, __open array<int>"
-    return stored(map_text(pages, made, lambda: _parsed, "html", keep, ["url"]).withColumn(_ROW, F.monotonically_increasing_id()), "parsed")
+
+def _packed(texts, urls):
+    keys, packed, inner, alone = [], [], [], []
+    for t, u in zip(texts, urls.to_pylist(), strict=True):
+        found = [(x, kind) for x, kind in _lines(t) if kind != OUT]
+        marked = any(kind == IN for _, kind in found)
+        keys.append(_key(t, u))
+        packed.append(zlib.compress("\n".join(x for x, _ in found).encode("utf-8", "replace"), 1))
+        inner.append([kind == IN for _, kind in found])
+        alone.append([marked and kind == UNDECIDED for _, kind in found])
+    return keys, packed, inner, alone
+
+
+#: Bytes of packed lines that are unpacked at once.
+UNPACKED = 1 << 20
+
+
+def _finished(keep: Sequence[str]):
+    """Text, n_chars, decided_by and n_shared of pages, given their packed main lines and what the nearest page shares of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in parts(batch, ["__packed"], UNPACKED):
+                texts, decided, n_shared = [], [], []
+                for packed, inner, alone, drop in zip(*(b.column(c).to_pylist() for c in ("__packed", "__inner", "__alone", _DROP)), strict=True):
+                    left = zlib.decompress(packed).decode().split("\n") if inner else []
+                    # markup checks what differencing left: an article's lines stay even if the nearest page has them too
+                    gone = alone if drop is None else drop
+                    texts.append("\n".join(x for x, i, d in zip(left, inner, gone, strict=True) if i or not d))
+                    decided.append("markup" if any(inner) else None if drop is None else "difference")
+                    n_shared.append(None if drop is None else sum(drop))
+                made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(decided, pa.string()), pa.array(n_shared, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=[*keep, "text", "n_chars", "decided_by", "n_shared"])
+
+    return run
 
 
 def template_lines(light: DataFrame) -> DataFrame:
@@ -339,7 +378,7 @@ def template_lines(light: DataFrame) -> DataFrame:
     return stored(per.select("__host", "__digest", F.transform(common, lambda x: x["line"]).alias("__common")), "template")
 
 
-_CARRIED = (_ROW, "__host", "__path", "__digest", "__every", "__main", "__open", "part")
+_CARRIED = (_KEY, "__host", "__path", "__digest", "__every", "__main", "__open", "part")
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +415,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each page and neighbour that isn't a copy of it: how long their paths are equal, and which main lines the neighbour has too."""
     for b in batches:
-        rows, places, length, drop = [], [], [], []
+        keys, places, length, drop = [], [], [], []
         for r in b.to_pylist():
             if r["__digest"] == r["digest2"] or copies(r["own"], r["sizes"], r["own2"], r["sizes2"]):
                 continue
@@ -385,7 +424,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if x != y:
                     break
                 n += 1
-            rows.append(r[_ROW])
+            keys.append(r[_KEY])
             places.append(r["at2"])
             length.append(n)
             # undecided lines are aligned by themselves, so that no order of an article's lines stands against them
@@ -393,11 +432,11 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = [i for i in r["__main"] if i not in undecided]
             gone = {at[i] for at in (r["__open"], marked) for i in shared([r["__every"][j] for j in at], r["every2"])}
             drop.append([i in gone for i in r["__main"]])
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int64()), pa.array(length, pa.int32()), pa.array(drop, pa.list_(pa.bool_()))], names=[_ROW, "at", "length", _DROP])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(length, pa.int32()), pa.array(drop, pa.list_(pa.bool_()))], names=[_KEY, "at", "length", _DROP])
 
 
-def pair_lines(parsed: DataFrame) -> DataFrame:
-    """(__row, __drop array<boolean>): whether each of a page's main lines is shared by the page of the nearest URL.
+def pair_lines(outlined: DataFrame) -> DataFrame:
+    """(__key, __drop array<boolean>), a stored table: whether each of a page's main lines is shared by the page of the nearest URL.
 
     The pages of all hosts are put in one order by host and path, in range
     partitions that split a host of any size, and numbered. Neighbours of a host that are copies
@@ -406,9 +445,9 @@ def pair_lines(parsed: DataFrame) -> DataFrame:
     after it, whichever path shares the longer beginning (the one before, if both do). Only hashes
     of lines travel.
     """
-    spark = parsed.sparkSession
+    spark = outlined.sparkSession
     digest = F.xxhash64(F.transform("__main", lambda i: F.get("__every", i))).alias("__digest")
-    light = parsed.select(_ROW, "__host", "__path", digest, "__every", "__main", "__sizes", "__open").where(F.col("__host").isNotNull())
+    light = outlined.select(_ROW, _KEY, "__host", "__path", digest, "__every", "__main", "__sizes", "__open")
     ranged = light.join(template_lines(light), ["__host", "__digest"], "left")
     ranged = ranged.repartitionByRange("__host", "__path", _ROW).sortWithinPartitions("__host", "__path", _ROW).withColumn("part", F.spark_partition_id())
     carried = [ranged.schema[c] for c in _CARRIED]
@@ -437,8 +476,9 @@ def pair_lines(parsed: DataFrame) -> DataFrame:
     named = F.array_compact(F.array(F.when(F.col("head"), F.lit("head")), F.when(F.col("tail"), F.lit("tail"))))
     others = placed.where("head or tail").select("run", F.explode(named).alias("end"), F.col("at").alias("at2"), F.col("__host").alias("host2"), F.col("__path").alias("path2"), F.col("__digest").alias("digest2"), F.col("__every").alias("every2"), F.col("own").alias("own2"), F.col("sizes").alias("sizes2"))
     near = asks.join(others, ["run", "end"]).where("__host = host2").drop("host2", "end")
-    aligned = near.mapInArrow(_paired, f"{_ROW} long, at long, length int, {_DROP} array<boolean>")
-    return aligned.groupBy(_ROW).agg(F.max_by(_DROP, F.struct("length", -F.col("at"))).alias(_DROP))
+    aligned = near.mapInArrow(_paired, f"{_KEY} long, at long, length int, {_DROP} array<boolean>")
+    # stored, as all that a key of very many equal pages is joined with
+    return stored(aligned.groupBy(_KEY).agg(F.max_by(_DROP, F.struct("length", -F.col("at"))).alias(_DROP)), "shared")
 
 
 def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
@@ -452,10 +492,10 @@ def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataF
     has no text. On a host of two different pages that share nearly all of their text, nothing tells a template from a story: both keep theirs.
     """
     keep = [c for c in keep if c not in ("text", "n_chars", "decided_by", "n_shared")]
-    parsed = parse(pages, keep)
-    # markup checks what differencing left: an article's lines stay even if the nearest page has them too
-    kept = F.filter("__left", lambda x, i: F.get("__inner", i) | ~F.coalesce(F.get(_DROP, i), F.get("__alone", i)))
-    decided = F.when(F.exists("__inner", lambda x: x), F.lit("markup")).when(F.col(_DROP).isNotNull(), F.lit("difference"))
-    n_shared = F.size(F.filter(_DROP, lambda x: x)).cast("long")
-    texts = parsed.join(pair_lines(parsed), _ROW, "left").select(*keep, F.array_join(kept, "\n").alias("text"), decided.alias("decided_by"), F.when(F.col(_DROP).isNotNull(), n_shared).alias("n_shared"))
-    return texts.select(*keep, "text", F.length("text").cast("long").alias("n_chars"), "decided_by", "n_shared")
+    # by a shuffle at every size, so that what small tables take tells what large ones will
+    # texts are neither stored nor moved until it is known what goes: pages are parsed once more then, and packed lines meet their page's row
+    shared = pair_lines(outlines(pages))
+    made = f"{_KEY} long, __packed binary, __inner array<boolean>, __alone array<boolean>"
+    both = map_text(pages, made, lambda: _packed, "html", keep, ["url"]).join(shared.hint("merge"), _KEY, "left").select(*keep, "__packed", "__inner", "__alone", _DROP)
+    added = [StructField("text", StringType()), StructField("n_chars", LongType()), StructField("decided_by", StringType()), StructField("n_shared", LongType())]
+    return both.mapInArrow(returning(_finished(keep)), StructType([*(both.schema[c] for c in keep), *added]))
