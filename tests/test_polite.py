@@ -123,3 +123,44 @@ def test_failures_and_awkward_rows(spark):
     assert polite.fetch_pages(some.limit(0), shared_path(spark, "none"), factory, "r").count() == 0
     with pytest.raises(ValueError):
         polite.fetch_pages(some, path, factory, "r", seconds=0)
+
+
+def test_many_rounds_take_few_jobs(spark):
+    """A host of 100 rounds, where no call has to wait; each row has the round and the second of its plan."""
+
+    def factory():
+        return lambda url: {"status": 200, "chunks": [b"ok"]}
+
+    delays, pace = spark.createDataFrame([("b", 7.5)], "host string, delay double"), {"a": 2.0, "b": 7.5}
+    some = spark.createDataFrame([(f"https://{h}/{i:04d}", h) for h, n in (("a", 3000), ("b", 300)) for i in range(n)], REQUESTS)
+    got = polite.fetch_pages(some, shared_path(spark, "crawl"), factory, "r", delays=delays, round_seconds=60.0, clock=Skipping, tasks=2)
+    file = F.input_file_name()
+    rows = got.select("url", "host", "round", "began", file.alias("file"), F.regexp_extract(file, r"part-\d+-([0-9a-f-]{36})", 1).alias("job")).collect()
+    assert len(rows) == 3300 and max(r["round"] for r in rows) == 99
+    for r in rows:
+        start = int(r["url"].split("/")[-1]) * pace[r["host"]]
+        assert (r["round"], round(r["began"], 3)) == (start // 60, start % 60 + pace[r["host"]])
+    assert len({r["job"] for r in rows}) <= 45
+    # a host belongs to one task of a job
+    assert len({(r["job"], r["host"], r["file"]) for r in rows}) == len({(r["job"], r["host"]) for r in rows})
+
+
+def test_rounds_of_a_job():
+    assert [polite._together(over, 1, 0.1, 60.0) for over in (1, 8, 15, 16, 800)] == [1, 1, 1, 2, 100]
+    # calls that wait make a job as long as its rounds are, and keep it to one of them
+    assert polite._together(800, 1, 60.1, 60.0) == polite._together(800, 5, 300.5, 60.0) == 1
+    assert polite._together(800, 10, 100.0, 60.0) == 6
+
+
+def test_a_stop_in_a_job_of_several_rounds(spark, tmp_path):
+    path, some = shared_path(spark, "crawl"), requests(spark, {"a": 80})
+    with pytest.raises(Exception, match="(?i)python worker"):
+        polite.fetch_pages(some, path, logging_client(tmp_path, lambda url: url == "https://a/070"), "r", round_seconds=4.0, clock=Skipping, tasks=1)
+    before = {r["url"] for r in polite.kept_pages(spark, path).collect()}
+    # the 36th round was in a job of four at most
+    assert len(before) >= 64 and before == {f"https://a/{i:03d}" for i in range(len(before))}
+    for f in tmp_path.iterdir():
+        f.unlink()
+    got = polite.fetch_pages(some, path, logging_client(tmp_path), "r", clock=Skipping)
+    assert sorted(r["url"] for r in got.collect()) == [f"https://a/{i:03d}" for i in range(80)]
+    assert [u for u, _ in calls(tmp_path)] == [f"https://a/{i:03d}" for i in range(len(before), 80)]
